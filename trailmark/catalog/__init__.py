@@ -6,7 +6,7 @@ import importlib
 
 from trailmark.catalog.base import ORACLES, QUERIES
 
-AREAS = ("scalars",)
+AREAS = ("scalars", "summary")
 
 
 def _load() -> None:

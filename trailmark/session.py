@@ -16,6 +16,7 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8) -> SparkSes
         SparkSession.builder.master(f"local[{cores}]")
         .appName("trailmark")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("TRAILMARK_DRIVER_MEMORY", "12g"))
