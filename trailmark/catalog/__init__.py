@@ -6,7 +6,7 @@ import importlib
 
 from trailmark.catalog.base import ORACLES, QUERIES
 
-AREAS = ("scalars", "summary")
+AREAS = ("scalars", "summary", "table")
 
 
 def _load() -> None:
