@@ -23,9 +23,18 @@ def side_rows(x, side):
 S_NAMES = {k: h.lower().replace(" ", "") for k, h in HEAD.items()}
 
 
+def headers(x, side):
+    """Header per instance; the derived rows all carry the same columns."""
+    full, short = (F.array(*[F.lit(n) for n in names]) for names in (S_NAMES.values(), [n for n in S_NAMES.values() if n != "price"]))
+    ids = x.table("lineitem").select((F.col("l_suppkey") % 20).alias("instance_id")).distinct()
+    columns = F.when((F.col("instance_id") == 19) & F.lit(side == "pred"), short).otherwise(full)
+    return ids.select("instance_id", columns.alias("columns"), F.lit(None).cast("string").alias("table_error"))
+
+
 def status(x):
     gold, pred = side_rows(x, "gold"), side_rows(x, "pred")
-    return TM.instance_status(TM.parse_specs(x.spec), TM.headers_from_rows(pred), TM.headers_from_rows(gold)), gold, pred
+    st = TM.instance_status(TM.parse_specs(x.spec), headers(x, "pred"), headers(x, "gold"))
+    return TM.staged(st, "instance-status"), gold, pred
 
 
 LINES = r"""(SELECT *, list_filter(list_transform(string_split_regex(trim(block, @WS), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'), lambda l: trim(l, @WS)),
@@ -145,7 +154,7 @@ FINAL = f"""{PAIRED}, hit AS (SELECT instance_id, sum(least(s1, s2, s3, s4)) AS
 )
 def _(x):
     gold, pred = side_rows(x, "gold"), side_rows(x, "pred")
-    out = TM.score_tables(x.spec, TM.headers_from_rows(gold), gold, TM.headers_from_rows(pred), pred)
+    out = TM.score_tables(x.spec, headers(x, "gold"), gold, headers(x, "pred"), pred)
     return flat(out.drop("n_required", "is_correct"))
 
 
@@ -155,7 +164,7 @@ def _(x):
 )
 def _(x):
     gold, pred = side_rows(x, "gold"), side_rows(x, "pred")
-    out = TM.score_tables(x.spec, TM.headers_from_rows(gold), gold, TM.headers_from_rows(pred), pred)
+    out = TM.score_tables(x.spec, headers(x, "gold"), gold, headers(x, "pred"), pred)
     return flat(out.groupBy("error").agg(F.count("*").alias("instances"), F.avg("row_precision").alias("row_precision"), F.avg("item_recall").alias("item_recall")))
 
 

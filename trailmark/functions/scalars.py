@@ -52,6 +52,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Trim every whitespace character, not only the space."""
     return F.btrim(col(c), F.lit(WHITESPACE))
@@ -87,7 +92,10 @@ def extract_number(c: Column | str) -> Column:
 
 def parse_date(c: Column | str) -> Column:
     """A date for the listed formats; missing parts become 2000, January and the first."""
-    text = strip(c)
+    return let(strip(c), _date_of)
+
+
+def _date_of(text: Column) -> Column:
     out = F.lit(None).cast("date")
     for guard, pattern, suffix in reversed(DATE_FORMATS):
         value = F.concat(text, F.lit(suffix)) if suffix else text
@@ -130,7 +138,10 @@ def url_match(response: Column, target: Column) -> Column:
 
 def to_float(c: Column | str) -> Column:
     """Text to double by Python's rules for plain decimal text, ``inf`` and ``nan``."""
-    text = F.lower(strip(c))
+    return let(F.lower(strip(c)), _float_of)
+
+
+def _float_of(text: Column) -> Column:
     return (
         F.when(text.rlike(FLOAT_TEXT), text.try_cast("double"))
         .when(text.rlike(r"^[+-]?nan$"), F.lit(float("nan")))
@@ -141,32 +152,41 @@ def to_float(c: Column | str) -> Column:
 
 def number_or_percent(c: Column | str) -> Column:
     text = col(c)
-    return F.when(F.contains(text, F.lit("%")), to_float(F.replace(text, F.lit("%"), F.lit(""))) / 100.0).otherwise(
-        to_float(text)
-    )
+    scale = F.when(F.contains(text, F.lit("%")), F.lit(100.0)).otherwise(F.lit(1.0))
+    return to_float(F.replace(text, F.lit("%"), F.lit(""))) / scale
 
 
 def number_near(response: Column, target: Column, criterion: Column) -> Column:
     """Relative tolerance on the target; two non-numbers must be the same text."""
-    r, t = number_or_percent(response), number_or_percent(target)
-    near = (~F.isnan(r)) & (~F.isnan(t)) & (F.abs(r - t) <= F.abs(t) * criterion)
-    return (
-        F.when(r.isNull() & t.isNull(), response.eqNullSafe(target))
-        .when(r.isNull() | t.isNull(), F.lit(False))
-        .otherwise(near)
-        .cast("double")
-    )
+    pair = F.struct(number_or_percent(response).alias("r"), number_or_percent(target).alias("t"))
+
+    def compare(p: Column) -> Column:
+        r, t = p["r"], p["t"]
+        near = (~F.isnan(r)) & (~F.isnan(t)) & (F.abs(r - t) <= F.abs(t) * criterion)
+        return (
+            F.when(r.isNull() & t.isNull(), response.eqNullSafe(target))
+            .when(r.isNull() | t.isNull(), F.lit(False))
+            .otherwise(near)
+            .cast("double")
+        )
+
+    return let(pair, compare)
 
 
 def date_near(response: Column, target: Column) -> Column:
     """Within the day window; two unparseable dates agree."""
-    r, t = parse_date(response), parse_date(target)
-    return (
-        F.when(r.isNull() & t.isNull(), F.lit(True))
-        .when(r.isNull() | t.isNull(), F.lit(False))
-        .otherwise(F.abs(F.datediff(r, t)) <= DATE_WINDOW_DAYS)
-        .cast("double")
-    )
+    pair = F.struct(parse_date(response).alias("r"), parse_date(target).alias("t"))
+
+    def compare(p: Column) -> Column:
+        r, t = p["r"], p["t"]
+        return (
+            F.when(r.isNull() & t.isNull(), F.lit(True))
+            .when(r.isNull() | t.isNull(), F.lit(False))
+            .otherwise(F.abs(F.datediff(r, t)) <= DATE_WINDOW_DAYS)
+            .cast("double")
+        )
+
+    return let(pair, compare)
 
 
 def detect_language(c: Column | str) -> Column:

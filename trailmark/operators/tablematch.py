@@ -15,6 +15,7 @@ from trailmark.functions import scalars as S
 from trailmark.functions import tables as X
 from trailmark.functions import variants as V
 from trailmark.plans.keyed import first_by
+from trailmark.plans.staging import staged
 
 # ---- fixed values -------------------------------------------------------------------------
 NATIVE_METRICS = ("exact_match", "number_near", "date_near", "url_match")
@@ -103,7 +104,9 @@ def parse_specs(specs: DataFrame) -> DataFrame:
 
     ``cols`` holds one struct per required column: name, is_key, has_rule, preprocess, metric, criterion.
     """
-    p = specs.select("instance_id", F.from_json("evaluation", SPEC_SCHEMA).alias("p")).select("instance_id", "p.*")
+    # One spec per instance. The aggregate also keeps later filters from re-inlining the JSON parse,
+    # and its partitioning by instance serves the joins that follow.
+    p = specs.groupBy("instance_id").agg(F.first(F.from_json("evaluation", SPEC_SCHEMA)).alias("p")).select("instance_id", "p.*")
     p = p.select(
         "instance_id",
         F.transform("required", S.norm_column).alias("required"),
@@ -187,31 +190,34 @@ def instance_status(
     )
     source = F.transform("required", lambda r: F.get(F.col("p_cols"), (F.array_position("mapped", r) - 1).cast("int")))
     return st.select(
-        "instance_id", error.alias("error"), "required", "cols", source.alias("source"), F.size("required").alias("n_required")
+        "instance_id",
+        error.alias("error"),
+        "required",
+        "cols",
+        source.alias("source"),
+        F.filter(F.transform("cols", lambda c, i: F.when(c["is_key"], i)), lambda i: i.isNotNull()).alias("key_idx"),
+        F.size("required").alias("n_required"),
     )
 
 
 def _aligned(rows: DataFrame, ready: DataFrame, names: str) -> DataFrame:
     """Row cells in required order, with the raw key."""
-    joined = rows.join(ready.select("instance_id", "cols", F.col(names).alias("_names")), "instance_id")
+    joined = rows.join(ready.select("instance_id", "cols", "key_idx", F.col(names).alias("_names")), "instance_id")
     vals = F.transform("_names", lambda c: X.cell_text(F.try_element_at(F.col("cells"), c)))
-    return joined.withColumn("vals", vals).select("instance_id", "row_id", "cols", "vals", _key("vals").alias("raw_key"))
+    return joined.select("instance_id", "row_id", "cols", "key_idx", vals.alias("vals")).withColumn("raw_key", F.to_json(_key()))
 
 
-def _key(vals: str) -> Column:
+def _key() -> Column:
     """Values of the key columns, in required order."""
-    return F.transform(
-        F.filter(F.transform(vals, lambda v, i: F.struct(v.alias("v"), F.get(F.col("cols"), i)["is_key"].alias("k"))), lambda e: e["k"]),
-        lambda e: e["v"],
-    )
+    return F.transform("key_idx", lambda i: F.get("vals", i))
 
 
 def _prepared(aligned: DataFrame) -> DataFrame:
     """Normalise all cells and drop later rows with the same raw key, then count equal rows."""
     chain = F.zip_with("vals", "cols", lambda v, c: S.preprocess(v, c["preprocess"]))
-    normed = aligned.withColumn("vals", chain).withColumn("key", _key("vals"))
-    kept = first_by(normed.select("instance_id", "raw_key", "row_id", "key", "vals"), ["instance_id", "raw_key"], ["row_id"])
-    return kept.groupBy("instance_id", "key", "vals").agg(F.count(F.lit(1)).alias("copies"))
+    normed = aligned.select("instance_id", "raw_key", "row_id", "key_idx", chain.alias("vals"))
+    kept = first_by(normed, ["instance_id", "raw_key"], ["row_id"])
+    return kept.withColumn("key", _key()).groupBy("instance_id", "key", "vals").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def map_vocabulary(aligned: DataFrame, gold: DataFrame, key_map: DataFrame) -> DataFrame:
@@ -257,9 +263,10 @@ def cell_score(metric: Column, response: Column, target: Column, criterion: Colu
 
 def matched_rows(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Gold and predicted rows with equal normalised keys; many-to-many by multiplicity."""
-    g = gold.select("instance_id", "key", F.col("vals").alias("target"), F.col("copies").alias("_g"))
-    p = pred.select("instance_id", "key", F.col("vals").alias("response"), F.col("copies").alias("_p"))
-    return g.join(p, ["instance_id", "key"]).withColumn("weight", F.col("_g") * F.col("_p")).drop("_g", "_p")
+    h = F.xxhash64("instance_id", "key").alias("_h")
+    g = gold.select(h, "instance_id", "key", F.col("vals").alias("target"), F.col("copies").alias("_g"))
+    p = pred.select(h, "instance_id", "key", F.col("vals").alias("response"), F.col("copies").alias("_p"))
+    return g.join(p, ["_h", "instance_id", "key"]).withColumn("weight", F.col("_g") * F.col("_p")).drop("_g", "_p", "_h")
 
 
 def pair_scores(pairs: DataFrame, ready: DataFrame, cell_scores: DataFrame | None = None) -> DataFrame:
@@ -325,7 +332,8 @@ def score_tables(
     cell_scores: DataFrame | None = None,
 ) -> DataFrame:
     """Row and item precision, recall and F1 per instance; failed instances score zero."""
-    status = instance_status(parse_specs(specs), pred_headers, gold_headers, header_map)
+    # read by both row sides, the scoring join and the result: computed once
+    status = staged(instance_status(parse_specs(specs), pred_headers, gold_headers, header_map), "instance-status")
     gold, pred = prepare_sides(status, gold_rows, pred_rows, key_map)
     ready = status.filter("error IS NULL")
     hits = (

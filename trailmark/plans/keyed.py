@@ -1,7 +1,8 @@
 """Per-key picks that stay safe when one key holds a large share of the rows.
 
 ``max_by`` / ``min_by`` combine on the map side, so a hot key sends one candidate per map task
-through the shuffle. A ranking window would send every row of the key to one task.
+through the shuffle. A ranking window would send every row of the key to one task. A 64-bit hash leads
+the grouping columns: the sort below these aggregates then compares one long instead of texts or arrays.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ def _order(order: Sequence[str | Column]) -> Column:
     return F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
 
 
-def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The row with the greatest order value per key."""
+def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), _order(order)).alias("_row"))
+    best = df.groupBy(F.xxhash64(*keys).alias("_h"), *keys).agg(pick(F.struct(*rest), _order(order)).alias("_row"))
     return best.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
+def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The row with the greatest order value per key."""
+    return _pick(df, keys, order, F.max_by)
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The row with the smallest order value per key."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), _order(order)).alias("_row"))
-    return best.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+    return _pick(df, keys, order, F.min_by)

@@ -86,12 +86,12 @@ WHERE NOT (side = 'pred' AND l_partkey % 17 = 0)""",
 SELECT instance_id, CASE WHEN instance_id = 16 THEN 'not json'
   WHEN instance_id = 17 THEN replace(body, '"unique_columns":["Order Key"', '"unique_columns":["colour"')
   WHEN instance_id = 18 THEN replace(body, '"metric":["date_near"]', '"metric":["date_near","guess"]') ELSE body END AS evaluation
-FROM (SELECT DISTINCT l_suppkey % 20 AS instance_id,
+FROM (SELECT instance_id,
  '{"required":["Order Key","line no","quantity","ship date","flag","price"],"unique_columns":["Order Key","line no"],"eval_pipeline":{'
  || '"Order Key":{"preprocess":["norm_str"],"metric":["exact_match"]},"line no":{"preprocess":[],"metric":["exact_match"]},'
  || '"quantity":{"preprocess":["extract_number"],"metric":["number_near"],"criterion":0.01},"ship date":{"preprocess":["norm_date"],"metric":["date_near"]},'
  || '"flag":{"preprocess":["norm_str"],"metric":["exact_match"]},"price":{"preprocess":["extract_number"],"metric":["number_near"],"criterion":0.001}}}' AS body
- FROM lineitem) s""",
+ FROM (SELECT DISTINCT l_suppkey % 20 AS instance_id FROM lineitem) d) s""",
     "fx_tool_calls": f"""
 SELECT user_id AS run, event_id AS seq, CAST(floor(event_id / 4) AS BIGINT) AS turn, event_id AS call_id,
   CASE WHEN event_id % 101 = 0 THEN ' ' WHEN event_id % 103 = 0 THEN 'shell' WHEN event_type = 'error' THEN 'link_summary_tool'
@@ -103,6 +103,11 @@ SELECT user_id AS run, event_id AS seq, CAST(floor(event_id / 4) AS BIGINT) AS t
   @K % 10 <> 0 AS ok, value AS duration_ms,
   'out ' || {_S('@K')} AS output, 'failed ' || event_type AS error, event_type = 'signup' AS is_seal
 FROM events""",
+    # each event as an assistant turn with a call, followed by its tool message
+    "fx_turns": """
+SELECT user_id AS run, event_id * 2 AS seq, 'assistant' AS role, 'calling' AS content, CASE WHEN @K % 3 = 0 THEN 'search_api' ELSE 'submit_tool' END AS tool_name, CAST(NULL AS BOOLEAN) AS ok FROM events
+UNION ALL SELECT user_id AS run, event_id * 2 + 1 AS seq, 'tool' AS role, CASE @K % 4 WHEN 0 THEN '{"answer": "  a' || CAST(event_id AS STRING) || ' "}'
+  WHEN 1 THEN '{"answer": "b' || CAST(event_id AS STRING) || '"}' || @NL || '<turn_budget> Used: 1 </turn_budget>' WHEN 2 THEN 'plain' ELSE '{"answer": " "}' END AS content, CAST(NULL AS STRING) AS tool_name, event_type <> 'error' AS ok FROM events""",
     "fx_messages": """
 SELECT conv_id AS run, turn AS seq, role, text AS content, CASE WHEN role = 'assistant' AND turn % 2 = 1 THEN text END AS reasoning,
   CAST((turn + 1) * 100 + length(text) AS BIGINT) AS total_tokens, role = 'assistant' AND turn % 3 = 0 AS is_seal
@@ -217,7 +222,10 @@ class Inputs:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A driver table. A scan with fewer splits than task slots (one small file) is spread; a large one is not touched."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        slots = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
