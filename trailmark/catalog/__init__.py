@@ -6,7 +6,7 @@ import importlib
 
 from trailmark.catalog.base import ORACLES, QUERIES
 
-AREAS = ("scalars", "summary", "table", "parse")
+AREAS = ("scalars", "summary", "table", "parse", "trajectory")
 
 
 def _load() -> None:
