@@ -6,7 +6,7 @@ import importlib
 
 from trailmark.catalog.base import ORACLES, QUERIES
 
-AREAS = ("scalars", "summary", "table", "parse", "trajectory", "benchmark")
+AREAS = ("scalars", "summary", "table", "parse", "trajectory", "benchmark", "source")
 
 
 def _load() -> None:

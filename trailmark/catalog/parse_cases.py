@@ -154,8 +154,12 @@ def _(x):
 def _(x):
     from trailmark.operators.metrics import retry_counts
 
-    r = P.turn_retry_reason(x.texts).filter("retry_reason IS NOT NULL")
-    return retry_counts(r.select((F.col("doc_id") % 10).cast("string").alias("question_id"), (F.col("doc_id") % 3).cast("int").alias("rollout_idx"), F.col("retry_reason").alias("reason")))
+    # outer explode instead of a filter, which would be pushed down and repeat the parse
+    r = P.turn_retry_reason(x.texts).select(
+        (F.col("doc_id") % 10).cast("string").alias("question_id"), (F.col("doc_id") % 3).cast("int").alias("rollout_idx"),
+        F.explode_outer(F.array("retry_reason")).alias("reason"),
+    )
+    return retry_counts(r.filter("reason IS NOT NULL"))
 
 
 ECLASS = """CASE WHEN doc_id % 7 IN (1, 5) THEN 'fatal' WHEN doc_id % 7 IN (0, 6) THEN 'rate_limited' WHEN doc_id % 7 IN (2, 4) THEN 'retryable' ELSE 'other' END"""

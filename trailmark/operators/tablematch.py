@@ -62,10 +62,10 @@ def table_headers(tables: DataFrame) -> DataFrame:
 
 def table_rows(tables: DataFrame) -> DataFrame:
     """Rows of extracted tables as (instance_id, row_id, cells map)."""
-    distinct = F.size(F.array_distinct("columns")) == F.size("columns")
-    lines = tables.filter("table_error IS NULL").filter(distinct).select(
-        "instance_id", "header", F.posexplode("lines").alias("row_id", "line")
-    )
+    usable = F.col("table_error").isNull() & (F.size(F.array_distinct("columns")) == F.size("columns"))
+    # outer explode: a filter on the parsed columns would be pushed down and repeat the parse
+    lines = tables.select("instance_id", "header", F.posexplode_outer(F.when(usable, F.col("lines"))).alias("row_id", "line"))
+    lines = lines.filter("line IS NOT NULL")
     named = F.filter(
         F.transform(F.col("header"), lambda h, i: F.struct(S.norm_column(h).alias("k"), F.get(F.col("line"), i).alias("v"))),
         lambda e: e["k"] != "",

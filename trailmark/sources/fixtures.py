@@ -80,7 +80,7 @@ SELECT side, instance_id, row_id,
   CASE WHEN side = 'gold' THEN l_returnflag WHEN l_partkey % 5 = 0 THEN '*' || lower(l_returnflag) || '* ' ELSE lower(l_returnflag) END AS flag,
   CASE WHEN side = 'gold' THEN {_S('l_extendedprice')} WHEN l_partkey % 23 = 0 THEN 'n/a' ELSE '$' || {_S('l_extendedprice')} || ' usd' END AS price
 FROM (SELECT l.*, @EACH('gold', 'pred') AS side, l_suppkey % 20 AS instance_id,
-    l_orderkey * 1000000000 + l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS row_id FROM lineitem l) r
+    l_orderkey * 1000000000 + l_linenumber * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS row_id FROM lineitem l) r
 WHERE NOT (side = 'pred' AND l_partkey % 17 = 0)""",
     "fx_spec": """
 SELECT instance_id, CASE WHEN instance_id = 16 THEN 'not json'

@@ -116,18 +116,24 @@ def read_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFra
     """CSV with a header, quoted line breaks and an optional byte order mark."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     first = raw.columns[0]
-    return check_columns(raw.withColumnRenamed(first, first.lstrip("﻿")), required)
+    return check_columns(raw.withColumnRenamed(first, first.lstrip("\ufeff")), required)
 
 
 def read_gold_folder(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV per instance: id from the file name, the whole text and its row count."""
+    """One CSV per instance: id from the file name, the whole text, its columns and row count."""
     raw = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1).alias("instance_id"),
-        F.regexp_replace("value", "^﻿", "").alias("gold_csv"),
+        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1).alias("instance_id"), "value"
     )
+    return gold_summary(raw)
+
+
+def gold_summary(raw: DataFrame) -> DataFrame:
+    """Replace the CSV text ``value`` by gold_csv, normalised columns and the number of data rows."""
+    keys = [c for c in raw.columns if c != "value"]
+    text = raw.select(*keys, F.regexp_replace("value", "^\ufeff", "").alias("gold_csv"))
     lines = F.filter(F.split("gold_csv", r"\r?\n"), lambda line: ~S.is_blank(line))
-    return raw.select(
-        "instance_id",
+    return text.select(
+        *keys,
         "gold_csv",
         F.transform(F.split(F.get(lines, F.lit(0)), ","), S.norm_column).alias("columns"),
         (F.size(lines) - 1).alias("rows"),
@@ -236,3 +242,27 @@ def number_rows(df: DataFrame, order: Sequence[str], digits: int = 4) -> DataFra
 def read_id_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One id per line, blanks dropped."""
     return spark.read.text(path).select(S.strip("value").alias("question_id")).filter("question_id <> ''").distinct()
+
+
+def find_review_files(spark: SparkSession, files: Sequence[str] = (), work_dir: str | None = None) -> list[str]:
+    """Log files to re-judge: the named ones, then those of a work folder or of its rollouts.
+
+    Each file once, by its qualified path; a missing file is an error. Only names pass the driver.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def listed(pattern: str) -> list[str]:
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        found = path.getFileSystem(conf).globStatus(path) or []
+        return [s.getPath().toString() for s in found if s.isFile()]
+
+    out: list[str] = []
+    for name in files:
+        hit = listed(name)
+        if not hit:
+            raise FileNotFoundError(f"Review log not found: {name}")
+        out += hit
+    if work_dir:
+        direct = listed(work_dir) or listed(f"{work_dir}/000_review/review.jsonl") + listed(f"{work_dir}/review.jsonl")
+        out += direct or sorted(listed(f"{work_dir}/rollout_*/000_review/review.jsonl") + listed(f"{work_dir}/rollout_*/review.jsonl"))
+    return list(dict.fromkeys(out))
