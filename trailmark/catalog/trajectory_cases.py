@@ -216,8 +216,9 @@ STATUS = f"CASE WHEN {KG0.format('status')} IN ('verified', 'conflicting', 'part
     UNION ALL SELECT memory_id, 1, CASE WHEN json_type(knowledge_graph, '$[1]') = 'VARCHAR' THEN json_extract_string(knowledge_graph, '$[1]') ELSE 'v' END, '', 'partial' FROM fx_memory""",
 )
 def _(x):
-    t = M.normalized(x.memory).select("memory_id", F.posexplode("knowledge_graph").alias("pos", "f"))
-    return t.select("memory_id", "pos", "f.*")
+    # outer explode: the inner one would add filters that evaluate the normalisation again
+    t = M.normalized(x.memory).select("memory_id", F.posexplode_outer("knowledge_graph").alias("pos", "f"))
+    return t.filter("f IS NOT NULL").select("memory_id", "pos", "f.*")
 
 
 @case(

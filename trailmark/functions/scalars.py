@@ -21,16 +21,13 @@ FLOAT_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 URL_TOKEN = (
     r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 )
-# (guard, parser pattern, suffix): the guard picks the one pattern worth trying for a text.
+# Year-first notations (2024-1-5, 2024/1/5, 2024年1月5日, 2024年1月, 2024-1, 2024) become one form a cast reads.
+YEAR_FIRST = r"^\d{4}(-\d{1,2}){0,2}$"
+YEAR_FIRST_MARKS = ("/年月日", "---")
+# Other notations: (guard, parser pattern, suffix); the guard picks the one pattern worth trying.
 DATE_FORMATS = (
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d", ""),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d", ""),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", ""),
     (r"^\d{8}$", "yyyyMMdd", ""),
-    (r"^\d{4}年\d{1,2}月\d{1,2}日$", "yyyy年M月d日", ""),
-    (r"^\d{4}年\d{1,2}月\d{1,2}$", "yyyy年M月d", ""),
-    (r"^\d{4}年\d{1,2}月$", "yyyy年M月", ""),
-    (r"^\d{4}-\d{1,2}$", "yyyy-M", ""),
     (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy", ""),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy", ""),
     (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy", ""),
@@ -39,7 +36,6 @@ DATE_FORMATS = (
     (r"^[A-Za-z]{3} \d{4}$", "MMM yyyy", ""),
     (r"^[A-Za-z]{4,9} \d{1,2}$", "MMMM d yyyy", " 2000"),
     (r"^[A-Za-z]{3} \d{1,2}$", "MMM d yyyy", " 2000"),
-    (r"^\d{4}$", "yyyy", ""),
 )
 DATE_WINDOW_DAYS = 31
 PREPROCESSORS = ("norm_str", "extract_number", "norm_date")
@@ -73,7 +69,7 @@ def is_blank(c: Column | str) -> Column:
 
 def first_nonempty(*cs: Column | str) -> Column:
     """The first operand that is neither null nor empty, else the empty text."""
-    return F.coalesce(*[blank_to_null(c) for c in cs], F.lit(""))
+    return F.coalesce(F.get(F.filter(F.array(*[col(c) for c in cs]), lambda t: t != ""), F.lit(0)), F.lit(""))
 
 
 def norm_column(c: Column | str) -> Column:
@@ -100,7 +96,8 @@ def _date_of(text: Column) -> Column:
     for guard, pattern, suffix in reversed(DATE_FORMATS):
         value = F.concat(text, F.lit(suffix)) if suffix else text
         out = F.when(text.rlike(guard), F.try_to_timestamp(value, F.lit(pattern)).cast("date")).otherwise(out)
-    return out
+    plain = F.rtrim(F.translate(text, *YEAR_FIRST_MARKS), F.lit("-"))
+    return let(plain, lambda p: F.when(p.rlike(YEAR_FIRST), p.try_cast("date")).otherwise(out))
 
 
 def norm_date(c: Column | str) -> Column:

@@ -32,8 +32,10 @@ def _pick(v: Column, names: tuple[str, ...]) -> Column:
 def normal_facts(v: Column) -> Column:
     """Knowledge graph entries with their aliases resolved; a bare value becomes a partial fact."""
     def entry(e: Column) -> Column:
-        obj = V.is_object(e)
-        status = V.text_at(e, "$.status")
+        return S.let(F.struct(e.alias("e"), V.is_object(e).alias("obj"), V.text_at(e, "$.status").alias("status")), fields)
+
+    def fields(p: Column) -> Column:
+        e, obj, status = p["e"], p["obj"], p["status"]
         return F.struct(
             F.when(obj, _pick(e, FACT_FIELDS)).otherwise(e.try_cast("string")).alias("fact"),
             F.when(obj, _pick(e, SOURCE_FIELDS)).otherwise(F.lit("")).alias("source_url"),
