@@ -11,7 +11,7 @@ from trailmark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, 4)
+    return local_session(8, 4)
 
 
 @pytest.fixture()

@@ -197,7 +197,7 @@ def test_model_scores_and_key_mapping(spark):
 
 
 def test_table_extraction(spark):
-    texts = ["", "no table", "```markdown\n| A b |c|\n|--|--|\n| 1 | x |\n```\n| z | z |", "t | A | B |\n| 1 | 2 |\nend | x", "| only | head |", "| a | b |\n| 1 | 2 | 3 |"]
+    texts = ["", "no table", "```markdown\n| A b |c|\n|--|--|\n| 1 | x |\n```\n| z | z |", "t | A | B |\n| 1 | 2 |\nend | x", "| only | head | x |", "| a | b |\n| 1 | 2 | 3 |"]
     df = spark.createDataFrame(list(enumerate(texts)), "instance_id bigint, response string")
     got = {r.instance_id: r for r in TM.extract_tables(df).collect()}
     assert [got[i].table_error for i in range(6)] == ["empty_response", "no_table", None, None, "no_data_rows", "bad_row_width"]
