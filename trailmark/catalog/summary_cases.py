@@ -128,19 +128,19 @@ def _(x):
 
 
 LIVE = """count(*) FILTER (is_correct = 'true') AS correct, count(*) FILTER (coalesce(is_correct, '') <> 'true') AS incorrect, round(count(*) FILTER (is_correct = 'true') / count(*), 6) AS accuracy,
- round(count(*) FILTER (is_correct = 'true') / 12000, 6) AS accuracy_all, """ + ", ".join(
-    f"round(sum(coalesce({fin(m)}, 0)) / count(*), 6) AS {m}, round(sum(coalesce({fin(m)}, 0)) / 12000, 6) AS {m}_all" for m in R.COMPONENT_METRICS
+ round(count(*) FILTER (is_correct = 'true') / 11000, 6) AS accuracy_all, """ + ", ".join(
+    f"round(sum(coalesce({fin(m)}, 0)) / count(*), 6) AS {m}, round(sum(coalesce({fin(m)}, 0)) / 11000, 6) AS {m}_all" for m in R.COMPONENT_METRICS
 ) + ", CAST(sum(tokens) AS BIGINT) AS tokens"
 
 
 @case("agg15_live_counters", f"SELECT {LIVE} FROM fx_reviews")
 def _(x):
-    return flat(R.live_counters(x.reviews, 12000))
+    return flat(R.live_counters(x.reviews, 11000))
 
 
 @case("agg16_seeded_counters", f"SELECT {LIVE} FROM (SELECT *, row_number() OVER (PARTITION BY rollout_idx, question_id ORDER BY file_rank DESC, line DESC) AS rn FROM fx_reviews) t WHERE rn = 1")
 def _(x):
-    return flat(R.live_counters(R.seed_records(x.reviews), 12000))
+    return flat(R.live_counters(R.seed_records(x.reviews), 11000))
 
 
 @case(
