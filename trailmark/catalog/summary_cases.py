@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from trailmark.catalog.base import case, r6
-from trailmark.functions import scalars as S
 from trailmark.functions import variants as V
 from trailmark.operators import metrics as M
 from trailmark.operators import summaries as R

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions import scalars as S
-from trailmark.functions import tables as X
 from trailmark.functions import variants as V
 from trailmark.sources.readers import check_columns, text_list
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import scalars as S
 from trailmark.functions import tables as X
-from trailmark.functions import variants as V
 from trailmark.plans.keyed import first_by
 from trailmark.plans.staging import staged
 
