@@ -351,27 +351,26 @@ def _(x):
 
 
 # ---- caller functions ----
-def shout(question, url):
-    if "example.org" in url:
-        raise ValueError("blocked")
-    return question.upper()
-
-
 @case("udf1_callable", "SELECT page_id, CASE WHEN contains(url, 'example.org') THEN NULL ELSE upper(lang) END AS output, CAST(CASE WHEN contains(url, 'example.org') THEN 2 ELSE 1 END AS INTEGER) AS attempts, CASE WHEN contains(url, 'example.org') THEN 'ValueError: blocked' END AS error FROM (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS lang FROM pages) t")
 def _(x):
+    # a local function travels to the workers by value, so they need not have this package
+    def shout(question, url):
+        if "example.org" in url:
+            raise ValueError("blocked")
+        return question.upper()
+
     req = x.table("pages").select("page_id", "url", F.when(F.col("page_id") % 2 == 0, F.lit("even")).otherwise(F.lit("odd")).alias("question"))
     return CA.call_function(req, shout, ["question", "url"], 2).select("page_id", "output", "attempts", "error")
 
 
-def verdict_of(request):
-    return "correct: yes" if "purchase" in request else "no idea" if "view" in request else "correct: no"
-
-
 @case(
     "udf3_reask",
     """SELECT line, event_type = 'purchase' AS is_correct, CASE WHEN event_type = 'view' THEN 'EXTRACTION_FAILED' ELSE 'SUCCESS' END AS status, CAST(CASE WHEN event_type = 'view' THEN 3 ELSE 1 END AS INTEGER) AS attempts FROM (SELECT event_id AS line, event_type FROM events) t""",
 )
 def _(x):
+    def verdict_of(request):
+        return "correct: yes" if "purchase" in request else "no idea" if "view" in request else "correct: no"
+
     req = x.reviews.select("line", F.concat(F.lit("judge "), "truth").alias("request"))
     asked = CA.ask_until_parseable(req, verdict_of, lambda r: r.startswith("correct:"), 3)
     return asked.withColumn("v", J.labelled_verdict(F.col("reply"))).select("line", "v.is_correct", "v.status", "attempts")
