@@ -6,18 +6,38 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trailmark.llm import packing, simhash
-from trailmark.llm.common import table
+from trailmark.llm import packing, quality, simhash, toxicity
+from trailmark.llm.common import held_out, table
+
+
+def op1_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.scored(docs.select("doc_id", "text"), model, name="score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_nearest_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(docs.select("doc_id", "text"), model, name="t").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "t.*")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "neighbours", "nearness", "terms")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_best_fit": op2_best_fit, "op9_simhash": op9_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_discriminant": op1_discriminant,
+    "op2_best_fit": op2_best_fit,
+    "op5_nearest_labelled": op5_nearest_labelled,
+    "op9_simhash": op9_simhash,
+}
 ORACLES: dict[str, str] = {}
