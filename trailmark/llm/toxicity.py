@@ -30,11 +30,28 @@ from trailmark.llm.common import held_out, staged
 _WORD = re.compile(r"[^\W_]+")
 
 
+#: Lengths of the word beginnings that are terms besides whole words.
+STEMS = (5, 7)
+#: Weight of a term that every text has, in units of a usual term: it makes the cosine tell one passing word from many.
+ANCHOR = 3.0
+
+
 def words(text: str | None) -> list[str]:
     """Lower-cased runs of letters and digits of the whole text."""
     return _WORD.findall((text or "").lower())
 
 
+def terms_of(text: str | None) -> Counter[str]:
+    """Terms of the whole text with their counts: words, and beginnings of longer words marked by a star."""
+    own = Counter(words(text))
+    out = Counter(own)
+    for word, n in own.items():
+        for size in STEMS:
+            if len(word) > size:
+                out[word[:size] + "*"] += n
+    return out
+
+
 class BlockMaxIndex:
     """Exact k nearest rows by inner product over sparse non-negative unit vectors."""
 
@@ -104,15 +121,16 @@ class ToxicityModel:
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit TF-IDF weights of a whole text; empty if it has no term of the vocabulary."""
         known = self.vocabulary
-        return self.weighted(Counter(known[w] for w in words(text) if w in known))
+        return self.weighted(Counter({known[w]: n for w, n in terms_of(text).items() if w in known}))
 
     def weighted(self, counts: Counter[int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), np.int64)
         weights = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms] if len(terms) else np.empty(0)
-        return terms, weights / np.sqrt((weights**2).sum()) if len(terms) else weights
+        terms, weights = np.append(terms, len(self.idf)), np.append(weights, ANCHOR * float(np.median(self.idf)) if len(self.idf) else 1.0)
+        return terms, weights / np.sqrt((weights**2).sum())
 
     def index(self) -> BlockMaxIndex:
-        return BlockMaxIndex(self.rows, len(self.idf))
+        return BlockMaxIndex(self.rows, len(self.idf) + 1)
 
     def vote(self, found: list[tuple[float, int]]) -> float | None:
         total = sum(s for s, _ in found)
@@ -150,7 +168,7 @@ class ToxicityModel:
                             seen.clear()
                         found = index.nearest(terms, weights, model.neighbours)
                         strongest = np.argsort(-weights, kind="stable")
-                        seen[key] = (model.probability(model.vote(found)), [model.ids[i] for _, i in found], [s for s, _ in found], [names[t] for t in terms[strongest].tolist()])
+                        seen[key] = (model.probability(model.vote(found)), [model.ids[i] for _, i in found], [s for s, _ in found], [names[t] for t in terms[strongest].tolist() if t < len(names)])
                     out.append(seen[key])
                 yield pd.DataFrame(out, columns=["score", "neighbours", "nearness", "terms"])
 
@@ -161,7 +179,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         terms, labels = [], []
         for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist()):
-            own = set(words(text))
+            own = terms_of(text).keys()
             terms += own
             labels += [label] * len(own)
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(labels, pa.int32())], ["term", "label"])
@@ -202,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, max_example
         seen, rows = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             for x in batch["text"].to_pylist():
-                for w in vocabulary.keys() & set(words(x)):
+                for w in vocabulary.keys() & terms_of(x).keys():
                     seen[vocabulary[w]] += 1
             rows += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([*range(len(seen)), -1], pa.int32()), pa.array([*seen.tolist(), rows], pa.int64())], ["term", "n"])
@@ -213,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, max_example
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [Counter(vocabulary[w] for w in words(x) if w in vocabulary) for x in batch["text"].to_pylist()]
+            made = [{vocabulary[w]: n for w, n in terms_of(x).items() if w in vocabulary} for x in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array([list(c) for c in made], pa.list_(pa.int32())), pa.array([list(c.values()) for c in made], pa.list_(pa.int32()))], ["id", "label", "terms", "counts"])
 
     coded = sorted(known.select(F.col("id").cast("bigint").alias("id"), "label", "text").mapInArrow(vectors, "id bigint, label int, terms array<int>, counts array<int>").collect(), key=lambda r: r["id"])
