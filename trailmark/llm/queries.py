@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import packing, quality, simhash, toxicity
+from trailmark.llm import linededup, packing, quality, simhash, toxicity
 from trailmark.llm.common import held_out, table
 
 
@@ -30,6 +30,10 @@ def op5_nearest_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "neighbours", "nearness", "terms")
 
 
+def op6_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_discriminant": op1_discriminant,
     "op2_best_fit": op2_best_fit,
     "op5_nearest_labelled": op5_nearest_labelled,
+    "op6_minhash_lines": op6_minhash_lines,
     "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
