@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import linededup, packing, quality, simhash, toxicity
+from trailmark.llm import linededup, mixing, packing, quality, simhash, toxicity
 from trailmark.llm.common import held_out, table
 
 
@@ -34,6 +34,10 @@ def op6_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sampling_plan(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit": op2_best_fit,
     "op5_nearest_labelled": op5_nearest_labelled,
     "op6_minhash_lines": op6_minhash_lines,
+    "op8_raking": op8_raking,
     "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
