@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import linededup, mixing, packing, quality, simhash, toxicity
+from trailmark.llm import linededup, mixing, packing, quality, secretscan, simhash, toxicity
 from trailmark.llm.common import held_out, table
 
 
@@ -42,6 +42,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secretscan.scan(docs, secretscan.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_discriminant": op1_discriminant,
     "op2_best_fit": op2_best_fit,
@@ -49,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash_lines": op6_minhash_lines,
     "op8_raking": op8_raking,
     "op9_simhash": op9_simhash,
+    "op10_secret_field": op10_secret_field,
 }
 ORACLES: dict[str, str] = {}
