@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import staged
 
 #: Distinct words whose ids a worker keeps, and the longest word that is kept.
-WORD_CACHE, LONGEST_CACHED = 300_000, 64
+WORD_CACHE, LONGEST_CACHED = 400_000, 64
 #: Documents of one length that are ranked in one task.
 RANKED_TOGETHER = 20_000
 
+#: Marks that are parted from a word's end.
+TAIL = b".,;:!?$%&*#|)"
 #: Documents tokenized at a time.
-ENCODED_TOGETHER = 256
+ENCODED_TOGETHER = 512
 
 PIECES = "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PIECE_NAMES = ["id", "piece", "start", "length", "ids_crc32"]
@@ -43,32 +45,63 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer file, through a cache of words.
 
     The tokenizer separates tokens at white space and normalizes no character across it, so a
-    text's ids are those of its blank-separated words, one after the other.
+    text's ids are those of its blank-separated words, one after the other. New words are encoded
+    together in one text, a control character standing between them; words that hold it are encoded alone.
     """
 
+    MARK = b"\x01"
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        self.mark = self._ids(self.MARK)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words with their ids. Marks after a word's last letter are tokens of their own, so such a word is put together from two."""
+        parts = {}
+        for word in words:
+            low = word.lower()
+            stem = low.rstrip(TAIL)
+            parts[word] = (stem, low[len(stem) :]) if stem != low and stem[-1:].isalpha() else (low, b"")
+        own = {x for pair in parts.values() for x in pair if x}
+        ids = {x: self.known[x] for x in own & self.known.keys()}
+        ids |= self.encoded(list(own - ids.keys()))
+        ids[b""] = b""
+        for word, (stem, tail) in parts.items():
+            yield word, ids[stem] + ids[tail]
+            yield stem, ids[stem]
+
+    def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        alone = [w for w in words if self.MARK in w or len(self.mark) != 1]
+        out = {w: self._ids(w).tobytes() for w in alone}
+        words = [w for w in words if w not in out]
+        for at in range(0, len(words), 5000):
+            some = words[at : at + 5000]
+            ids = self._ids((b" " + self.MARK + b" ").join(some))
+            ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+            raw = ids.tobytes()
+            out.update(zip(some, (raw[4 * lo : 4 * hi] for lo, hi in zip([0, *(e + 1 for e in ends)], ends))))
+        return out
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
         split = [x.encode("utf-8", "surrogatepass").split() for x in texts]
         if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        known = self.known
-        fresh = list({w for words in split for w in words if w not in known})
-        local = {}
-        for at in range(0, len(fresh), 50_000):
-            some = fresh[at : at + 50_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            for word, enc in zip(some, coded):
-                (known if len(word) <= LONGEST_CACHED else local)[word] = enc.ids
+            self.known, self.older = {}, self.known
+        known, older, local = self.known, self.older, {}
+        fresh = set().union(*split).difference(known)
+        for word in fresh & older.keys():
+            known[word] = older[word]
+        for word, ids in self.learn(list(fresh - older.keys())):
+            (known if len(word) <= LONGEST_CACHED else local)[word] = ids
         for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w] if w in known else local[w]
-            yield ids
+            yield b"".join([known[w] if w in known else local[w] for w in words]) if local else b"".join(map(known.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -81,6 +114,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     ``tokenizer_path`` must be readable on every executor.
     """
 
+    end = np.array([end_id], "<u4").tobytes()
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
@@ -89,10 +124,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 part = batch.slice(lo, ENCODED_TOGETHER)
                 out: list[tuple] = []
                 for key, ids in zip(part["id"].to_pylist(), encoder.encode([x or "" for x in part["text"].to_pylist()])):
-                    coded = np.array([*ids, end_id], "<u4")
-                    for piece, start in enumerate(range(0, len(coded), capacity)):
-                        own = coded[start : start + capacity]
-                        out.append((key, piece, start, len(own), zlib.crc32(own.tobytes())))
+                    coded = ids + end
+                    for piece, start in enumerate(range(0, len(coded) // 4, capacity)):
+                        own = coded[4 * start : 4 * (start + capacity)]
+                        out.append((key, piece, start, len(own) // 4, zlib.crc32(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _PIECE_TYPES)], _PIECE_NAMES)
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
