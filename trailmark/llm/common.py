@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from trailmark.plans.staging import staged
 
-__all__ = ["components", "held_out", "staged", "table"]
+__all__ = ["components", "held_out", "send_if_small", "staged", "table"]
+
+#: Rows of a key table up to which it is sent to all executors; beyond, the join shuffles.
+SEND_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +23,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def send_if_small(keys: DataFrame) -> DataFrame:
+    """A written table of short keys, marked for broadcast only if it has been counted to be small."""
+    return F.broadcast(keys) if keys.count() <= SEND_ROWS else keys
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge table ``(a, b)`` of any orderable type.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import linededup, mixing, packing, quality, secretscan, simhash, toxicity
+from trailmark.llm import linededup, mixing, packing, quality, sanitise, secretscan, simhash, toxicity
 from trailmark.llm.common import held_out, table
 
 
@@ -23,6 +23,13 @@ def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.find_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != sanitise.TERM_KIND)
+    counts = [sanitise.spans_of(k).alias(f"n_{k}") for k in sanitise.KINDS]
+    return found.select("doc_id", *counts, F.sha2(sanitise.digest(base), 256).alias("base_sha256"), sanitise.digest(F.col("spans")).alias("spans"))
+
+
 def op5_nearest_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -50,6 +57,7 @@ def op10_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_discriminant": op1_discriminant,
     "op2_best_fit": op2_best_fit,
+    "op3_disclosure": op3_disclosure,
     "op5_nearest_labelled": op5_nearest_labelled,
     "op6_minhash_lines": op6_minhash_lines,
     "op8_raking": op8_raking,
