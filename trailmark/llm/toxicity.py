@@ -52,40 +52,68 @@ def terms_of(text: str | None) -> Counter[str]:
     return out
 
 
+class Vocabulary:
+    """Term numbers, looked up without naming the terms that are not in it."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.terms = terms
+        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
+        self.stems = [(size, {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*") and len(t) == size + 1}) for size in STEMS]
+
+    def counts(self, text: str | None) -> Counter[int]:
+        """Counts of the terms of `terms_of` that are known."""
+        own = Counter(words(text))
+        out = Counter({self.words[w]: own[w] for w in own.keys() & self.words.keys()})
+        for size, known in self.stems:
+            if known:
+                for word, n in own.items():
+                    if (place := known.get(word[:size])) is not None and len(word) > size:
+                        out[place] += n
+        return out
+
+
 class BlockMaxIndex:
-    """Exact k nearest rows by inner product over sparse non-negative unit vectors."""
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 64) -> None:
-        """``rows``: (term numbers ascending, weights). Rows that share their strongest term are put in the same blocks."""
-        self.order = np.array(sorted(range(len(rows)), key=lambda i: (int(rows[i][0][rows[i][1].argmax()]) if len(rows[i][0]) else -1, i)), np.int64)
-        self.block, self.blocks = block, -(-len(rows) // block)
-        term = np.concatenate([rows[i][0] for i in self.order] or [np.empty(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([rows[i][1] for i in self.order] or [np.empty(0)])
-        place = np.repeat(np.arange(len(rows)), [len(rows[i][0]) for i in self.order])
-        by_term = np.lexsort((place, term))
-        term, self.weight, self.place = term[by_term], weight[by_term], place[by_term]
-        self.largest = np.zeros((terms, max(self.blocks, 1)))
-        np.maximum.at(self.largest, (term, self.place // block), self.weight)
-        cell = term * max(self.blocks, 1) + self.place // block
-        self.starts = np.searchsorted(cell, np.arange(terms * max(self.blocks, 1) + 1))
+    """Exact k nearest examples by inner product over sparse non-negative unit vectors.
+
+    Examples with the same vector are one row. Rows that share their strongest terms lie in the same blocks of
+    the postings; a block's part of a term's postings is stored in full width (terms and examples are bounded).
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = 32) -> None:
+        """``vectors``: (term numbers ascending, weights), one for each example."""
+        same: dict[tuple[bytes, bytes], list[int]] = {}
+        for i, (own, weights) in enumerate(vectors):
+            if len(own):
+                same.setdefault((own.tobytes(), weights.tobytes()), []).append(i)
+        members = sorted(same.values(), key=lambda m: ([int(t) for t in vectors[m[0]][0][np.argsort(-vectors[m[0]][1], kind="stable")]], m))
+        self.members = members
+        blocks = -(-len(members) // block)
+        self.postings = np.zeros((terms, blocks, block))
+        for row, m in enumerate(members):
+            own, weights = vectors[m[0]]
+            self.postings[own, row // block, row % block] = weights
+        self.largest = self.postings.max(axis=2) if blocks else np.zeros((terms, 0))
+        self.block = block
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k best (product, row), best first, ties to the smaller row; rows with product 0 are no neighbours."""
-        if not len(terms) or not self.blocks:
+        """The k best (product, example), best first, ties to the smaller example; examples with product 0 are no neighbours."""
+        if not len(terms) or not self.members:
             return []
         bound = weights @ self.largest[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-9:
-                break
-            sums = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                cell = t * self.blocks + b
-                lo, hi = self.starts[cell], self.starts[cell + 1]
-                sums[self.place[lo:hi] - b * self.block] += w * self.weight[lo:hi]
-            hit = np.flatnonzero(sums > 0)
-            best = sorted(best + [(-round(float(sums[i]), 12), int(self.order[b * self.block + i])) for i in hit])[:k]
-        return [(-s, row) for s, row in best]
+        order = np.argsort(-bound, kind="stable")
+        at = 3 + k // self.block
+        sums = self._products(terms, weights, order[:at])
+        best = np.sort(sums)[-k] if len(sums) >= k else 0.0  # the k-th best so far bounds the k-th best of all from below
+        rest = order[at:][bound[order[at:]] >= best - 1e-9]
+        rest = rest[bound[rest] > 0]
+        sums = np.concatenate([sums, self._products(terms, weights, rest)])
+        rows = (np.concatenate([order[:at], rest])[:, None] * self.block + np.arange(self.block)).ravel()
+        near = np.flatnonzero((sums > 0) & (sums >= best - 1e-9))
+        found = [(-round(float(sums[j]), 12), i) for j in near.tolist() for i in self.members[rows[j]][:k]]
+        return [(-s, i) for s, i in sorted(found)[:k]]
+
+    def _products(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        return np.tensordot(weights, self.postings[terms[:, None], blocks[None, :]], axes=1).ravel()
 
 
 def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +136,7 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class ToxicityModel:
     """A fitted model; small by construction (see the bounds in the module) and sent to every worker."""
 
-    vocabulary: dict[str, int]
+    vocabulary: Vocabulary
     idf: np.ndarray
     ids: list[int]
     labels: np.ndarray
@@ -117,16 +145,16 @@ class ToxicityModel:
     ends: np.ndarray
     probabilities: np.ndarray
     without: float
+    anchor: float
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit TF-IDF weights of a whole text; empty if it has no term of the vocabulary."""
-        known = self.vocabulary
-        return self.weighted(Counter({known[w]: n for w, n in terms_of(text).items() if w in known}))
+        return self.weighted(self.vocabulary.counts(text))
 
     def weighted(self, counts: Counter[int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.array(sorted(counts), np.int64)
         weights = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms] if len(terms) else np.empty(0)
-        terms, weights = np.append(terms, len(self.idf)), np.append(weights, ANCHOR * float(np.median(self.idf)) if len(self.idf) else 1.0)
+        terms, weights = np.append(terms, len(self.idf)), np.append(weights, self.anchor)
         return terms, weights / np.sqrt((weights**2).sum())
 
     def index(self) -> BlockMaxIndex:
@@ -157,7 +185,7 @@ class ToxicityModel:
 
         @F.pandas_udf("score double, neighbours array<bigint>, nearness array<double>, terms array<string>")
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            index, names, seen = model.index(), list(model.vocabulary), {}
+            index, names, seen = model.index(), model.vocabulary.terms, {}
             for texts in batches:
                 out = []
                 for text in texts:
@@ -198,7 +226,7 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col:
     return staged(texts.groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "examples")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, max_examples: int = 4000, max_terms: int = 1000, neighbours: int = 15, significance: float = 15.0, id_col: str = "doc_id", text: str = "text") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, max_examples: int = 4000, max_terms: int = 1000, neighbours: int = 15, significance: float = 25.0, id_col: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Fit on the labelled documents outside the held-out part.
 
     A word enters the vocabulary if at least 3 examples hold it and the likelihood ratio of its
@@ -214,24 +242,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, max_example
     held = known.select("text", "label").mapInArrow(_term_rows, "term string, label int").groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
     ratio = 2 * (part(F.col("p"), spread) + part(F.col("n") - F.col("p"), F.col("n") - spread) + part(total["p"] - F.col("p"), total["p"] - spread) + part(F.lit(total["n"] - total["p"]) - F.col("n") + F.col("p"), F.lit(total["n"] - total["p"]) - F.col("n") + spread))
     chosen = held.filter("n >= 3").withColumn("g", ratio).filter(F.col("g") >= significance).orderBy(F.desc("g"), "term").limit(max_terms).collect()
-    vocabulary = {r["term"]: i for i, r in enumerate(chosen)}
+    vocabulary = Vocabulary([r["term"] for r in chosen])
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = np.zeros(len(vocabulary), np.int64), 0
+        seen, rows = np.zeros(len(chosen), np.int64), 0
         for batch in batches:
             for x in batch["text"].to_pylist():
-                for w in vocabulary.keys() & terms_of(x).keys():
-                    seen[vocabulary[w]] += 1
+                for t in vocabulary.counts(x):
+                    seen[t] += 1
             rows += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([*range(len(seen)), -1], pa.int32()), pa.array([*seen.tolist(), rows], pa.int64())], ["term", "n"])
 
     found = dict(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n")).collect())
-    idf = np.array([1 + math.log((1 + found.get(-1, 0)) / (1 + found.get(i, 0))) for i in range(len(vocabulary))])
-    model = ToxicityModel(vocabulary, idf, [], np.empty(0), [], neighbours, np.empty(0), np.empty(0), 0.0)
+    idf = np.array([1 + math.log((1 + found.get(-1, 0)) / (1 + found.get(i, 0))) for i in range(len(chosen))])
+    model = ToxicityModel(vocabulary, idf, [], np.empty(0), [], neighbours, np.empty(0), np.empty(0), 0.0, ANCHOR * float(np.median(idf)) if len(idf) else 1.0)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [{vocabulary[w]: n for w, n in terms_of(x).items() if w in vocabulary} for x in batch["text"].to_pylist()]
+            made = [vocabulary.counts(x) for x in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array([list(c) for c in made], pa.list_(pa.int32())), pa.array([list(c.values()) for c in made], pa.list_(pa.int32()))], ["id", "label", "terms", "counts"])
 
     coded = sorted(known.select(F.col("id").cast("bigint").alias("id"), "label", "text").mapInArrow(vectors, "id bigint, label int, terms array<int>, counts array<int>").collect(), key=lambda r: r["id"])
