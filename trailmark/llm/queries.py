@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import linededup, mixing, packing, quality, sanitise, secretscan, simhash, toxicity
+from trailmark.llm import innerproduct, linededup, mixing, multiindex, packing, quality, sanitise, secretscan, simhash, toxicity
 from trailmark.llm.common import held_out, table
 
 
@@ -30,6 +30,10 @@ def op3_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(sanitise.digest(base), 256).alias("base_sha256"), sanitise.digest(F.col("spans")).alias("spans"))
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_nearest_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -41,6 +45,10 @@ def op6_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_partial_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return innerproduct.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampling_plan(table(spark, sf_dir, "documents"))
 
@@ -58,8 +66,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_discriminant": op1_discriminant,
     "op2_best_fit": op2_best_fit,
     "op3_disclosure": op3_disclosure,
+    "op4_multi_index": op4_multi_index,
     "op5_nearest_labelled": op5_nearest_labelled,
     "op6_minhash_lines": op6_minhash_lines,
+    "op7_partial_sums": op7_partial_sums,
     "op8_raking": op8_raking,
     "op9_simhash": op9_simhash,
     "op10_secret_field": op10_secret_field,
