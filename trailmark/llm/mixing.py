@@ -191,8 +191,8 @@ def sampling_plan(docs: DataFrame, *, keep: float = 0.7, power: float = 0.7, tar
 
 def sample(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """The documents kept by the plan, with their own columns; rows with a null id stay, as no decision can be joined to them."""
-    gone = sampling_plan(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("_gone")).agg(F.max("kept").alias("_kept")).filter(~F.col("_kept"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = sampling_plan(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("gone")).agg(F.max("kept").alias("kept")).filter(~F.col("kept"))
+    return docs.select(F.struct("*").alias("doc")).join(gone, F.col(f"doc.`{id_col}`") == F.col("gone"), "left_anti").select("doc.*")
 
 
 __all__ = ["learn_topics", "measured", "rake", "sample", "sampling_plan", "tempered"]

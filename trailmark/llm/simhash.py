@@ -155,7 +155,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **opti
     Documents with a null id stay. If an id is repeated, all its rows stay or go together.
     """
     found = near_duplicates(docs, id_col, text, **options).filter(F.col("component_id") < F.col(id_col))
-    return docs.join(found.select(F.col(id_col).alias("_gone")).distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = found.select(F.col(id_col).alias("gone")).distinct()
+    return docs.select(F.struct("*").alias("doc")).join(gone, F.col(f"doc.`{id_col}`") == F.col("gone"), "left_anti").select("doc.*")
 
 
 __all__ = ["fingerprint", "keep_one", "near_duplicates", "near_pairs", "with_fingerprint"]
