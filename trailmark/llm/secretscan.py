@@ -75,7 +75,7 @@ def features(token: str, cues: frozenset[str]) -> list[str]:
     digits = sum(c.isdigit() for c in token)
     kinds = (any(c.isupper() for c in token), any(c.islower() for c in token), digits > 0)
     changes = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))
-    out = ["word", f"shape {shape(token)}", f"length {_bucket(len(token))}", f"kinds {kinds}", f"digits {_bucket(digits)}", f"changes {_bucket(changes)}"]
+    out = ["word", f"shape {shape(token)}", f"folded {shape(token.lower())} {_bucket(len(token))}", f"length {_bucket(len(token))}", f"kinds {kinds}", f"digits {_bucket(digits)}", f"changes {_bucket(changes)}"]
     if digits and not set(token) - set("0123456789abcdefABCDEF"):
         out.append(f"hexadecimal {len(token) >= 16} {digits == len(token)}")
     if len(token) >= 8:
