@@ -57,3 +57,24 @@ def test_picks(spark):
     first = {r.k: (r.seq, r.v) for r in first_by(df, ["k"], ["seq"]).collect()}
     for k, items in by_key(rows).items():
         assert last[k] == items[-1] and first[k] == items[0]
+
+
+def test_sparse_order_and_nulls(spark):
+    """Order values spread over 10^12, null keys and null order values: no row is lost."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", None, "cold"]), s, rng.randrange(10)) for s in rng.sample(range(10**12), 400)]
+    nulls = [("hot", None, 5), (None, None, 7)]
+    df = spark.createDataFrame(rows + nulls, "k string, seq bigint, v bigint")
+    sums = running_sums(df, ["k"], "seq", {"a": F.col("v")}).collect()
+    past = lagged(df, ["k"], "seq", F.col("v"), 3, "p").collect()
+    assert len(sums) == len(past) == len(df.collect())
+    got = {(r.k, r.seq): r.a for r in sums}
+    behind = {(r.k, r.seq): r.p for r in past}
+    first = {"hot": [5], None: [7]}
+    for k, items in by_key(rows).items():
+        values = list(first.get(k, []))
+        for s, v in items:
+            assert behind[k, s] == (values[::-1] + [None] * 3)[:3]
+            values.append(v)
+            assert got[k, s] == sum(values)
+    assert got["hot", None] == 5 and behind[None, None] == [None] * 3

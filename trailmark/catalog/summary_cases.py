@@ -314,7 +314,7 @@ def _(x):
 
 @case("srt2_seeded_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS STRING) || 'seed'), doc_id) - 1 AS position FROM documents")
 def _(x):
-    out = W.shuffled(x.table("documents").select("doc_id"), F.col("doc_id"), "seed")
+    out = W.with_shuffle_key(x.table("documents").select("doc_id"), F.col("doc_id"), "seed")
     return IN.number_rows(out, ["shuffle_key", "doc_id"]).select("doc_id", "position")
 
 

@@ -64,7 +64,7 @@ def _(x):
 
 SPEC_ROWS = """(SELECT instance_id, unnest([{'o': 0, 'c': 'orderkey', 'k': instance_id <> 17, 'p': 'norm_str', 'm': 'exact_match', 'x': NULL::DOUBLE}, {'o': 1, 'c': 'lineno', 'k': true, 'p': '', 'm': 'exact_match', 'x': NULL},
  {'o': 2, 'c': 'quantity', 'k': false, 'p': 'extract_number', 'm': 'number_near', 'x': 0.01}, {'o': 3, 'c': 'shipdate', 'k': false, 'p': 'norm_date', 'm': CASE WHEN instance_id = 18 THEN 'date_near,guess' ELSE 'date_near' END, 'x': NULL},
- {'o': 4, 'c': 'flag', 'k': false, 'p': 'norm_str', 'm': 'exact_match', 'x': NULL}, {'o': 5, 'c': 'price', 'k': false, 'p': 'extract_number', 'm': 'number_near', 'x': 0.001}]) AS s FROM fx_spec WHERE instance_id NOT IN (16, 17)) t"""
+ {'o': 4, 'c': 'flag', 'k': false, 'p': 'norm_str', 'm': 'exact_match', 'x': NULL}, {'o': 5, 'c': 'price', 'k': false, 'p': 'extract_number', 'm': 'number_near', 'x': 0.001}]) AS s FROM fx_spec WHERE instance_id NOT IN (14, 15, 16, 17)) t"""
 
 
 @case("tm2_spec_columns", f"SELECT instance_id, s.o AS ordinal, s.c AS name, s.k AS is_key, true AS has_rule, s.p AS preprocess, s.m AS metric, s.x AS criterion FROM {SPEC_ROWS}")
@@ -75,7 +75,7 @@ def _(x):
 
 @case(
     "tm3_header_status",
-    """SELECT instance_id, CASE instance_id WHEN 16 THEN 'invalid_spec' WHEN 17 THEN 'key_not_required' WHEN 18 THEN 'unknown_metric' WHEN 19 THEN 'predicted_columns_differ' END AS error,
+    """SELECT instance_id, CASE instance_id WHEN 14 THEN 'rule_without_column' WHEN 15 THEN 'missing_criterion' WHEN 16 THEN 'invalid_spec' WHEN 17 THEN 'key_not_required' WHEN 18 THEN 'unknown_metric' WHEN 19 THEN 'predicted_columns_differ' END AS error,
      CAST(CASE WHEN instance_id = 16 THEN NULL ELSE 6 END AS INTEGER) AS n_required FROM (SELECT DISTINCT instance_id FROM fx_rows) t""",
 )
 def _(x):
@@ -86,7 +86,7 @@ FIRST = """(SELECT *, row_number() OVER (PARTITION BY side, instance_id, orderke
 NUM = r"'[-+]?\d*\.\d+%?|[-+]?\d+\.?\d*%?'"
 NORMED = f"""normed AS (SELECT side, instance_id, row_id, replace(orderkey, '*', '') AS k1, line_no AS k2, coalesce(nullif(regexp_extract(quantity, {NUM}), ''), 'NULL') AS quantity,
   strftime(coalesce(try_strptime(ship_date, '%Y-%m-%d'), try_strptime(ship_date, '%Y年%m月%d日')), '%Y-%m-%d') AS ship_date, replace(replace(trim(lower(flag), @WS), ' ', ''), '*', '') AS flag,
-  coalesce(nullif(regexp_extract(price, {NUM}), ''), 'NULL') AS price FROM {FIRST} WHERE rn = 1 AND instance_id < 16)"""
+  coalesce(nullif(regexp_extract(price, {NUM}), ''), 'NULL') AS price FROM {FIRST} WHERE rn = 1 AND instance_id < 14)"""
 
 
 @case("tm4_first_row_per_key", f"SELECT side, instance_id, count(*) AS rows, CAST(sum(row_id) AS DOUBLE) AS id_sum FROM {FIRST} WHERE rn = 1 GROUP BY side, instance_id")
@@ -138,7 +138,7 @@ def _(x):
 
 FINAL = f"""{PAIRED}, hit AS (SELECT instance_id, sum(least(s1, s2, s3, s4)) AS rtp, sum(2 + s1 + s2 + s3 + s4) AS itp FROM paired GROUP BY instance_id),
  n AS (SELECT instance_id, count(*) FILTER (side = 'gold') AS g, count(*) FILTER (side = 'pred') AS p FROM normed GROUP BY instance_id),
- r AS (SELECT a.instance_id, CASE a.instance_id WHEN 16 THEN 'invalid_spec' WHEN 17 THEN 'key_not_required' WHEN 18 THEN 'unknown_metric' WHEN 19 THEN 'predicted_columns_differ' END AS error,
+ r AS (SELECT a.instance_id, CASE a.instance_id WHEN 14 THEN 'rule_without_column' WHEN 15 THEN 'missing_criterion' WHEN 16 THEN 'invalid_spec' WHEN 17 THEN 'key_not_required' WHEN 18 THEN 'unknown_metric' WHEN 19 THEN 'predicted_columns_differ' END AS error,
    coalesce(rtp, 0)::DOUBLE AS rtp, coalesce(itp, 0)::DOUBLE AS itp, coalesce(g, 0) AS g, coalesce(p, 0) AS p, coalesce(rtp / p, 0) AS rp, coalesce(rtp / g, 0) AS rr, coalesce(itp / (p * 6), 0) AS ip, coalesce(itp / (g * 6), 0) AS ir
    FROM (SELECT DISTINCT instance_id FROM fx_rows) a LEFT JOIN hit ON a.instance_id = hit.instance_id LEFT JOIN n ON a.instance_id = n.instance_id)"""
 
@@ -168,7 +168,7 @@ def _(x):
 
 @case(
     "jn10_vocabulary_mapping",
-    """WITH p AS (SELECT instance_id, row_id, orderkey FROM fx_rows WHERE side = 'pred' AND instance_id < 16), g AS (SELECT DISTINCT instance_id, orderkey FROM fx_rows WHERE side = 'gold')
+    """WITH p AS (SELECT instance_id, row_id, orderkey FROM fx_rows WHERE side = 'pred' AND instance_id < 14), g AS (SELECT DISTINCT instance_id, orderkey FROM fx_rows WHERE side = 'gold')
      SELECT p.instance_id, p.row_id, CASE WHEN g.orderkey IS NOT NULL THEN p.orderkey || '*' ELSE p.orderkey END AS orderkey FROM p LEFT JOIN g ON p.instance_id = g.instance_id AND p.orderkey || '*' = g.orderkey""",
 )
 def _(x):
@@ -182,7 +182,7 @@ def _(x):
 
 @case(
     "jn10_header_mapping",
-    """SELECT instance_id, CASE WHEN instance_id = 16 THEN 'invalid_spec' WHEN instance_id = 17 THEN 'key_not_required' WHEN instance_id = 18 THEN 'unknown_metric' WHEN instance_id % 2 = 1 THEN 'predicted_columns_differ' END AS error
+    """SELECT instance_id, CASE WHEN instance_id = 14 THEN 'rule_without_column' WHEN instance_id = 15 THEN 'missing_criterion' WHEN instance_id = 16 THEN 'invalid_spec' WHEN instance_id = 17 THEN 'key_not_required' WHEN instance_id = 18 THEN 'unknown_metric' WHEN instance_id % 2 = 1 THEN 'predicted_columns_differ' END AS error
     FROM (SELECT DISTINCT instance_id FROM fx_rows) t""",
 )
 def _(x):

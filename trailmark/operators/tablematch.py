@@ -80,7 +80,9 @@ def gold_from_csv(gold: DataFrame) -> DataFrame:
         F.transform("header", S.norm_column).alias("columns"),
         "header",
         F.slice("_r", 2, F.greatest(F.size("_r") - 1, F.lit(1))).alias("lines"),
-        F.when(F.size("_r") < 1, F.lit("empty_table")).alias("table_error"),
+        F.when(F.size("_r") < 1, F.lit("empty_table"))
+        .when(F.exists(F.slice("_r", 2, F.greatest(F.size("_r") - 1, F.lit(1))), lambda r: F.size(r) > F.size("header")), F.lit("bad_row_width"))
+        .alias("table_error"),
     )
 
 
@@ -92,9 +94,10 @@ def rows_from_cells(cells: DataFrame) -> DataFrame:
 
 
 def headers_from_rows(rows: DataFrame) -> DataFrame:
-    """Header per instance from its rows; a set of column names, so bounded by the table's width."""
-    return rows.select("instance_id", F.array_sort(F.map_keys("cells")).alias("columns")).groupBy("instance_id").agg(
-        F.max("columns").alias("columns"), F.lit(None).cast("string").alias("table_error")
+    """Header per instance: all column names of its rows, so bounded by the table's width."""
+    names = rows.select("instance_id", F.explode_outer(F.map_keys("cells")).alias("name"))
+    return names.groupBy("instance_id").agg(
+        F.array_sort(F.collect_set("name")).alias("columns"), F.lit(None).cast("string").alias("table_error")
     )
 
 
@@ -103,11 +106,15 @@ def parse_specs(specs: DataFrame) -> DataFrame:
 
     ``cols`` holds one struct per required column: name, is_key, has_rule, preprocess, metric, criterion.
     """
-    # One spec per instance. The aggregate also keeps later filters from re-inlining the JSON parse,
-    # and its partitioning by instance serves the joins that follow.
-    p = specs.groupBy("instance_id").agg(F.first(F.from_json("evaluation", SPEC_SCHEMA)).alias("p")).select("instance_id", "p.*")
+    # One spec per instance; different ones are an error. The aggregate also keeps later filters from
+    # re-inlining the JSON parse, and its partitioning by instance serves the joins that follow.
+    p = specs.groupBy("instance_id").agg(
+        F.min_by(F.from_json("evaluation", SPEC_SCHEMA), F.coalesce("evaluation", F.lit(""))).alias("p"),
+        (F.min(F.coalesce("evaluation", F.lit(""))) != F.max(F.coalesce("evaluation", F.lit("")))).alias("duplicate"),
+    ).select("instance_id", "duplicate", "p.*")
     p = p.select(
         "instance_id",
+        "duplicate",
         F.transform("required", S.norm_column).alias("required"),
         F.transform("unique_columns", S.norm_column).alias("unique_columns"),
         F.transform(
@@ -133,9 +140,18 @@ def parse_specs(specs: DataFrame) -> DataFrame:
     out = p.withColumn("cols", F.when(complete, F.transform("required", column_rule)))
     return out.withColumn(
         "spec_error",
-        F.when(~complete, F.lit("invalid_spec"))
+        F.when(F.col("duplicate"), F.lit("duplicate_spec"))
+        .when(~complete, F.lit("invalid_spec"))
         .when(F.size(F.array_except("unique_columns", "required")) > 0, F.lit("key_not_required"))
-        .when(F.exists("cols", lambda c: ~c["is_key"] & ~c["has_rule"]), F.lit("column_without_rule")),
+        .when(F.exists("cols", lambda c: ~c["is_key"] & ~c["has_rule"]), F.lit("column_without_rule"))
+        .when(
+            F.exists("pipeline", lambda e: ~F.array_contains("required", e["name"]) & (F.size(F.coalesce(e["rule"]["preprocess"], empty)) > 0)),
+            F.lit("rule_without_column"),
+        )
+        .when(
+            F.exists("cols", lambda c: ~c["is_key"] & F.array_contains(c["metric"], "number_near") & c["criterion"].isNull()),
+            F.lit("missing_criterion"),
+        ),
     ).withColumn(
         "rule_error",
         F.when(F.exists("cols", lambda c: F.size(F.array_except(c["preprocess"], steps)) > 0), F.lit("unknown_preprocess")).when(
@@ -212,11 +228,10 @@ def _key() -> Column:
 
 
 def _prepared(aligned: DataFrame) -> DataFrame:
-    """Normalise all cells and drop later rows with the same raw key, then count equal rows."""
+    """Drop later rows with the same raw key, normalise the cells of the others, and count equal rows."""
+    kept = first_by(aligned.select("instance_id", "raw_key", "row_id", "cols", "key_idx", "vals"), ["instance_id", "raw_key"], ["row_id"])
     chain = F.zip_with("vals", "cols", lambda v, c: S.preprocess(v, c["preprocess"]))
-    normed = aligned.select("instance_id", "raw_key", "row_id", "key_idx", chain.alias("vals"))
-    kept = first_by(normed, ["instance_id", "raw_key"], ["row_id"])
-    return kept.withColumn("key", _key()).groupBy("instance_id", "key", "vals").agg(F.count(F.lit(1)).alias("copies"))
+    return kept.withColumn("vals", chain).withColumn("key", _key()).groupBy("instance_id", "key", "vals").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def map_vocabulary(aligned: DataFrame, gold: DataFrame, key_map: DataFrame) -> DataFrame:
@@ -251,13 +266,13 @@ def map_vocabulary(aligned: DataFrame, gold: DataFrame, key_map: DataFrame) -> D
 
 def cell_score(metric: Column, response: Column, target: Column, criterion: Column) -> Column:
     """Native score of one cell; a model-judged cell scores zero here."""
-    return (
+    score = (
         F.when(metric == "exact_match", S.exact_match(response, target))
         .when(metric == "number_near", S.number_near(response, target, criterion))
         .when(metric == "date_near", S.date_near(response, target))
         .when(metric == "url_match", S.url_match(response, target))
-        .otherwise(F.lit(0.0))
     )
+    return F.coalesce(score, F.lit(0.0))
 
 
 def matched_rows(gold: DataFrame, pred: DataFrame) -> DataFrame:

@@ -93,9 +93,14 @@ def with_rubrics(questions: DataFrame, rubrics: DataFrame) -> DataFrame:
     return joined.withColumn("start_state", F.when(has, F.lit("ANSWER")).otherwise(F.lit("INITIAL")))
 
 
+def with_shuffle_key(df: DataFrame, key: Column, seed: str) -> DataFrame:
+    """Add the hash of the key whose order is a seeded pseudo-random one."""
+    return df.withColumn("shuffle_key", F.md5(F.concat(key.cast("string"), F.lit(seed))))
+
+
 def shuffled(df: DataFrame, key: Column, seed: str) -> DataFrame:
     """Rows in a seeded pseudo-random order: a range-partitioned sort on a hash of the key."""
-    return df.withColumn("shuffle_key", F.md5(F.concat(key.cast("string"), F.lit(seed)))).orderBy("shuffle_key", key)
+    return with_shuffle_key(df, key, seed).orderBy("shuffle_key", key)
 
 
 def missing_ids(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:

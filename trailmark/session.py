@@ -21,6 +21,8 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8) -> SparkSes
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("TRAILMARK_DRIVER_MEMORY", "12g"))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.files.openCostInBytes", "256k")
+        .config("spark.sql.files.minPartitionNum", str(cores))
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
@@ -31,11 +33,15 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8) -> SparkSes
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder for written intermediate tables: the cluster's setting, else a scratch one.
 
-    The setting names storage every executor can reach. Only when it is unset (tests, one
-    machine) is a temporary folder made and recorded, so later calls see the same one.
+    The setting names storage every executor can reach. Only where it is unset and everything runs in one process
+    on one machine (tests, the bench) is a temporary folder made and recorded, so later calls see the same one; on
+    a cluster its absence is an error, as executors don't see each other's folders.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share; it is unset on {master}")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, folder)
     return folder

@@ -85,7 +85,9 @@ WHERE NOT (side = 'pred' AND l_partkey % 17 = 0)""",
     "fx_spec": """
 SELECT instance_id, CASE WHEN instance_id = 16 THEN 'not json'
   WHEN instance_id = 17 THEN replace(body, '"unique_columns":["Order Key"', '"unique_columns":["colour"')
-  WHEN instance_id = 18 THEN replace(body, '"metric":["date_near"]', '"metric":["date_near","guess"]') ELSE body END AS evaluation
+  WHEN instance_id = 18 THEN replace(body, '"metric":["date_near"]', '"metric":["date_near","guess"]')
+  WHEN instance_id = 14 THEN replace(body, '"eval_pipeline":{', '"eval_pipeline":{"colour":{"preprocess":["norm_str"],"metric":["exact_match"]},')
+  WHEN instance_id = 15 THEN replace(body, ',"criterion":0.01', '') ELSE body END AS evaluation
 FROM (SELECT instance_id,
  '{"required":["Order Key","line no","quantity","ship date","flag","price"],"unique_columns":["Order Key","line no"],"eval_pipeline":{'
  || '"Order Key":{"preprocess":["norm_str"],"metric":["exact_match"]},"line no":{"preprocess":[],"metric":["exact_match"]},'
@@ -222,10 +224,8 @@ class Inputs:
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        """A driver table. A scan with fewer splits than task slots (one small file) is spread; a large one is not touched."""
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        slots = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+        """A driver table, split as the session's file settings say."""
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"

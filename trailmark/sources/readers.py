@@ -224,9 +224,9 @@ def number_rows(df: DataFrame, order: Sequence[str], digits: int = 4) -> DataFra
     """Zero-based position in the given order without a global window.
 
     Rows are bucketed by the first hex digits of a uniform text key (a hash), numbered inside the
-    bucket, and shifted by the running count of earlier buckets.
+    bucket, and shifted by the running count of earlier buckets. Null keys come first.
     """
-    keyed = df.withColumn("_b", F.substring(F.col(order[0]), 1, digits))
+    keyed = df.withColumn("_b", F.coalesce(F.substring(F.col(order[0]), 1, digits), F.lit("")))
     inside = Window.partitionBy("_b").orderBy(*order)
     counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
