@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trailmark.catalog.base import case
+from trailmark.catalog.base import ORACLES, case
 from trailmark.catalog.summary_cases import flat
 from trailmark.catalog.trajectory_cases import LOOP
 from trailmark.functions import scalars as S
@@ -263,14 +263,37 @@ def _(x):
 
 @case("snk4_report_json")
 def _(x):
-    return OUT.report_json(R.table_report(x.reviews, 200, 3))
+    """The report written as JSON text and read back field by field."""
+    path = scratch(x, "report")
+    OUT.write_report(R.table_report(x.reviews, 200, 3), path)
+    counts = ["unique_questions", "missing_questions"]
+    rates = ["pass_at_n_success_rate", "max_at_n_row_f1", "max_at_n_item_f1", "avg_at_n_success_rate", "avg_at_n_row_f1", "avg_at_n_item_f1"]
+    schema = ", ".join([*[f"{c} bigint" for c in counts], *[f"{r} double" for r in rates]])
+    back = x.spark.read.text(path).select(F.from_json("value", schema).alias("r")).select("r.*")
+    return flat(back)
 
 
-@case("snk5_fingerprints")
+ORACLES["snk4_report_json"] = ORACLES["agg6_table_report"]  # the same report by another way
+
+LABEL_LINE = "CAST(doc_id AS VARCHAR) || ' ' || coalesce(CAST(quality AS VARCHAR), '-') || ' ' || coalesce(CAST(toxic AS VARCHAR), '-') || chr(10)"
+
+
+@case(
+    "snk5_fingerprints",
+    f"""SELECT 'labels-' || CAST(doc_id % 16 AS VARCHAR) AS "table", CAST(sum(length({LABEL_LINE})) AS BIGINT) AS length, sha256(string_agg({LABEL_LINE}, '' ORDER BY doc_id)) AS sha256, count(*) AS rows
+    FROM labels GROUP BY doc_id % 16""",
+)
 def _(x):
-    files = OUT.fingerprints(x.spark, x.path("benchmark"), x.path("labels"))
-    rows = x.table("labels").agg(F.lit("labels").alias("table"), F.count("*").alias("rows"))
-    return OUT.manifest(files, rows).select("table", "length", "sha256", "rows")
+    """The labels written as sixteen text files whose bytes are known, fingerprinted where they lie."""
+    path = scratch(x, "labels")
+    labels = x.table("labels")
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("doc_id", "quality", "toxic")]
+    dealt = labels.select((F.col("doc_id") % 16).alias("part"), "doc_id", F.concat_ws(" ", *shown).alias("value"))
+    dealt.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    table = F.concat(F.lit("labels-"), F.regexp_extract("path", "part=([0-9]+)", 1))
+    files = OUT.fingerprints(x.spark, path).withColumn("table", table)
+    rows = labels.groupBy((F.col("doc_id") % 16).alias("part")).agg(F.count("*").alias("rows"))
+    return files.join(rows.select(F.concat(F.lit("labels-"), F.col("part").cast("string")).alias("table"), "rows"), "table").select("table", "length", "sha256", "rows")
 
 
 @case("snk6_rubric_round_trip", "SELECT 'd_' || doc_id AS question_id, doc_id % 29 = 0 AS failed FROM documents")
@@ -376,7 +399,7 @@ def _(x):
     return asked.withColumn("v", J.labelled_verdict(F.col("reply"))).select("line", "v.is_correct", "v.status", "attempts")
 
 
-@case("udf4_token_estimator", "SELECT run, CAST(sum(floor((length(content) + coalesce(length(reasoning), 0)) / 4)) AS BIGINT) AS tokens FROM fx_messages GROUP BY run")
+@case("udf4_token_estimator", "SELECT run, CAST(floor(sum(length(content) + coalesce(length(reasoning), 0)) / 4) AS BIGINT) AS tokens FROM fx_messages GROUP BY run")
 def _(x):
-    estimate = lambda: S.token_estimate(F.col("content"), F.col("reasoning"))  # noqa: E731 - any column function fits here
-    return x.messages.groupBy("run").agg(F.sum(estimate()).alias("tokens"))
+    # characters of all messages of a run, floored once; any aggregate over a character count fits here
+    return x.messages.groupBy("run").agg(S.token_total(F.col("content"), F.col("reasoning")).alias("tokens"))

@@ -12,10 +12,12 @@ NUM = r"'[-+]?\d*\.\d+%?|[-+]?\d+\.?\d*%?'"
 
 @case(
     "fn1_column_name_norm",
-    """SELECT doc_id, replace(lower(trim(split_part(text, chr(10), 1), @WS)), ' ', '') AS name FROM documents""",
+    """SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, replace(lower(trim(list_extract(lines, i), @WS)), ' ', '') AS name
+    FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) d) t""",
 )
 def _(x):
-    return x.table("documents").select("doc_id", S.norm_column(F.split_part("text", F.lit("\n"), F.lit(1))).alias("name"))
+    lines = x.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select("doc_id", "line", S.norm_column("text").alias("name"))
 
 
 @case("fn2_string_norm", """SELECT side, row_id, replace(replace(trim(lower(flag), @WS), ' ', ''), '*', '') AS flag FROM fx_rows""")
@@ -75,8 +77,14 @@ def _(x):
     )
 
 
-PAIRS = """(SELECT g.row_id, g.flag AS g_flag, p.flag AS p_flag, g.quantity AS g_quantity, p.quantity AS p_quantity, g.ship_date AS g_ship, p.ship_date AS p_ship,
- g.price AS g_price, p.price AS p_price FROM fx_rows g JOIN fx_rows p ON g.row_id = p.row_id WHERE g.side = 'gold' AND p.side = 'pred') q"""
+def _pair_columns():
+    sides = (("g", "gold"), ("p", "pred"))
+    names = {"flag": "flag", "quantity": "quantity", "ship": "ship_date", "price": "price"}
+    return ", ".join(f"max({c}) FILTER (WHERE side = '{side}') AS {s}_{n}" for s, side in sides for n, c in names.items())
+
+
+# both sides of a row by one grouping instead of a self join
+PAIRS = f"""(SELECT row_id, {_pair_columns()} FROM fx_rows GROUP BY row_id HAVING count(*) FILTER (WHERE side = 'gold') > 0 AND count(*) FILTER (WHERE side = 'pred') > 0) q"""
 
 
 def gold_pred_pairs(x):

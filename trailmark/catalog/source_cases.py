@@ -66,6 +66,21 @@ def _(x):
     return gold.filter(F.array_join("columns", ",") == "acol,b").select(F.col("doc_id").cast("bigint").alias("doc_id"), "rows")
 
 
-@case("prj13_snapshot_build")
+@case(
+    "prj13_snapshot_build",
+    """SELECT question_id, memory_order, coalesce(next_step_plan, '') AS next_step_plan, coalesce(task_progress, '') AS task_progress, 0 AS tags, 0 AS meta_learnings,
+    true AS has_id, true AS has_time FROM fx_memory""",
+)
 def _(x):
-    return M.build_snapshots(x.memory.drop("memory_id")).select("question_id", "memory_id", "timestamp", "next_step_plan", F.size("knowledge_graph").alias("facts"))
+    made = M.build_snapshots(x.memory.drop("memory_id"))
+    # id and time are fresh on every run: only their form is compared
+    return made.select(
+        "question_id",
+        "memory_order",
+        "next_step_plan",
+        "task_progress",
+        F.size("tags").alias("tags"),
+        F.size("meta_learnings").alias("meta_learnings"),
+        F.col("memory_id").rlike("^[0-9a-f-]{36}$").alias("has_id"),
+        F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00Z$").alias("has_time"),
+    )

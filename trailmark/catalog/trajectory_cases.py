@@ -133,7 +133,7 @@ def _(x):
 
 @case(
     "jn12_call_results",
-    """SELECT call_id, CASE WHEN call_id % 3 = 0 THEN '{"succeed":false,"error":"Tool call skipped because the maximum turn limit was reached. No more tool use is allowed; answer from existing evidence."}' ELSE output END AS content,
+    """SELECT call_id, CASE WHEN call_id % 3 = 0 THEN '{"succeed":false,"error":"Not run: the turns are used up. Answer with what is already known."}' ELSE output END AS content,
     CASE WHEN call_id % 3 = 0 THEN false ELSE ok END AS ok, call_id % 3 = 0 AS skipped FROM fx_tool_calls""",
 )
 def _(x):
@@ -238,10 +238,10 @@ def _(x):
 
 @case(
     "prj15_carry_over",
-    f"""SELECT memory_id, 'Sealed memory id: ' || memory_id || CASE WHEN task_progress <> '' THEN nl || 'Task progress: ' || task_progress ELSE '' END || coalesce(nl || 'Next step plan: ' || next_step_plan, '') || nl || 'Key facts:' || nl || '- f' || k || ' [' || {STATUS} || ']'
-     || nl || '- ' || CASE WHEN json_type(knowledge_graph, '$[1]') = 'VARCHAR' THEN json_extract_string(knowledge_graph, '$[1]') ELSE 'v' END || ' [partial]' || nl || 'Visited path: home' || nl || 'Frontier leads:' || nl || '- t' || k || ' (w)' || nl || '- bare'
-     || nl || 'Dead ends to avoid (DO NOT re-investigate these):' || nl || '- x' || k || nl || '- 7' || nl || 'Reuse these before launching new searches.' || nl || 'Continue in English unless the user requested another language.'
-     || nl || '<seal_budget> Used: ' || retry_attempt || ' / Total: 5; Remain: ' || (5 - retry_attempt) || ' </seal_budget>' AS carryover_text FROM (SELECT *, chr(10) AS nl, regexp_extract(navigation_state, '"t([0-9]+)"', 1) AS k FROM fx_memory) t""",
+    f"""SELECT memory_id, 'Snapshot: ' || memory_id || CASE WHEN task_progress <> '' THEN nl || 'Done so far: ' || task_progress ELSE '' END || coalesce(nl || 'Planned next: ' || next_step_plan, '') || nl || 'What is known:' || nl || '- f' || k || ' [' || {STATUS} || ']'
+     || nl || '- ' || CASE WHEN json_type(knowledge_graph, '$[1]') = 'VARCHAR' THEN json_extract_string(knowledge_graph, '$[1]') ELSE 'v' END || ' [partial]' || nl || 'Places seen: home' || nl || 'Still open:' || nl || '- t' || k || ' (w)' || nl || '- bare'
+     || nl || 'Without result, leave out:' || nl || '- x' || k || nl || '- 7' || nl || 'Use what is written here first. Answer in English if nothing else was asked for.'
+     || nl || 'Snapshots used: ' || retry_attempt || ' of 5, left: ' || (5 - retry_attempt) AS carryover_text FROM (SELECT *, chr(10) AS nl, regexp_extract(navigation_state, '"t([0-9]+)"', 1) AS k FROM fx_memory) t""",
 )
 def _(x):
     return M.carry_over(M.normalized(x.memory), "en", "retry_attempt", 5).select("memory_id", "carryover_text")

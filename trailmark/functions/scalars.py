@@ -222,12 +222,22 @@ def as_text_list(c: Column | str) -> Column:
     return F.when(col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(col(c).cast("string")))
 
 
-def token_estimate(*parts: Column) -> Column:
-    """Characters over all text parts divided by four, floored once."""
+def char_count(*parts: Column) -> Column:
+    """Characters over all text parts; a null part has none."""
     total = F.lit(0)
     for part in parts:
         total = total + F.coalesce(F.length(part), F.lit(0))
-    return F.floor(total / 4).cast("bigint")
+    return total
+
+
+def token_estimate(*parts: Column) -> Column:
+    """Characters over all text parts of a row divided by four, floored once."""
+    return F.floor(char_count(*parts) / 4).cast("bigint")
+
+
+def token_total(*parts: Column) -> Column:
+    """Aggregate: characters over all rows of a group divided by four, floored once."""
+    return F.floor(F.sum(char_count(*parts)) / 4).cast("bigint")
 
 
 def loop_notice(cycle: Column, language: Column) -> Column:

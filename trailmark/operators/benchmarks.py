@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import scalars as S
 from trailmark.functions import variants as V
+from trailmark.operators.tablematch import SPEC_SCHEMA
 from trailmark.sources.readers import check_columns, text_list
 
 # ---- fixed values: benchmark, verifier, expected rows, recommended judge, aliases ----------
 BENCHMARKS = (
-    ("browsecomp", "decision", None, None, "bc bc185 browsecomp_185 browsecomp_en"),
-    ("browsecomp_zh", "decision", None, None, "bc_zh bczh bcch"),
-    ("gaia_text_103", "decision", 103, None, "gaia gaia_text"),
-    ("xbench_2510", "zh_label", 100, None, "xbench xbench_deepsearch_2510"),
-    ("deepsearchqa_900", "component", 900, "gemini-2.5-flash", "dsqa deepsearchqa deepsearch_qa"),
-    ("widesearch_200", "table", 200, "gpt-4.1-2025-04-14", "widesearch wide_search"),
-    ("widesearch_v2_1_hard_720", "component", 720, "gemini-2.5-flash", "widesearch_v2_1 widesearch_hard_720"),
+    ("browsecomp", "decision", None, None, ("bc", "bc185", "browsecomp_185", "browsecomp_en")),
+    ("browsecomp_zh", "decision", None, None, ("bc_zh", "bczh", "bcch")),
+    ("gaia_text_103", "decision", 103, None, ("gaia", "gaia_text")),
+    ("xbench_2510", "zh_label", 100, None, ("xbench", "xbench_deepsearch_2510")),
+    ("deepsearchqa_900", "component", 900, "gemini-2.5-flash", ("dsqa", "deepsearchqa", "deepsearch_qa")),
+    ("widesearch_200", "table", 200, "gpt-4.1-2025-04-14", ("widesearch", "wide_search")),
+    ("widesearch_v2_1_hard_720", "component", 720, "gemini-2.5-flash", ("widesearch_v2_1", "widesearch_hard_720")),
 )
 ANSWER_TYPES = ("Single Answer", "Set Answer")
 MATCHED_FIELDS = ("question", "domain", "sub_domain", "difficulty", "split")
@@ -33,7 +34,7 @@ def benchmark_dimension(spark: SparkSession) -> DataFrame:
 
 
 def alias_dimension(spark: SparkSession) -> DataFrame:
-    rows = [(a, b[0]) for b in BENCHMARKS for a in [b[0], *b[4].split()]]
+    rows = [(a, b[0]) for b in BENCHMARKS for a in (b[0], *b[4])]
     return spark.createDataFrame(rows, "alias string, canonical string")
 
 
@@ -145,13 +146,10 @@ def from_typed_answers(rows: DataFrame) -> DataFrame:
     return rows.select(*record, reason.alias("reject_reason"))
 
 
-TABLE_EVAL = "required array<string>, unique_columns array<string>, eval_pipeline map<string, struct<preprocess: array<string>, metric: array<string>, criterion: variant>>"
-
-
 def from_table_tasks(tasks: DataFrame, gold: DataFrame) -> DataFrame:
     """Table tasks (position, instance_id, query, language, evaluation) with their gold tables
     (instance_id, gold_csv, columns, rows) to canonical rows plus reject_reason."""
-    df = tasks.withColumn("_e", F.from_json("evaluation", TABLE_EVAL)).join(gold, "instance_id", "left")
+    df = tasks.withColumn("_e", F.from_json("evaluation", SPEC_SCHEMA)).join(gold, "instance_id", "left")
     req, uniq, pipe = F.col("_e.required"), F.col("_e.unique_columns"), F.col("_e.eval_pipeline")
     same = F.array_sort(F.array_distinct(req)) == F.array_sort(F.map_keys(pipe))
     reason = (

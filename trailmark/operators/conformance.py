@@ -85,10 +85,9 @@ def violations(calls: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame
     """
     text = F.when(F.coalesce(F.btrim("arguments"), F.lit("")) == "", F.lit("{}")).otherwise(F.col("arguments"))
     parsed = calls.select(*keys, "name", F.try_parse_json(text).alias("v"))
-    # the rule table is a fixed handful of rows, whatever the number of calls
     per_node = rules.groupBy("name", "parent").agg(F.collect_list(F.struct("field", "types", "required", "allowed", "items")).alias("rules"))
     nodes = parsed.select(*keys, "name", F.explode(_nodes(F.col("v"))).alias("n")).select(*keys, "name", "n.*")
-    nodes = nodes.join(F.broadcast(per_node), ["name", "parent"])
+    nodes = nodes.join(per_node, ["name", "parent"])
     fields = nodes.filter(V.is_object("v") | (F.col("parent") == "$")).withColumn("m", F.col("v").try_cast("map<string,variant>"))
     bad_root = F.when(
         ~V.is_object("v"), F.array(F.struct(F.col("path"), F.lit("type").alias("rule"), F.lit("object").alias("detail")))

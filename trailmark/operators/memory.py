@@ -15,12 +15,21 @@ FACT_FIELDS = ("fact", "summary", "value")
 SOURCE_FIELDS = ("source_url", "source", "url")
 TARGET_FIELDS = ("target", "url", "path")
 REASON_FIELDS = ("reason", "why")
-CARRY_TAIL = {
-    "en": "Reuse these before launching new searches.\nContinue in English unless the user requested another language.",
-    "zh": "发起新搜索前请先复用这些信息。\n请继续使用中文作答。",
-}
 # -------------------------------------------------------------------------------------------
 
+#: Wording of the carry-over text: this project's own, nothing reads it back.
+CARRY_TITLES = {
+    "memory_id": "Snapshot: ",
+    "task_progress": "Done so far: ",
+    "next_step_plan": "Planned next: ",
+    "facts": "What is known:\n",
+    "visited": "Places seen: ",
+    "frontier": "Still open:\n",
+    "dead_ends": "Without result, leave out:\n",
+    "meta_learnings": "Lessons:\n",
+}
+CARRY_TAIL = {"en": "Use what is written here first. Answer in English if nothing else was asked for.", "zh": "请先使用以上内容。如无其他要求，请用中文回答。"}
+
 FACT = "array<struct<fact:string,source_url:string,status:string>>"
 FRONTIER = "array<struct<target:string,reason:string>>"
 
@@ -113,27 +122,27 @@ def carry_over(snapshots: DataFrame, language: str = "en", seal_count: str | Non
     leads = F.transform(
         "navigation_state.frontier_queue",
         lambda e: F.concat(
-            F.lit("- "), F.coalesce(F.nullif(e["target"], F.lit("")), F.lit("(unknown target)")),
+            F.lit("- "), F.coalesce(F.nullif(e["target"], F.lit("")), F.lit("(no target)")),
             F.when(e["reason"] != "", F.concat(F.lit(" ("), e["reason"], F.lit(")"))).otherwise(F.lit("")),
         ),
     )
     dashed = lambda arr: F.transform(arr, lambda e: F.concat(F.lit("- "), e))
     parts = [
-        titled("Sealed memory id: ", F.col("memory_id")),
-        titled("Task progress: ", F.col("task_progress")),
-        titled("Next step plan: ", F.col("next_step_plan")),
-        titled("Key facts:\n", listed(facts)),
-        titled("Visited path: ", F.col("navigation_state.visited_summary")),
-        titled("Frontier leads:\n", listed(leads)),
-        titled("Dead ends to avoid (DO NOT re-investigate these):\n", listed(dashed("navigation_state.dead_ends"))),
+        titled(CARRY_TITLES["memory_id"], F.col("memory_id")),
+        titled(CARRY_TITLES["task_progress"], F.col("task_progress")),
+        titled(CARRY_TITLES["next_step_plan"], F.col("next_step_plan")),
+        titled(CARRY_TITLES["facts"], listed(facts)),
+        titled(CARRY_TITLES["visited"], F.col("navigation_state.visited_summary")),
+        titled(CARRY_TITLES["frontier"], listed(leads)),
+        titled(CARRY_TITLES["dead_ends"], listed(dashed("navigation_state.dead_ends"))),
     ]
     if "meta_learnings" in snapshots.columns:
-        parts.append(titled("Meta learnings:\n", listed(dashed("meta_learnings"))))
+        parts.append(titled(CARRY_TITLES["meta_learnings"], listed(dashed("meta_learnings"))))
     parts.append(F.lit(CARRY_TAIL["zh" if language == "zh" else "en"]))
     if seal_count is not None and max_seals > 0:
         used = F.col(seal_count).cast("string")
         left = (F.lit(max_seals) - F.col(seal_count)).cast("string")
-        parts.append(F.concat(F.lit("<seal_budget> Used: "), used, F.lit(f" / Total: {max_seals}; Remain: "), left, F.lit(" </seal_budget>")))
+        parts.append(F.concat(F.lit("Snapshots used: "), used, F.lit(f" of {max_seals}, left: "), left))
     return snapshots.withColumn("carryover_text", F.concat_ws("\n", *parts))
 
 

@@ -164,12 +164,12 @@ def dispatch_screen(calls: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     return calls.withColumn("refused", reason)
 
 
-def pair_results(calls: DataFrame, results: DataFrame, reason: str = "the maximum turn limit was reached") -> DataFrame:
+def pair_results(calls: DataFrame, results: DataFrame, reason: str = "the turns are used up") -> DataFrame:
     """Each call with its result; a missing one gets a skip stub."""
     stub = F.to_json(
         F.struct(
             F.lit(False).alias("succeed"),
-            F.lit(f"Tool call skipped because {reason}. No more tool use is allowed; answer from existing evidence.").alias("error"),
+            F.lit(f"Not run: {reason}. Answer with what is already known.").alias("error"),
         )
     )
     joined = calls.join(results.withColumn("_hit", F.lit(True)), ["run", "call_id"], "left")

@@ -22,8 +22,19 @@ PLAIN_SEGMENT = r"/segment_(\d+)\.jsonl$"
 PROMPT = T.ArrayType(T.StructType([T.StructField("content", T.StringType()), T.StructField("role", T.StringType())]))
 REWARD = T.StructType([T.StructField("ground_truth", T.ArrayType(T.StringType())), T.StructField("style", T.StringType())])
 EXTRA_FIELDS = (
-    "id question benchmark split answer_type difficulty domain sub_domain language problem_category source_query_id reference_steps"
-).split()
+    "id",
+    "question",
+    "benchmark",
+    "split",
+    "answer_type",
+    "difficulty",
+    "domain",
+    "sub_domain",
+    "language",
+    "problem_category",
+    "source_query_id",
+    "reference_steps",
+)
 EXTRA = T.StructType(
     [T.StructField("answer", T.ArrayType(T.StringType())), T.StructField("index", T.LongType())]
     + [T.StructField(n, T.StringType()) for n in EXTRA_FIELDS]

@@ -14,27 +14,43 @@ def _rename(spark: SparkSession, source: str, target: str) -> None:
     jvm = spark._jvm
     src, dst = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
     fs = dst.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(dst):
-        fs.delete(dst, True)
+    old = jvm.org.apache.hadoop.fs.Path(f"{target}.replaced-{uuid.uuid4().hex}")
+    had = fs.exists(dst)
+    if had and not fs.rename(dst, old):
+        raise OSError(f"could not set {target} aside")
     if not fs.rename(src, dst):
+        if had:
+            fs.rename(old, dst)
         raise OSError(f"could not publish {target}")
+    if had:
+        fs.delete(old, True)
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    gone = spark._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def write_canonical(df: DataFrame, path: str, expected_rows: int) -> int:
     """Write next to the target, check columns and the observed row count, then publish by rename.
 
-    The count is taken while writing, so the data is read once.
+    The count is taken while writing, so the data is read once. An older table is set aside by rename and removed
+    only after the new one is in place; a failed write leaves nothing behind.
     """
     missing = sorted(set(CANONICAL_COLUMNS) - set(df.columns))
     if missing:
         raise ValueError("missing canonical columns: " + ", ".join(missing))
     seen = Observation()
     pending = f"{path}.pending-{uuid.uuid4().hex}"
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(pending)
-    rows = seen.get["rows"]
-    if rows != expected_rows:
-        raise ValueError(f"expected {expected_rows} records, received {rows}")
-    _rename(df.sparkSession, pending, path)
+    try:
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(pending)
+        rows = seen.get["rows"]
+        if rows != expected_rows:
+            raise ValueError(f"expected {expected_rows} records, received {rows}")
+        _rename(df.sparkSession, pending, path)
+    except BaseException:
+        _discard(df.sparkSession, pending)
+        raise
     return rows
 
 
