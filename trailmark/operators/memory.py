@@ -168,9 +168,9 @@ def lookup(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     plain = requests.select("question_id", "wanted", F.col("wanted").alias("text"), F.lit(True).alias("plain"))
     compact = requests.select("question_id", "wanted", F.replace("wanted", F.lit("-"), F.lit("")).alias("text"), F.lit(False).alias("plain"))
     asked = plain.unionByName(compact)
-    # one row: the distinct lengths asked for; file names are short, so at most a few hundred values
-    lengths = asked.agg(F.collect_set(F.length("text")).alias("_lens")).withColumn("_one", F.lit(1))
-    files = snapshots.withColumn("_rank", _folder_rank(F.col("folder"))).withColumn("_one", F.lit(1)).join(F.broadcast(lengths), "_one")
+    # the distinct lengths asked for by a question: one or two as a rule, names being short a few hundred at most
+    lengths = asked.groupBy("question_id").agg(F.collect_set(F.length("text")).alias("_lens"))
+    files = snapshots.withColumn("_rank", _folder_rank(F.col("folder"))).join(lengths, "question_id")
     size = F.length("stem")
     pieces = F.flatten(
         F.transform(

@@ -142,19 +142,11 @@ def table_report(reviews: DataFrame, expected_questions: int, rollouts: int) ->
     latest = latest_scored(reviews, TABLE_METRICS)
     total = with_coverage(table_summary(latest).filter("rollout_idx IS NULL"), expected_questions, rollouts)
     best = best_of_n(latest, expected_questions)
-    return (
-        total.drop("rollout_idx")
-        .withColumns(
-            {
-                "avg_at_n_success_rate": F.col("success_rate"),
-                "avg_at_n_row_f1": F.col("row_f1"),
-                "avg_at_n_item_f1": F.col("item_f1"),
-                "_one": F.lit(1),
-            }
-        )
-        .join(best.withColumn("_one", F.lit(1)), "_one")
-        .drop("_one")
-    )
+    averages = {"avg_at_n_success_rate": "success_rate", "avg_at_n_row_f1": "row_f1", "avg_at_n_item_f1": "item_f1"}
+    whole = total.drop("rollout_idx").withColumns({name: F.col(c) for name, c in averages.items()})
+    # one row each: put side by side by an aggregate
+    both = whole.unionByName(best, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def judge_model_usage(latest: DataFrame) -> DataFrame:
