@@ -257,3 +257,29 @@ def test_blocked_hosts(spark):
 def test_prompt_language(spark):
     assert text(spark, S.prompt_language, "汉" * 8 + "x" * 500) == "zh"
     assert text(spark, S.prompt_language, "汉" * 4 + "x" * 76) == "zh" and text(spark, S.prompt_language, "汉" * 4 + "x" * 77) == "en"
+
+
+def test_signatures_fold_nested_texts(spark):
+    args = ['{"a":{"Key":" X  y ","n":[" Q "]}}', '{"a":{"Key":"x y","n":["q"]}}', '{"a":{"key":"x y","n":["q"]}}', '{"a":{"Key":"x\\ny","n":["q"]}}', '{"a":{"Key":"x \\" y","n":["q"]}}']
+    df = spark.createDataFrame(list(enumerate(args)), "i int, arguments string")
+    got = {r.i: r.s for r in df.select("i", V.call_signature(F.lit("t"), F.col("arguments")).alias("s")).collect()}
+    assert got[0] == got[1] == got[3] and len(set(got.values())) == 3
+
+
+def test_table_errors_and_null_scores(spark):
+    body = '{"required": ["Key", "Val"], "unique_columns": ["key"], "eval_pipeline": {"val": {"preprocess": [], "metric": ["number_near"]%s}%s}}'
+    rows = [
+        (1, body % ("", "")),
+        (2, body % (', "criterion": 0.1', "")),
+        (3, body % (', "criterion": 0.1', ', "other": {"preprocess": ["norm_str"], "metric": []}')),
+        (4, body % (', "criterion": 0.1', "")),
+        (4, body % (', "criterion": 0.2', "")),
+    ]
+    parsed = TM.parse_specs(spark.createDataFrame(rows, "instance_id bigint, evaluation string"))
+    assert {r.instance_id: r.spec_error for r in parsed.collect()} == {1: "missing_criterion", 2: None, 3: "rule_without_column", 4: "duplicate_spec"}
+    cells = spark.createDataFrame([(1, 0, {"a": "1", "b": "2"}), (1, 1, {"a": "1", "c": "2"})], "instance_id bigint, row_id bigint, cells map<string,string>")
+    assert TM.headers_from_rows(cells).first().columns == ["a", "b", "c"]
+    gold = spark.createDataFrame([(1, "a,b\n1,2,3\n"), (2, "a,b\n1,2\n")], "instance_id bigint, gold_csv string")
+    assert {r.instance_id: r.table_error for r in TM.gold_from_csv(gold).collect()} == {1: "bad_row_width", 2: None}
+    score = TM.cell_score(F.lit("number_near"), F.lit("1"), F.lit("999"), F.lit(None).cast("double"))
+    assert spark.range(1).select(score.alias("s")).first().s == 0.0

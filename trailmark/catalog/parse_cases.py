@@ -282,9 +282,21 @@ def with_kind(x):
     return x.verdicts.withColumn("verifier", kind)
 
 
-@case("udf2_verifier_choice", f"""SELECT doc_id, {KIND} AS verifier, {STATUS} AS status, NOT {JUNK} AND CASE WHEN style < 4 THEN quality = 1 WHEN style = 4 THEN quality = 1 AND toxic = 0 ELSE false END AS is_correct FROM fx_verdicts""")
+NAMED = f"CASE WHEN doc_id % 17 = 0 THEN 'nope' WHEN doc_id % 19 = 0 THEN 'table' WHEN doc_id % 23 = 0 THEN NULL ELSE {KIND} END"
+
+
+@case(
+    "udf2_verifier_choice",
+    f"""SELECT doc_id, verifier, CASE WHEN verifier IS NULL OR verifier = 'nope' THEN 'UNKNOWN_VERIFIER' WHEN verifier = 'table' THEN CASE WHEN toxic = 0 THEN 'SUCCESS' ELSE 'EXTRACTION_FAILED' END ELSE {STATUS} END AS status,
+    CASE WHEN verifier IS NULL OR verifier = 'nope' THEN false WHEN verifier = 'table' THEN toxic = 0 AND quality = 1 ELSE NOT {JUNK} AND CASE WHEN style < 4 THEN quality = 1 WHEN style = 4 THEN quality = 1 AND toxic = 0 ELSE false END END AS is_correct
+    FROM (SELECT *, {NAMED} AS verifier FROM fx_verdicts) v""",
+)
 def _(x):
-    return J.parse_verdicts(with_kind(x)).select("doc_id", "verifier", "verdict.status", "verdict.is_correct")
+    named = F.when(F.col("doc_id") % 17 == 0, F.lit("nope")).when(F.col("doc_id") % 19 == 0, F.lit("table")).when(F.col("doc_id") % 23 == 0, F.lit(None)).otherwise(F.col("verifier"))
+    done = F.when(F.col("toxic") == 0, F.lit("SUCCESS")).otherwise(F.lit("EXTRACTION_FAILED"))
+    scores = F.struct((F.col("quality") == 1).alias("is_correct"), F.lit(1.0).alias("row_f1"), done.alias("complete_status"))
+    rows = with_kind(x).withColumns({"verifier": named, "table_scores": scores})
+    return J.parse_verdicts(rows).select("doc_id", "verifier", "verdict.status", "verdict.is_correct")
 
 
 @case("par1_parse_report", f"SELECT {KIND} AS benchmark, CASE WHEN quality = 1 THEN 'ANSWER' ELSE 'VERIFY' END AS state, {STATUS} AS parse_status, CASE WHEN {STATUS} = 'SUCCESS' THEN 'none' ELSE 'judge_retry' END AS rule, count(*) AS outputs FROM fx_verdicts GROUP BY ALL")

@@ -102,12 +102,30 @@ def decoded(c: Column | str) -> Column:
     return F.coalesce(F.try_parse_json(col(c)), F.to_variant_object(F.struct(col(c).alias("t"))).try_cast("variant"))
 
 
+#: A JSON string with a colon behind it if it is a key, or what stands between strings.
+JSON_PART = r'"(?:[^"\\]++|\\.)*+"\s*+:?|[^"]++'
+
+
+def _folded(text: Column) -> Column:
+    return F.lower(F.regexp_replace(strip(text), r"\s+", " "))
+
+
+def _folded_json(text: Column) -> Column:
+    """JSON text with every string value trimmed, its white space folded and lower-cased; keys stay."""
+    parts = F.regexp_extract_all(text, F.lit(JSON_PART), F.lit(0))
+
+    def part(p: Column) -> Column:
+        inner = F.regexp_replace(F.substring(p, F.lit(2), F.length(p) - 2), r"\\[nrtf]", " ")
+        return F.when(p.startswith('"') & p.endswith('"'), F.concat(F.lit('"'), _folded(inner), F.lit('"'))).otherwise(p)
+
+    return F.array_join(F.transform(parts, part), "")
+
+
 def call_signature(name: Column, raw_arguments: Column) -> Column:
-    """Tool name, NUL, and the arguments with sorted keys and folded text values.
+    """Tool name, NUL, and the arguments with sorted keys and folded text values, nested ones too.
 
     Undecodable arguments are compared as folded text.
     """
-    fold = lambda c: F.lower(F.regexp_replace(strip(c), r"\s+", " "))
     fields = F.from_json(raw_arguments, "map<string,variant>")
     rendered = F.array_join(
         F.transform(
@@ -115,8 +133,8 @@ def call_signature(name: Column, raw_arguments: Column) -> Column:
             lambda k: F.concat(
                 F.to_json(F.struct(k.alias("k"))),
                 F.coalesce(
-                    F.when(F.schema_of_variant(fields[k]) == "STRING", F.concat(F.lit("s:"), fold(fields[k].try_cast("string"))))
-                    .otherwise(F.concat(F.lit("j:"), F.lower(F.regexp_replace(F.to_json(fields[k]), r"\s+", " ")))),
+                    F.when(F.schema_of_variant(fields[k]) == "STRING", F.concat(F.lit("s:"), _folded(fields[k].try_cast("string"))))
+                    .otherwise(F.concat(F.lit("j:"), _folded_json(F.to_json(fields[k])))),
                     F.lit("j:null"),
                 ),
             ),
@@ -124,4 +142,4 @@ def call_signature(name: Column, raw_arguments: Column) -> Column:
         "\x1f",
     )
     good = F.coalesce(F.schema_of_variant(F.try_parse_json(raw_arguments)).startswith("OBJECT"), F.lit(False))
-    return F.concat(name, F.lit("\x00"), F.when(good, rendered).otherwise(fold(raw_arguments)))
+    return F.concat(name, F.lit("\x00"), F.when(good, rendered).otherwise(_folded(raw_arguments)))

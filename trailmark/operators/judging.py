@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -173,26 +174,40 @@ def _component_of(p: Column) -> Column:
     return _verdict(usable, right, F.coalesce(right, F.lit(False)).cast("double"), p["explanation"])
 
 
-VERIFIERS: dict[str, Callable[[Column], Column]] = {
+def table_verdict(table_scores: Column) -> Column:
+    """Verdict of a scored table: a row of ``score_tables`` as a struct (is_correct, row_f1, complete_status)."""
+    return _verdict(table_scores["complete_status"] == "SUCCESS", table_scores["is_correct"], table_scores["row_f1"], F.lit(""))
+
+
+#: Verifiers by name. A verifier is a function of columns; its parameters name the columns it reads, out of
+#: question, truth, answer, metadata, reply and table_scores.
+VERIFIERS: dict[str, Callable[..., Column]] = {
     "decision": decision_verdict,
     "labelled": labelled_verdict,
     "zh_label": zh_verdict,
     "component": component_verdict,
+    "table": table_verdict,
 }
+UNKNOWN_VERIFIER = "UNKNOWN_VERIFIER"
 
 
-def register_verifier(name: str, verdict: Callable[[Column], Column]) -> None:
-    """Add a verifier: a function from the reply column to a verdict struct column."""
+def register_verifier(name: str, verdict: Callable[..., Column]) -> None:
+    """Add a verifier: a function from the columns that its parameters name to a verdict struct column."""
     if name in VERIFIERS:
         raise ValueError(f"verifier {name!r} is already registered")
     VERIFIERS[name] = verdict
 
 
-def parse_verdicts(replies: DataFrame, verifiers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """Add the verdict of each reply by its ``verifier`` column; one expression, no dispatch per row in Python."""
-    chosen = F.lit(None).cast(VERDICT)
+def parse_verdicts(replies: DataFrame, verifiers: dict[str, Callable[..., Column]] | None = None) -> DataFrame:
+    """Add the verdict of each row by its ``verifier`` column; one expression, no dispatch per row in Python.
+
+    An unknown or missing verifier, or one whose columns the table lacks, gives the status UNKNOWN_VERIFIER and is not correct.
+    """
+    chosen = F.struct(F.lit(False).alias("is_correct"), F.lit(0.0).alias("score"), F.lit("").alias("reasoning"), F.lit(UNKNOWN_VERIFIER).alias("status")).cast(VERDICT)
     for name, fn in (verifiers or VERIFIERS).items():
-        chosen = F.when(F.col("verifier") == name, fn(F.col("reply"))).otherwise(chosen)
+        reads = list(inspect.signature(fn).parameters)
+        if set(reads) <= set(replies.columns):
+            chosen = F.when(F.col("verifier") == name, fn(*[F.col(c) for c in reads])).otherwise(chosen)
     return replies.withColumn("verdict", chosen)
 
 

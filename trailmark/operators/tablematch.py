@@ -124,7 +124,7 @@ def parse_specs(specs: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
 
     def column_rule(name: Column) -> Column:
-        rule = F.element_at(F.filter("pipeline", lambda e: e["name"] == name), -1)
+        rule = F.try_element_at(F.filter("pipeline", lambda e: e["name"] == name), F.lit(-1))
         return F.struct(
             name.alias("name"),
             F.array_contains("unique_columns", name).alias("is_key"),
