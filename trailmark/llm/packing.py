@@ -70,8 +70,8 @@ class WordEncoder:
             stem = low.rstrip(TAIL)
             parts[word] = (stem, low[len(stem) :]) if stem != low and stem[-1:].isalpha() else (low, b"")
         own = {x for pair in parts.values() for x in pair if x}
-        ids = {x: self.known[x] for x in own & self.known.keys()}
-        ids |= self.encoded(list(own - ids.keys()))
+        ids = {x: self.known[x] for x in own.intersection(self.known)}
+        ids |= self.encoded(list(own.difference(ids)))
         ids[b""] = b""
         for word, (stem, tail) in parts.items():
             yield word, ids[stem] + ids[tail]
@@ -96,9 +96,9 @@ class WordEncoder:
             self.known, self.older = {}, self.known
         known, older, local = self.known, self.older, {}
         fresh = set().union(*split).difference(known)
-        for word in fresh & older.keys():
+        for word in fresh.intersection(older):
             known[word] = older[word]
-        for word, ids in self.learn(list(fresh - older.keys())):
+        for word, ids in self.learn(list(fresh.difference(older))):
             (known if len(word) <= LONGEST_CACHED else local)[word] = ids
         for words in split:
             yield b"".join([known[w] if w in known else local[w] for w in words]) if local else b"".join(map(known.__getitem__, words))

@@ -68,6 +68,14 @@ def shape(token: str) -> str:
     return out
 
 
+def word_class(token: str, cues: frozenset[str]) -> tuple | None:
+    """What the features of a lower-case or capitalised word depend on; None for any other token."""
+    if not token.isalpha() or not (token.islower() or token[1:].islower() and token[0].isupper()):
+        return None
+    size = len(token)
+    return token[0].isupper(), _bucket(size), round(len(set(token)) / size * 4) if size >= 8 else -1, token.lower() if token.lower() in cues else ""
+
+
 def features(token: str, cues: frozenset[str]) -> list[str]:
     """Names of a token's features."""
     if len(token) == 1 and not token.isalnum():
@@ -161,21 +169,26 @@ class Scanner:
         self.model = model
         self.gain = float(max(model.moves.max(), (model.start - model.start[O] + model.moves[O, O]).max()) - model.moves[O, O])
         self.codes: dict[str, int] = {}
+        self.classes: dict[tuple, int] = {}  # tokens of a class have the same features
         self.rows = np.zeros((1024, TAGS * len(PLACES)))
 
     def coded(self, tokens: list[str]) -> np.ndarray:
+        """A number for each token, under which its feature sums are kept."""
         known = self.codes
         if len(known) > self.most:
             known.clear()
-        try:
-            return np.array([known[t] for t in tokens], np.int64)
-        except KeyError:
-            for t in set(tokens) - known.keys():
-                if len(known) == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[len(known)] = self.model.token_rows(t)
-                known[t] = len(known)
-            return np.array([known[t] for t in tokens], np.int64)
+        for token in set(tokens).difference(known):
+            key = word_class(token, self.model.cues)
+            if key not in self.classes:
+                own = features(token, self.model.cues)
+                key = key or tuple(own)
+                if key not in self.classes:
+                    self.classes[key] = len(self.classes)
+                    if len(self.classes) > len(self.rows):
+                        self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                    self.rows[self.classes[key]] = self.model.token_rows(token)
+            known[token] = self.classes[key]
+        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         tokens = TOKEN.findall(text)
@@ -312,8 +325,11 @@ def fit(docs: DataFrame, *, max_documents: int = 6000, max_windows: int = 1500,
     windows_.unpersist()
     if not any(r["positive"] for r in rows):
         return Field({}, np.zeros((0, TAGS)), np.zeros((TAGS, TAGS)), np.zeros(TAGS), frozenset())
-    near, far = Counter(), Counter()
+    near, far, met = Counter(), Counter(), set()
     for r in rows:
+        if tuple(r["tokens"]) in met:  # a copied passage is one case
+            continue
+        met.add(tuple(r["tokens"]))
         first = {j for i, t in enumerate(r["tags"]) if t == B for j in range(max(0, i - 3), i)}
         for j, t in enumerate(r["tokens"]):
             if len(t) > 1:
