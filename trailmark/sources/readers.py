@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.functions import scalars as S
+from trailmark.functions import tables as X
 from trailmark.functions import variants as V
 
 # ---- fixed values: log layout -------------------------------------------------------------
@@ -142,12 +143,12 @@ def gold_summary(raw: DataFrame) -> DataFrame:
     """Replace the CSV text ``value`` by gold_csv, normalised columns and the number of data rows."""
     keys = [c for c in raw.columns if c != "value"]
     text = raw.select(*keys, F.regexp_replace("value", "^\ufeff", "").alias("gold_csv"))
-    lines = F.filter(F.split("gold_csv", r"\r?\n"), lambda line: ~S.is_blank(line))
-    return text.select(
+    records = text.withColumn("_records", X.csv_records(F.col("gold_csv")))
+    return records.select(
         *keys,
         "gold_csv",
-        F.transform(F.split(F.get(lines, F.lit(0)), ","), S.norm_column).alias("columns"),
-        (F.size(lines) - 1).alias("rows"),
+        F.transform(F.get("_records", F.lit(0)), S.norm_column).alias("columns"),
+        (F.size("_records") - 1).alias("rows"),
     )
 
 
@@ -163,28 +164,33 @@ def strict_records(lines: DataFrame) -> DataFrame:
     return lines.filter(~S.is_blank("text")).withColumn("record", F.coalesce(parsed, F.raise_error(place).cast("variant")))
 
 
-def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Text lines with file path and one-based line number.
+def numbered_text(raw: DataFrame) -> DataFrame:
+    """Lines of a text scan with path and one-based line number; the scan stays splittable.
 
-    A line number needs the whole file in order, so each file is one task; logs that grow beyond
-    that are written in parts with an explicit ``line`` column instead (see ``write_reviews``).
+    A line lies in a split that starts at some byte of its file, at some place in it. The running row ids of one split
+    are consecutive, so its first id and the line counts of the splits before give the number; only those counts (one row
+    a split) are shuffled, never the text.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return raw.select("path", F.posexplode(F.split("value", "\n")).alias("_pos", "text")).select(
-        "path", (F.col("_pos") + 1).cast("bigint").alias("line"), "text"
-    )
+    rows = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"))
+    splits = rows.groupBy("path", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("path", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lines"))
+    line = F.col("_lines") + F.col("_id") - F.col("_first") + 1
+    return rows.join(starts, ["path", "_at"]).select("path", line.cast("bigint").alias("line"), "text")
+
+
+def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Text lines with file path and one-based line number."""
+    return numbered_text(spark.read.option("lineSep", "\n").text(path))
 
 
 def read_review_lines(spark: SparkSession, root: str) -> DataFrame:
     """Review lines of every rollout below ``root``; the legacy file ranks after the current one."""
-    found = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "review.jsonl").text(root, wholetext=True)
-    ).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = found.select("path", F.posexplode(F.split("value", "\n")).alias("_pos", "text"))
-    return lines.select(
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "review.jsonl").option("lineSep", "\n").text(root)
+    return numbered_text(found).select(
         F.regexp_extract("path", ROLLOUT_PATH, 1).try_cast("int").alias("rollout_idx"),
         F.col("path").rlike(LEGACY_LOG).cast("int").alias("file_rank"),
-        (F.col("_pos") + 1).cast("bigint").alias("line"),
+        "line",
         "text",
     ).filter("rollout_idx IS NOT NULL")
 
@@ -212,10 +218,9 @@ def segment_keys(df: DataFrame, path_col: str) -> DataFrame:
 
 
 def read_segments(spark: SparkSession, root: str) -> DataFrame:
-    """Trajectory messages of all segment files with their key columns."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_[0-9]*.jsonl").text(root, wholetext=True)
-    raw = raw.select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = raw.select("path", F.posexplode(F.split("value", "\n")).alias("seq", "text")).filter(~S.is_blank("text"))
+    """Trajectory messages of all segment files with their key columns; ``seq`` is the line's place from 0."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_[0-9]*.jsonl").option("lineSep", "\n").text(root)
+    lines = numbered_text(raw).select("path", (F.col("line") - 1).cast("int").alias("seq"), "text").filter(~S.is_blank("text"))
     return segment_keys(lines, "path").withColumn("message", F.try_parse_json("text"))
 
 
