@@ -135,6 +135,8 @@ def rake(cells: list[tuple[str, ...]], tokens: np.ndarray, targets: list[Mapping
 
     Where a category has too few tokens for its target, its weights stay at 1 and the margins are met as nearly as that allows.
     """
+    if not cells:
+        return np.empty(0)
     weight = np.full(len(cells), min(1.0, total / max(tokens.sum(), 1)))
     sides = []
     for m, target in enumerate(targets):
