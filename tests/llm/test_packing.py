@@ -42,7 +42,7 @@ def test_runs_are_a_packing_as_good_as_the_sequential_one(seed):
 
 def test_words_have_the_tokenizers_ids():
     plain = Tokenizer.from_file(PATH)
-    texts = ["Hello, WORLD's end.&&& don't stop\x1ethere", "a\x01b \x01 c", "é é İ ß ﬁ 文字", "x" * 300 + "!!! ...", "<|endoftext|> a<|startoftext|>b", "", "'s, 't. 1.2.3 #$%", "abc.def, ghi.　jkl\x85m"]
+    texts = ["<|ENDOFTEXT|> Ab", "Été ÜBER naïve ÿß÷× Straße\xad x\xa0y", "Hello, WORLD's end.&&& don't stop\x1ethere", "a\x01b \x01 c", "é é İ ß ﬁ 文字", "x" * 300 + "!!! ...", "<|endoftext|> a<|startoftext|>b", "", "'s, 't. 1.2.3 #$%", "abc.def, ghi.　jkl\x85m"]
     coded = packing.WordEncoder(PATH).encode(texts)
     for text, ids in zip(texts, coded):
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids

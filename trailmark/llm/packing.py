@@ -13,7 +13,9 @@ the match of each rank with its gap.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -27,10 +29,14 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import staged
 
 #: Distinct words whose ids a worker keeps, and the longest word that is kept.
-WORD_CACHE, LONGEST_CACHED = 400_000, 64
+WORD_CACHE, LONGEST_CACHED = 700_000, 64
 #: Documents of one length that are ranked in one task.
 RANKED_TOGETHER = 20_000
 
+#: Words that the tokenizer's normalization and splitting leave whole, and the letters that stand for their bytes in the model.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+#: Of the bytes of such words and of the mark, those that the model shows as other letters than their own.
+BYTE_LETTERS = (("\x01", "\u0101"), ("\x9f", "\u0141"), ("\xa0", "\u0142"), ("\xad", "\u0143"))
 #: Marks that are parted from a word's end.
 TAIL = b".,;:!?$%&*#|)"
 #: Documents tokenized at a time.
@@ -58,40 +64,78 @@ class WordEncoder:
         self.mark = self._ids(self.MARK)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.plain = self._plain(path)
+
+    def _plain(self, path: str):  # noqa: ANN202 - a Tokenizer or None
+        """The model alone, for words of small Latin letters, which normalization and splitting leave as they are.
+
+        None if the file is of another kind or, on a probe of its own letters, the model alone gives other ids.
+        """
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)["model"]
+        if parts.get("type") != "BPE" or not parts.get("end_of_word_suffix") or len(self.mark) != 1:
+            return None
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in parts["merges"]]
+        lean = Tokenizer(models.BPE(vocab=parts["vocab"], merges=merges, end_of_word_suffix=parts["end_of_word_suffix"], cache_capacity=0))
+        lean.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = [chr(c).encode() for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
+        probe = [a + b + c for a in letters for b in letters[::5] for c in (b"ing", b"\xc3\xa9", b"")]
+        same = np.array_equal(self._ids(b" ".join(probe)), self._lean_ids(lean, b" ".join(probe)))
+        return lean if same and np.array_equal(self._lean_ids(lean, self.MARK), self.mark) else None
 
     def _ids(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
 
+    @staticmethod
+    def _lean_ids(lean, text: bytes) -> np.ndarray:  # noqa: ANN001
+        shown = text.decode("latin-1")
+        for byte, letter in BYTE_LETTERS:
+            shown = shown.replace(byte, letter)
+        return np.array(lean.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+
     def learn(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Words with their ids. Marks after a word's last letter are tokens of their own, so such a word is put together from two."""
-        parts = {}
+        known = self.known
+        single, double = [], []
         for word in words:
-            low = word.lower()
+            low = word if b"<|" in word else word.lower()
             stem = low.rstrip(TAIL)
-            parts[word] = (stem, low[len(stem) :]) if stem != low and stem[-1:].isalpha() else (low, b"")
-        own = {x for pair in parts.values() for x in pair if x}
-        ids = {x: self.known[x] for x in own.intersection(self.known)}
-        ids |= self.encoded(list(own.difference(ids)))
-        ids[b""] = b""
-        for word, (stem, tail) in parts.items():
+            if stem is low or not stem[-1:].isalpha():
+                single.append((word, low))
+            else:
+                double.append((word, stem, low[len(stem) :]))
+        own = {low for _, low in single}
+        own.update(x for _, *pair in double for x in pair)
+        fresh = own.difference(known)
+        ids = self.encoded(list(fresh))
+        for x in own.difference(fresh):
+            ids[x] = known[x]
+        for word, low in single:
+            yield word, ids[low]
+        for word, stem, tail in double:
             yield word, ids[stem] + ids[tail]
-            yield stem, ids[stem]
 
     def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
         alone = [w for w in words if self.MARK in w or len(self.mark) != 1]
         out = {w: self._ids(w).tobytes() for w in alone}
-        words = [w for w in words if w not in out]
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            ids = self._ids((b" " + self.MARK + b" ").join(some))
-            ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
-            raw = ids.tobytes()
-            out.update(zip(some, (raw[4 * lo : 4 * hi] for lo, hi in zip([0, *(e + 1 for e in ends)], ends))))
+        lean = [w for w in words if PLAIN(w)] if self.plain else []
+        rest = list(set(words).difference(lean, out)) if len(lean) < len(words) else []
+        for some, ids_of in ((lean, lambda text: self._lean_ids(self.plain, text)), (rest, self._ids)):
+            for at in range(0, len(some), 5000):
+                part = some[at : at + 5000]
+                ids = ids_of((b" " + self.MARK + b" ").join(part))
+                ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+                raw = ids.tobytes()
+                out.update(zip(part, (raw[4 * lo : 4 * hi] for lo, hi in zip([0, *(e + 1 for e in ends)], ends))))
         return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [x.encode("utf-8", "surrogatepass").split() for x in texts]
+        raw = [x.encode("utf-8", "surrogatepass") for x in texts]
+        # A-Z become small here, so that fewer words differ; not where a special token's string could come about
+        split = [(x if b"<|" in x else x.lower()).split() for x in raw]
         if len(self.known) > WORD_CACHE:
             self.known, self.older = {}, self.known
         known, older, local = self.known, self.older, {}
