@@ -84,3 +84,39 @@ def _(x):
         F.col("memory_id").rlike("^[0-9a-f-]{36}$").alias("has_id"),
         F.col("timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}\+00:00Z$").alias("has_time"),
     )
+
+
+def log_tree(x):
+    """The derived review lines as log files below rollout folders, in both places where logs lie."""
+    root = scratch(x, "rollouts")
+    lines = x.lines.select("rollout_idx", "file_rank", "line", F.col("text").alias("value"))
+    sorted_ = lines.repartition("rollout_idx", "file_rank").sortWithinPartitions("rollout_idx", "file_rank", "line")
+    sorted_.drop("line").write.partitionBy("rollout_idx", "file_rank").text(f"{root}-parts")
+    jvm, conf = x.spark._jvm, x.spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(conf)
+    for status in fs.globStatus(path(f"{root}-parts/*/*/part-*")):  # one file for each rollout and place
+        part = status.getPath()
+        rank, rollout = (p.getName().split("=")[1] for p in (part.getParent(), part.getParent().getParent()))
+        folder = f"{root}/rollout_{rollout}" + ("/000_review" if rank == "0" else "")
+        fs.mkdirs(path(folder))
+        fs.rename(part, path(f"{folder}/review.jsonl"))
+    return root
+
+
+@case(
+    "src10_review_lines",
+    """SELECT rollout_idx, CAST(file_rank AS INTEGER) AS file_rank, row_number() OVER (PARTITION BY rollout_idx, file_rank ORDER BY line) AS line, md5(text) AS text FROM fx_lines""",
+)
+def _(x):
+    return IN.read_review_lines(x.spark, log_tree(x)).select("rollout_idx", "file_rank", "line", F.md5("text").alias("text"))
+
+
+@case(
+    "src11_review_files",
+    """SELECT 'rollout_' || CAST(rollout_idx AS VARCHAR) || CASE WHEN file_rank = 0 THEN '/000_review/review.jsonl' ELSE '/review.jsonl' END AS path, count(*) AS lines FROM fx_lines GROUP BY ALL""",
+)
+def _(x):
+    files = IN.find_review_files(x.spark, work_dir=log_tree(x))
+    lines = IN.read_lines(x.spark, files)
+    return lines.groupBy(F.regexp_extract("path", "(rollout_[0-9]+/.*)$", 1).alias("path")).agg(F.count("*").alias("lines"))
