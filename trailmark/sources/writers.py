@@ -59,15 +59,23 @@ def write_reviews(reviews: DataFrame, path: str) -> None:
     reviews.write.mode("append").partitionBy("rollout_idx").json(path)
 
 
-def write_segments(messages: DataFrame, path: str) -> None:
+SEGMENT_BUCKETS = 256
+
+
+def write_segments(messages: DataFrame, path: str, one_folder_each: bool = False) -> None:
     """Messages by question, state prefix and segment.
 
-    Rows of one segment are gathered by the writer's partition columns plus a slice of the message order, so a
-    long segment becomes several files rather than one task.
+    The table is written in a fixed number of buckets of its keys, which stay columns, so that the number of files follows
+    the buckets and not the segments. ``one_folder_each`` exports the layout with a folder for each segment instead.
+    A slice of the message order is part of the distribution, so a long segment becomes several files rather than one task.
     """
     keys = ["question_id", "prefix", "segment"]
     slice_no = F.floor(F.col("seq") / 10000)
-    messages.repartition(*keys, slice_no).sortWithinPartitions(*keys, "seq").write.mode("append").partitionBy(*keys).json(path)
+    if one_folder_each:
+        messages.repartition(*keys, slice_no).sortWithinPartitions(*keys, "seq").write.mode("append").partitionBy(*keys).json(path)
+        return
+    dealt = messages.withColumn("bucket", F.pmod(F.xxhash64(*keys, slice_no), F.lit(SEGMENT_BUCKETS)).cast("int"))
+    dealt.repartition("bucket").sortWithinPartitions("bucket", *keys, "seq").write.mode("append").partitionBy("bucket").json(path)
 
 
 def report_json(summary: DataFrame, name: str = "report") -> DataFrame:
