@@ -141,22 +141,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rows. Other columns are neither read nor returned. An empty table gives an empty table.
     """
     marked = staged(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).select("id", "fp"), "simhash")
-    classes = staged(marked.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    linked = components(near_pairs(classes, radius=radius, segments=segments, pair_limit=pair_limit))
-    named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    classes, parts = _components(marked, radius, segments, pair_limit)
+    named = classes.join(parts, "fp")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     whole = named.join(least, "component").select("fp", "component_id")
     return marked.join(whole, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _components(marked: DataFrame, radius: int = 2, segments: int = 5, pair_limit: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Distinct fingerprints of ``marked`` (id, fp) with the least id (fp, first), and with their component (fp, component)."""
+    classes = staged(marked.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    linked = components(near_pairs(classes, radius=radius, segments=segments, pair_limit=pair_limit))
+    return classes, classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
+def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """The rows without near duplicates: of each component one row stays, the first by id (nulls last) and row number.
+
+    Ids only order the rows: those that repeat an id or have none are compared and kept like any other.
+    """
+    numbered = staged(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("rid")), "numbered")
+    texts = numbered.select("rid", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text}`").alias("text"))
+    marked = staged(with_fingerprint(texts).select("rid", "id", "fp"), "simhash")
+    _, parts = _components(marked, **options)
+    order = F.struct(F.col("id").isNull().alias("unnamed"), "id", "rid")
+    first = marked.join(parts, "fp").groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("rid"))
+    return numbered.join(first, "rid", "left_semi").select("doc.*")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """The documents without near duplicates: of each component the one with the smallest id stays.
 
-    Documents with a null id stay. If an id is repeated, all its rows stay or go together.
+    Documents with a null id stay. If an id is repeated, all its rows stay or go together; `keep_one_row` decides by row.
     """
     found = near_duplicates(docs, id_col, text, **options).filter(F.col("component_id") < F.col(id_col))
     gone = found.select(F.col(id_col).alias("gone")).distinct()
     return docs.select(F.struct("*").alias("doc")).join(gone, F.col(f"doc.`{id_col}`") == F.col("gone"), "left_anti").select("doc.*")
 
 
-__all__ = ["fingerprint", "keep_one", "near_duplicates", "near_pairs", "with_fingerprint"]
+__all__ = ["fingerprint", "keep_one", "keep_one_row", "near_duplicates", "near_pairs", "with_fingerprint"]
