@@ -42,7 +42,7 @@ def op5_nearest_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_classes(table(spark, sf_dir, "documents"), every=True)
+    return linededup.line_classes(table(spark, sf_dir, "documents"), every=True, short=True)
 
 
 def op7_partial_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
