@@ -6,9 +6,9 @@ with no weight above 1, until all margins hold. A cell's weight is the probabili
 documents is kept, decided by a hash of the document, so the choice is the same on every run and
 after every retry.
 
-Categories per margin are bounded (`MOST_CATEGORIES`, the others share one category, ranked by their
-tokens over all documents), so the table of cells is bounded by their product and not by the input; the
-raking runs over that table. Tokens are white-space separated words.
+Every category is kept. The table of cells is counted: up to `DRIVER_CELLS` cells are raked on the driver, more
+of them as a Spark table, each step a sum per category joined back, with only the largest change of a weight on
+the driver. Tokens are white-space separated words.
 
 Topics come from spherical k-means over all documents: word counts hashed to ``DIMENSIONS`` sums, as
 logarithms less their part in the corpus mean. Vectors and sums are whole numbers, so every run adds up to
@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import staged
+from trailmark.llm.common import send_if_small, staged
 
 DIMENSIONS = 64
-#: Named categories of a margin; the rest are one category.
-MOST_CATEGORIES = 200
+#: Named categories of a margin, the rest being one category; None: every category is named.
+MOST_CATEGORIES: int | None = None
+#: Cells up to which the raking runs on the driver.
+DRIVER_CELLS = 100_000
 OTHER = "(other)"
 NONE = "(none)"
 _HASHED = 200_000  # words whose hash a worker keeps
@@ -141,7 +143,8 @@ def rake(cells: list[tuple[str, ...]], tokens: np.ndarray, targets: list[Mapping
     sides = []
     for m, target in enumerate(targets):
         names = sorted({c[m] for c in cells})
-        sides.append((np.array([names.index(c[m]) for c in cells], int), np.array([target.get(n, 0.0) * total for n in names])))
+        places = {n: i for i, n in enumerate(names)}
+        sides.append((np.array([places[c[m]] for c in cells], int), np.array([target.get(n, 0.0) * total for n in names])))
     for _ in range(rounds):
         off = 0.0
         for place, wanted in sides:
@@ -155,6 +158,27 @@ def rake(cells: list[tuple[str, ...]], tokens: np.ndarray, targets: list[Mapping
     return weight
 
 
+def rake_table(cells: DataFrame, margins: list[str], targets: list[DataFrame], total: float, whole: float, rounds: int = 500, close: float = 1e-6) -> DataFrame:
+    """`rake` of a Spark table of cells (margins, t): the cells with their ``probability``.
+
+    ``targets`` has a table (margin, wanted) for each margin, of shares; absent categories get nothing. Each round is a written table.
+    """
+    now = staged(cells.withColumns({"probability": F.lit(min(1.0, total / max(whole, 1))), "old": F.lit(0.0)}), "raked")
+    for _ in range(rounds):
+        step, off = now, 0.0
+        for m, target in zip(margins, targets):
+            have = step.groupBy(m).agg(F.sum(F.col("probability") * F.col("t")).alias("have"))
+            wanted = F.coalesce("wanted", F.lit(0.0)) * F.lit(float(total))
+            factor = have.join(target, m, "left").select(m, F.when(F.col("have") > 0, wanted / F.col("have")).otherwise(1.0).alias("factor"))
+            before = step.withColumn("old", F.col("probability")).join(factor, m).withColumn("probability", F.least(F.lit(1.0), F.col("probability") * F.col("factor")))
+            step = staged(before.drop("factor"), "raked")
+            off = max(off, step.agg(F.max(F.abs(F.col("probability") - F.col("old")))).first()[0] or 0.0)
+        now = step
+        if off < close:
+            break
+    return now.drop("old")
+
+
 def sampling_plan(docs: DataFrame, *, keep: float = 0.7, power: float = 0.7, targets: Mapping[str, Mapping[str, float]] | None = None, topics: int = 8, seed: int = 42, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
     """One row per document: id, source, lang, topic, tokens, probability, kept.
 
@@ -170,24 +194,39 @@ def sampling_plan(docs: DataFrame, *, keep: float = 0.7, power: float = 0.7, tar
     topical = staged(rows.select("id", "source", "lang", "tokens", model.of(F.col("vector")).cast("string").alias("topic")), "topical")
     weight = F.greatest("tokens", F.lit(1))
     margins = ("source", "lang", "topic")
-    coded, shares = topical.withColumn("size", weight), []
+    coded, keys = topical.withColumn("size", weight), [f"c_{m}" for m in margins]
     for m in margins:
-        largest = topical.groupBy(m).agg(F.sum(weight).alias("t")).orderBy(F.desc("t"), m).limit(MOST_CATEGORIES)
-        totals = {r[m]: r["t"] for r in largest.collect()}
-        coded = coded.withColumn(f"c_{m}", F.when(F.col(m).isin(list(totals)), F.col(m)).otherwise(OTHER))
-        shares.append(totals)
-    found = coded.groupBy(*[f"c_{m}" for m in margins]).agg(F.sum("size").alias("t")).collect()  # bounded by the categories' product
-    found.sort(key=lambda r: tuple(r[:3]))
-    cells, tokens = [tuple(r[:3]) for r in found], np.array([r["t"] for r in found], float)
-    wanted = []
-    for i, m in enumerate(margins):
-        have = {n: float(sum(t for c, t in zip(cells, tokens) if c[i] == n)) for n in {c[i] for c in cells}}
-        wanted.append((targets or {}).get(m) or tempered(have, power))
-    weights = rake(cells, tokens, wanted, keep * tokens.sum())
-    table = pd.DataFrame([(*c, float(w)) for c, w in zip(cells, weights)], columns=[*[f"c_{m}" for m in margins], "probability"])
-    plan = docs.sparkSession.createDataFrame(table, ", ".join([*[f"c_{m} string" for m in margins], "probability double"]))
+        named = F.col(m)
+        if MOST_CATEGORIES is not None:
+            largest = topical.groupBy(m).agg(F.sum(weight).alias("t")).orderBy(F.desc("t"), m).limit(MOST_CATEGORIES)
+            named = F.when(named.isin([r[m] for r in largest.collect()]), named).otherwise(OTHER)
+        coded = coded.withColumn(f"c_{m}", named)
+    found = staged(coded.groupBy(*keys).agg(F.sum("size").alias("t")), "cells")
+    row = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
+    if row["n"] <= DRIVER_CELLS:
+        few = sorted(found.collect(), key=lambda r: tuple(r[:3]))
+        cells, tokens = [tuple(r[:3]) for r in few], np.array([r["t"] for r in few], float)
+        wanted = []
+        for i, m in enumerate(margins):
+            have: dict[str, float] = {}
+            for c, t in zip(cells, tokens.tolist()):
+                have[c[i]] = have.get(c[i], 0.0) + t
+            wanted.append((targets or {}).get(m) or tempered(have, power))
+        weights = rake(cells, tokens, wanted, keep * tokens.sum())
+        table = pd.DataFrame([(*c, float(w)) for c, w in zip(cells, weights)], columns=[*keys, "probability"])
+        plan = F.broadcast(docs.sparkSession.createDataFrame(table, ", ".join([*[f"{k} string" for k in keys], "probability double"])))
+    else:
+        wanted = []
+        for m, k in zip(margins, keys):
+            given = (targets or {}).get(m)
+            if given:
+                wanted.append(docs.sparkSession.createDataFrame([(n, float(v)) for n, v in given.items()], f"{k} string, wanted double"))
+            else:
+                raised = staged(found.groupBy(k).agg(F.pow(F.sum("t").cast("double"), F.lit(power)).alias("wanted")), "targets")
+                wanted.append(raised.withColumn("wanted", F.col("wanted") / F.lit(raised.agg(F.sum("wanted")).first()[0])))
+        plan = send_if_small(rake_table(found, keys, wanted, keep * row["t"], float(row["t"])).drop("t"))
     drawn = F.shiftrightunsigned(F.when(F.col("id").isNull(), F.xxhash64(F.lit(seed), "source", "lang", "tokens")).otherwise(F.xxhash64(F.lit(seed), "id")), 11) / F.lit(float(1 << 53))
-    joined = coded.join(F.broadcast(plan), [f"c_{m}" for m in margins])
+    joined = coded.join(plan, keys)
     return joined.select(F.col("id").alias(id_col), "source", "lang", F.col("topic").cast("int").alias("topic"), "tokens", "probability", (drawn < F.col("probability")).alias("kept"))
 
 
