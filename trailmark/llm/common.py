@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.plans.staging import staged
+from trailmark.plans.staging import staged, unstage
 
-__all__ = ["components", "held_out", "send_if_small", "staged", "table"]
+__all__ = ["components", "held_out", "send_if_small", "staged", "table", "unstage"]
 
 #: Rows of a key table up to which it is sent to all executors; beyond, the join shuffles.
 SEND_ROWS = 1_000_000

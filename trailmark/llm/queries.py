@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import innerproduct, linededup, mixing, multiindex, packing, quality, sanitise, secretscan, simhash, toxicity
+from trailmark.llm import codebooks, hosts, innerproduct, linededup, mixing, multiindex, oracles, packing, quality, repair, sanitise, secretscan, simhash, toxicity
 from trailmark.llm.common import held_out, table
 
 
@@ -62,6 +62,22 @@ def op10_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(docs, secretscan.fit(docs))
 
 
+def op11_adaptive_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.compress(table(spark, sf_dir, "embeddings"))
+    return codebooks.with_label_error(coded).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks.digest(books) if books else "").alias("codebooks_sha256")
+    )
+
+
+def op12_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = hosts.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judged.withColumns({"rate": F.round("rate", 6), "bound": F.round("bound", 6)})
+
+
+def op13_checkpointed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_discriminant": op1_discriminant,
     "op2_best_fit": op2_best_fit,
@@ -73,5 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_raking": op8_raking,
     "op9_simhash": op9_simhash,
     "op10_secret_field": op10_secret_field,
+    "op11_adaptive_bounds": op11_adaptive_bounds,
+    "op12_host_reputation": op12_host_reputation,
+    "op13_checkpointed_repair": op13_checkpointed_repair,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
