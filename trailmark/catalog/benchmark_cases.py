@@ -15,6 +15,7 @@ from trailmark.operators import parsing as P
 from trailmark.operators import rubrics as RU
 from trailmark.operators import summaries as R
 from trailmark.operators import worklist as W
+from trailmark.plans.keyed import latest_by
 from trailmark.session import checkpoint_folder
 from trailmark.sources import readers as IN
 from trailmark.sources import writers as OUT
@@ -125,7 +126,7 @@ def _(x):
 
 @case(
     "prj6_table_tasks",
-    """SELECT 'w' || instance_id AS id, CASE WHEN instance_id % 7 = 5 THEN 'unsupported_language' WHEN instance_id = 16 THEN 'invalid_config' WHEN instance_id = 17 THEN 'key_not_required' WHEN instance_id = 18 THEN 'not_one_metric' WHEN instance_id = 19 THEN 'gold_columns_missing' END AS reject_reason,
+    """SELECT 'w' || instance_id AS id, CASE WHEN instance_id % 7 = 5 THEN 'unsupported_language' WHEN instance_id = 14 THEN 'pipeline_differs' WHEN instance_id = 16 THEN 'invalid_config' WHEN instance_id = 17 THEN 'key_not_required' WHEN instance_id = 18 THEN 'not_one_metric' WHEN instance_id = 19 THEN 'gold_columns_missing' END AS reject_reason,
      CASE WHEN instance_id <> 16 THEN 'Reference table with ' || n || ' rows and 6 required columns' END AS answer FROM (SELECT instance_id, count(*) AS n FROM fx_rows WHERE side = 'gold' GROUP BY instance_id) t""",
 )
 def _(x):
@@ -313,48 +314,71 @@ def _(x):
 
 
 # ---- streaming ----
-def event_stream(x, fx):
-    """A derived input as a stream: written once as a folder of files, then read incrementally."""
-    path = scratch(x, "log")
+def replay(x, fx, by, view):
+    """A derived input as a log that grows three times; after each time ``view(stream, root)`` goes on where it stopped."""
+    path, root = scratch(x, "log"), scratch(x, "stream")
     df = getattr(x, fx)
-    df.write.parquet(path)
-    return L.read_log_stream(x.spark, path, df.schema, "parquet", per_batch=None), scratch(x, "stream")
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    cuts = [low + (high + 1 - low) * i // 3 for i in range(4)]
+    for start, end in zip(cuts, cuts[1:]):
+        df.filter((F.col(by) >= start) & (F.col(by) < end)).write.mode("append").parquet(path)
+        result = view(L.read_log_stream(x.spark, path, df.schema, "parquet"), root)
+    return result
 
 
 @case("str1_incremental_read", "SELECT line, question_id, rollout_idx FROM fx_reviews")
 def _(x):
-    stream, root = event_stream(x, "reviews")
-    out = f"{root}/rows"
-    L.drain(stream, f"{root}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"))
-    return x.spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out).select("line", "question_id", "rollout_idx")
+    return replay(x, "reviews", "line", lambda stream, root: L.collected(stream, root, "rows")).select("line", "question_id", "rollout_idx")
 
 
-@case(
-    "str2_live_accuracy",
-    """SELECT rollout_idx, count(*) AS judged, count(*) FILTER (is_correct = 'true') AS correct, round(sum(coalesce(CASE WHEN isnan(f) THEN NULL ELSE f END, 0)), 6) AS recall FROM (SELECT *, try_cast(json_extract_string(judge_metrics, '$.recall') AS DOUBLE) AS f FROM fx_reviews) t GROUP BY rollout_idx""",
-)
+REVIEW_RECALL = "round(sum(coalesce(CASE WHEN isnan(f) THEN NULL ELSE f END, 0)), 6) AS recall"
+WITH_RECALL = "SELECT *, try_cast(json_extract_string(judge_metrics, '$.recall') AS DOUBLE) AS f FROM"
+
+
+@case("str2_live_accuracy", f"SELECT rollout_idx, count(*) AS judged, count(*) FILTER (is_correct = 'true') AS correct, {REVIEW_RECALL} FROM ({WITH_RECALL} fx_reviews) t GROUP BY rollout_idx")
 def _(x):
-    stream, root = event_stream(x, "reviews")
-    return flat(L.keep_final(L.live_accuracy(stream, ["recall"]), root))
+    return flat(replay(x, "reviews", "line", lambda stream, root: L.keep_final(L.live_accuracy(stream, ["recall"]), root, ["rollout_idx"], 4)))
 
 
 @case("str3_resume", "SELECT line FROM fx_reviews WHERE (question_id, rollout_idx) NOT IN (SELECT question_id, rollout_idx FROM fx_reviews WHERE is_correct = 'true' AND answer IS NULL AND question_id <> '')")
 def _(x):
-    stream, root = event_stream(x, "reviews")
     finished = W.completed_pairs(x.reviews.filter("is_correct = 'true' AND answer IS NULL"))
-    return L.skip_finished(stream, finished, root, ["question_id", "rollout_idx"]).select("line")
+    return replay(x, "reviews", "line", lambda stream, root: L.skip_finished(stream, finished, root, ["question_id", "rollout_idx"])).select("line")
+
+
+@case(
+    "str3_reseeded_counters",
+    f"""WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, rollout_idx ORDER BY line DESC) AS rn FROM fx_reviews WHERE answer IS NULL AND question_id <> '') t WHERE rn = 1),
+    r AS ({WITH_RECALL} (SELECT * EXCLUDE (rn) FROM d UNION ALL SELECT * FROM fx_reviews WHERE (question_id, rollout_idx) NOT IN (SELECT question_id, rollout_idx FROM d)) u)
+    SELECT rollout_idx, count(*) AS judged, count(*) FILTER (is_correct = 'true') AS correct, {REVIEW_RECALL} FROM r GROUP BY rollout_idx""",
+)
+def _(x):
+    finished = latest_by(x.reviews.filter("answer IS NULL AND question_id <> ''"), ["question_id", "rollout_idx"], ["line"])
+    return flat(replay(x, "reviews", "line", lambda stream, root: L.resumed_accuracy(stream, finished, root, ["recall"], buckets=4)))
 
 
 @case("str4_latest_stream", "SELECT line, rollout_idx, question_id FROM (SELECT *, row_number() OVER (PARTITION BY rollout_idx, question_id ORDER BY file_rank DESC, line DESC) AS rn FROM fx_reviews) t WHERE rn = 1")
 def _(x):
-    stream, root = event_stream(x, "reviews")
-    return L.latest_records(stream, root, ["rollout_idx", "question_id"], ["file_rank", "line"]).select("line", "rollout_idx", "question_id")
+    view = lambda stream, root: L.latest_records(stream, root, ["rollout_idx", "question_id"], ["file_rank", "line"], buckets=8)
+    return replay(x, "reviews", "line", view).select("line", "rollout_idx", "question_id")
+
+
+@case(
+    "str4_retractions",
+    """WITH e AS (SELECT *, coalesce(answer = '   ', FALSE) OR line % 4 = 0 AS back FROM fx_reviews),
+    s AS (SELECT *, sum(CASE WHEN back THEN -1 ELSE 1 END) OVER (PARTITION BY rollout_idx, question_id ORDER BY line) AS level FROM e),
+    m AS (SELECT *, min(level) OVER (PARTITION BY rollout_idx, question_id ORDER BY line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM s)
+    SELECT rollout_idx, question_id, max(line) AS line FROM m WHERE NOT back AND level <= low GROUP BY rollout_idx, question_id""",
+)
+def _(x):
+    back = F.coalesce(F.col("answer") == "   ", F.lit(False)) | (F.col("line") % 4 == 0)
+    view = lambda stream, root: L.latest_records(stream, root, ["rollout_idx", "question_id"], ["line"], retracts=back, buckets=8)
+    return replay(x, "reviews", "line", view).select("rollout_idx", "question_id", "line")
 
 
 @case("str5_loop_guard", f"WITH {LOOP} SELECT run, seq, segment, cycle FROM c")
 def _(x):
-    stream, root = event_stream(x, "tool_calls")
-    return L.loop_guard(stream, root)
+    return replay(x, "tool_calls", "turn", L.loop_guard)
 
 
 @case(
@@ -363,14 +387,13 @@ def _(x):
     FROM (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY seq) AS rn FROM fx_metrics) t GROUP BY ALL HAVING count(*) = 200""",
 )
 def _(x):
-    stream, root = event_stream(x, "metrics")
-    return flat(L.count_windows(stream, root))
+    return flat(replay(x, "metrics", "seq", L.count_windows))
 
 
 @case("str7_live_units", "SELECT question_id, rollout_idx, metric_name, metric_type, count(*) AS samples, round(sum(value), 6) AS total, min(value) AS min, max(value) AS max FROM fx_metrics GROUP BY question_id, rollout_idx, metric_name, metric_type")
 def _(x):
-    stream, root = event_stream(x, "metrics")
-    return flat(L.keep_final(L.live_units(stream), root))
+    unit = ["question_id", "rollout_idx", "metric_name", "metric_type"]
+    return flat(replay(x, "metrics", "seq", lambda stream, root: L.keep_final(L.live_units(stream), root, unit, 8)))
 
 
 # ---- caller functions ----

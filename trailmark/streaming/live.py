@@ -1,24 +1,29 @@
 """Live views over append-only logs with Structured Streaming.
 
-Plain counters are streaming aggregations. Views that look back in order (latest record, call loops, count
-windows) keep a small state table per micro-batch: each batch reads the state written by the one
-before, runs the same DataFrame operator as the batch job, and writes the next version. A hot run or metric
-is therefore spread over tasks exactly as in batch, and a batch that is replayed after a failure overwrites
-its own version only.
+Three kinds of state, each of which costs a batch what the batch touches:
+
+* plain counters are streaming aggregations in update mode; a batch hands on the units it changed;
+* views that look back in order (call loops, count windows) keep a few values per key in the engine's state store;
+* tables per key (latest record, counters that start from finished records) are ``tables.BucketTable``s, merged by batch.
+
+Every batch writes under its own number, so one that is replayed after a failure replaces its own output only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmark.functions import variants as V
 from trailmark.operators import trajectories as TR
-from trailmark.plans.blocks import lagged, row_numbers
+from trailmark.plans.blocks import null_safe_join, running_sums
 from trailmark.plans.keyed import latest_by
+from trailmark.streaming.tables import BUCKETS, BucketTable
 
 
 def read_log_stream(spark: SparkSession, folder: str, schema: T.StructType, fmt: str = "json", files: str | None = None, per_batch: int | None = None) -> DataFrame:
@@ -39,11 +44,27 @@ def drain(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
-def keep_final(stream: DataFrame, root: str) -> DataFrame:
-    """Run a streaming aggregation to the end of the available input and return its final result."""
-    out = f"{root}/result"
-    drain(stream, f"{root}/checkpoint", lambda df, _: df.write.mode("overwrite").parquet(out), "complete")
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+def collected(stream: DataFrame, root: str, name: str) -> DataFrame:
+    """Append what each batch brings to its own folder, and return all of it."""
+    out = f"{root}/{name}"
+    drain(stream, f"{root}/checkpoint", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"))
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
+
+
+def keep_final(stream: DataFrame, root: str, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Run a streaming aggregation by ``keys`` to the end of the available input and return its present result.
+
+    In update mode a batch brings the keys it changed, whose rows replace the older ones in a bucketed table.
+    """
+    table = BucketTable(stream.sparkSession, f"{root}/result", stream.schema, keys, buckets)
+
+    def replace(old: DataFrame, new: DataFrame) -> DataFrame:
+        named = new.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        return old.join(named, same, "left_anti").unionByName(new)
+
+    drain(stream, f"{root}/checkpoint", lambda df, i: table.merge(df, replace, i), "update")
+    return table.read()
 
 
 def live_accuracy(reviews: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -64,51 +85,61 @@ def live_units(samples: DataFrame) -> DataFrame:
     )
 
 
-class StateTable:
-    """Versioned state of a foreachBatch view: version n is what batch n left behind."""
+def latest_records(stream: DataFrame, root: str, keys: Sequence[str], order: Sequence[str], retracts: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Latest record per key over everything read so far; only the buckets of a batch's keys are written again.
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType) -> None:
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{batch_id - 1}")
-
-    def write(self, state: DataFrame, batch_id: int) -> None:
-        state.write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
+    ``retracts`` marks rows that take back the latest record of their key, so that the one before it counts again; a
+    retraction without a record does nothing. The table then keeps every record that is not taken back, at its level: the
+    records of its key below it. Levels come from a running sum over the one integer column ``order`` names, and at each
+    level records and retractions take turns, so the last event of a level says whether its record stands. Events of a
+    key must arrive in order over the batches.
+    """
+    spark = stream.sparkSession
+    if retracts is None:
+        table = BucketTable(spark, f"{root}/state", stream.schema, keys, buckets)
+        # reduce the batch first: only one row per key meets the state
+        drain(stream, f"{root}/checkpoint", lambda df, i: table.merge(latest_by(df, keys, order), lambda old, new: latest_by(old.unionByName(new), keys, order), i))
+        return table.read()
+    (seq,) = order
+    schema = T.StructType(stream.schema.fields).add("_level", T.LongType())
+    table = BucketTable(spark, f"{root}/state", schema, keys, buckets)
 
-    def latest(self) -> DataFrame:
-        """Newest version; older ones stay until the folder is cleaned."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        newest = max(int(s.getPath().getName()) for s in fs.listStatus(root))
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{newest}")
+    def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
+        events = batch.withColumn("_back", F.coalesce(retracts, F.lit(False)))
+        summed = running_sums(events, keys, seq, {"_sum": F.when(F.col("_back"), F.lit(-1)).otherwise(F.lit(1)).cast("bigint")})
+        top = old.groupBy(*keys).agg(F.max("_level").alias("_top"))
+        level = F.coalesce("_top", F.lit(0)) + F.col("_sum") + F.when(F.col("_back"), 1).otherwise(0)
+        placed = null_safe_join(summed, top, keys, "left").withColumn("_level", level).drop("_top", "_sum")
+        both = placed.unionByName(old.withColumn("_back", F.lit(False)))
+        return latest_by(both, [*keys, "_level"], [seq]).filter("NOT _back").drop("_back")
 
+    drain(stream, f"{root}/checkpoint", lambda df, i: table.merge(df, merge, i))
+    return latest_by(table.read(), keys, ["_level"]).drop("_level")
 
-def latest_records(stream: DataFrame, root: str, keys: Sequence[str], order: Sequence[str], retract: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Latest record per key over everything read so far; ``retract`` may drop rows of the merged state."""
-    state = StateTable(stream.sparkSession, f"{root}/state", stream.schema)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        # reduce the batch first: only one row per key meets the state
-        merged = latest_by(state.before(batch_id).unionByName(latest_by(batch, keys, order)), keys, order)
-        state.write(retract(merged) if retract else merged, batch_id)
+def skip_finished(stream: DataFrame, finished: DataFrame, root: str, keys: Sequence[str]) -> DataFrame:
+    """Rows of the stream that are not finished yet, each batch joined against the finished table."""
+    return collected(stream.join(finished, list(keys), "left_anti"), root, "pending")
 
-    drain(stream, f"{root}/checkpoint", merge)
-    return state.latest()
 
+def resumed_accuracy(stream: DataFrame, finished: DataFrame, root: str, metrics: Sequence[str], keys: Sequence[str] = ("question_id", "rollout_idx"), buckets: int = BUCKETS) -> DataFrame:
+    """Counters per rollout of a run that goes on: they start from the finished records, and finished work is skipped.
 
-def skip_finished(stream: DataFrame, finished: DataFrame, root: str, keys: Sequence[str]) -> DataFrame:
-    """Rows of the stream that are not finished yet, each batch joined against the finished table."""
-    out = f"{root}/pending"
+    ``finished`` holds one record per finished key and must be the same on every resumption; its counters are version -1
+    of the table, so a view that was never started begins with them and one that was goes on with its own.
+    """
+    start = live_accuracy(finished, metrics)
+    table = BucketTable(stream.sparkSession, f"{root}/counters", start.schema, ["rollout_idx"], buckets)
+    table.merge(start, lambda old, new: new, -1)
+    sums = [c for c in start.columns if c != "rollout_idx"]
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.join(finished, list(keys), "left_anti").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    def add(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.unionByName(new).groupBy("rollout_idx").agg(*[F.sum(c).alias(c) for c in sums])
 
-    drain(stream, f"{root}/checkpoint", handle)
-    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
+    done = finished.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    drain(stream, f"{root}/checkpoint", lambda df, i: table.merge(live_accuracy(df.join(done, same, "left_anti"), metrics), add, i))
+    return table.read()
 
 
 HISTORY = 2 * TR.MAX_CYCLE - 1
@@ -117,70 +148,65 @@ HISTORY = 2 * TR.MAX_CYCLE - 1
 def loop_guard(stream: DataFrame, root: str, max_cycle: int = TR.MAX_CYCLE) -> DataFrame:
     """Call loops per run over a stream of calls (run, seq, turn, name, arguments, is_seal).
 
-    The state holds the seals seen and the last signatures of each run; a turn is assumed to arrive within one
-    batch, and batches in seq order.
+    The state store holds, per run, the seals seen and the last ``HISTORY`` signatures since the last seal. A turn is
+    assumed to arrive within one batch, and batches in seq order; only signatures travel, never arguments. A batch's rows of one run
+    meet in one task, so ``per_batch`` of ``read_log_stream`` is what bounds it.
     """
-    spark = stream.sparkSession
-    seals = StateTable(spark, f"{root}/seals", "run bigint, seals bigint")
-    tails = StateTable(spark, f"{root}/tails", "run bigint, seq bigint, segment bigint, _sig string")
-    out = f"{root}/cycles"
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        earlier = seals.before(batch_id)
-        calls = TR.with_segment(batch, F.col("is_seal")).join(earlier, "run", "left")
-        calls = calls.withColumn("segment", F.col("segment") + F.coalesce("seals", F.lit(0)))
-        sig = F.sha2(V.call_signature(F.col("name"), F.coalesce("arguments", F.lit("{}"))), 256)
-        in_turn = calls.groupBy("run", "turn").agg(F.bool_or(F.col("name").isin(*TR.MEMORY_TOOLS)).alias("_mem"))
-        fresh = calls.join(in_turn, ["run", "turn"]).filter("NOT _mem").select("run", "seq", "segment", sig.alias("_sig"))
-        rows = fresh.withColumn("_new", F.lit(True)).unionByName(tails.before(batch_id).withColumn("_new", F.lit(False)))
-        prev = lagged(rows, ["run"], "seq", F.struct("segment", "_sig"), HISTORY, "_prev")
-        past = [F.when(F.get("_prev", F.lit(i))["segment"] == F.col("segment"), F.get("_prev", F.lit(i))["_sig"]) for i in range(HISTORY)]
-        cycles = prev.filter("_new").select("run", "seq", "segment", TR.repeat_cycle(F.col("_sig"), past, max_cycle).alias("cycle"))
-        cycles.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        total = calls.groupBy("run").agg(F.sum(F.col("is_seal").cast("bigint")).alias("n"))
-        merged = earlier.join(total, "run", "full").select("run", (F.coalesce("seals", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("seals"))
-        seals.write(merged, batch_id)
-        tails.write(_last_rows(rows.drop("_new"), HISTORY), batch_id)
-
-    drain(stream, f"{root}/checkpoint", handle)
-    return spark.read.option("recursiveFileLookup", True).parquet(out)
-
-
-def _last_rows(rows: DataFrame, n: int) -> DataFrame:
-    """Last n rows per run; the rank filter runs per map task before the shuffle."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("run").orderBy(F.col("seq").desc())
-    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    sig = F.sha2(V.call_signature(F.col("name"), F.coalesce("arguments", F.lit("{}"))), 256)
+    calls = stream.select("run", "seq", "turn", F.col("name").isin(*TR.MEMORY_TOOLS).alias("mem"), F.coalesce("is_seal", F.lit(False)).alias("is_seal"), sig.alias("sig"))
+
+    def guard(key: tuple, chunks: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(chunks)).sort_values("seq")
+        segment, history = state.get if state.exists else (0, [])
+        history, out = list(history), []
+        skipped = set(rows["turn"][rows["mem"].fillna(False).astype(bool)])
+        for seq, turn, seal, mark in zip(rows["seq"], rows["turn"], rows["is_seal"], rows["sig"]):
+            if turn not in skipped:
+                history = [mark, *history[:HISTORY]]
+                out.append((key[0], seq, segment, _cycle(history, max_cycle)))
+            if seal:
+                segment, history = segment + 1, []
+        state.update((segment, history[:HISTORY]))
+        yield pd.DataFrame(out, columns=["run", "seq", "segment", "cycle"]).astype({"cycle": "Int32"})
+
+    cycles = calls.groupBy("run").applyInPandasWithState(guard, "run bigint, seq bigint, segment bigint, cycle int", "seals bigint, signatures array<string>", "append", "NoTimeout")
+    return collected(cycles, root, "cycles")
+
+
+def _cycle(history: list[str | None], longest: int) -> int | None:
+    """As ``trajectories.repeat_cycle`` on a list of signatures, newest first."""
+    for n in range(1, min(max(longest, 0), TR.MAX_CYCLE) + 1):
+        span = max(2 * n, 3)
+        if len(history) >= span and all(history[i] is not None and history[i] == history[i + n] for i in range(span - n)):
+            return n
+    return None
 
 
 def count_windows(stream: DataFrame, root: str, size: int = 200) -> DataFrame:
-    """Full windows of ``size`` samples per metric over a stream (metric_name, seq, value).
+    """Full windows of ``size`` samples per metric over a stream (metric_name, seq, value), batches in seq order.
 
-    The state holds the samples of the unfinished window (fewer than ``size`` per metric) and its number.
+    The state store holds, per metric, the number of windows sent out and the count, sum, least and largest value of the
+    open one; a window is sent out by its last sample. Null values count as samples but not into the figures.
     """
-    spark = stream.sparkSession
-    rest = StateTable(spark, f"{root}/rest", "metric_name string, seq bigint, value double")
-    done = StateTable(spark, f"{root}/done", "metric_name string, windows bigint")
-    out = f"{root}/windows"
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        before = done.before(batch_id)
-        samples = batch.select("metric_name", "seq", "value").unionByName(rest.before(batch_id))
-        numbered = row_numbers(samples, ["metric_name"], "seq", "_rn").withColumn("_w", F.floor((F.col("_rn") - 1) / size).cast("bigint"))
-        full = numbered.groupBy("metric_name", "_w").agg(
-            F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count(F.lit(1)).alias("samples")
-        )
-        ended = full.filter(F.col("samples") == size)
-        ended.join(before, "metric_name", "left").select(
-            "metric_name", (F.col("_w") + F.coalesce("windows", F.lit(0))).alias("window_idx"), "mean", "min", "max", "samples"
-        ).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        open_window = full.filter(F.col("samples") < size).select("metric_name", "_w")
-        rest.write(numbered.join(open_window, ["metric_name", "_w"], "left_semi").select("metric_name", "seq", "value"), batch_id)
-        added = ended.groupBy("metric_name").agg(F.count(F.lit(1)).alias("n"))
-        done.write(
-            before.join(added, "metric_name", "full").select("metric_name", (F.coalesce("windows", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("windows")), batch_id
-        )
-
-    drain(stream, f"{root}/checkpoint", handle)
-    return spark.read.option("recursiveFileLookup", True).parquet(out)
+
+    def windows(key: tuple, chunks: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        values = pd.concat(list(chunks)).sort_values("seq")["value"].astype(float)
+        index, samples, open_ = state.get if state.exists else (0, 0, None)
+        part = pd.DataFrame({"value": values.to_numpy(), "window": index + (samples + pd.RangeIndex(len(values))) // size})
+        got = part.groupby("window")["value"].agg(["size", "count", "sum", "min", "max"]).reset_index()
+        if samples:
+            _, held, total, low, high = (samples, *open_)
+            first = got.index[0]
+            got.loc[first, ["size", "count", "sum"]] += [samples, held, total]
+            got.loc[first, "min"], got.loc[first, "max"] = pd.Series([got.at[first, "min"], low]).min(), pd.Series([got.at[first, "max"], high]).max()
+        full = got[got["size"] == size]
+        rest = got[got["size"] < size]
+        kept = (int(rest["size"].iloc[0]), (int(rest["count"].iloc[0]), float(rest["sum"].iloc[0]), float(rest["min"].iloc[0]), float(rest["max"].iloc[0]))) if len(rest) else (0, None)
+        state.update((index + len(full), *kept))
+        mean = (full["sum"] / full["count"]).where(full["count"] > 0)
+        yield pd.DataFrame({"metric_name": key[0], "window_idx": full["window"].astype("int64"), "mean": mean, "min": full["min"], "max": full["max"], "samples": full["size"].astype("int64")})
+
+    samples = stream.select("metric_name", "seq", F.col("value").cast("double").alias("value"))
+    state = "windows bigint, samples bigint, open struct<n:bigint,total:double,min:double,max:double>"
+    ended = samples.groupBy("metric_name").applyInPandasWithState(windows, "metric_name string, window_idx bigint, mean double, min double, max double, samples bigint", state, "append", "NoTimeout")
+    return collected(ended, root, "windows")
