@@ -11,6 +11,7 @@ from trailmark.operators import parsing as P
 from trailmark.operators import search as Q
 from trailmark.operators import summaries as R
 from trailmark.operators import tablematch as TM
+from trailmark.operators import tablescore as TS
 from trailmark.operators import trajectories as T
 from trailmark.operators import worklist as W
 from trailmark.operators.memory import lookup, natural_key
@@ -174,17 +175,17 @@ def table_inputs(spark, gold, pred, metric="exact_match"):
 
 
 def test_many_to_many_may_exceed_one(spark):
-    r = TM.score_tables(*table_inputs(spark, [("A", "x"), ("a*", "x")], [("a", "x"), (" a", "x"), ("a", "zz")])).first()
+    r = TS.score_tables(*table_inputs(spark, [("A", "x"), ("a*", "x")], [("a", "x"), (" a", "x"), ("a", "zz")])).first()
     assert (r.gold_rows, r.predicted_rows, r.row_true_positives, r.row_precision) == (2, 2, 4.0, 2.0)
 
 
 def test_blank_matches_blank_and_success_needs_all(spark):
-    assert TM.score_tables(*table_inputs(spark, [("a", ""), ("b", "1")], [("a", "N/A"), ("b", "1")])).first().is_correct
-    assert not TM.score_tables(*table_inputs(spark, [("a", "2")], [("a", "1")])).first().is_correct
+    assert TS.score_tables(*table_inputs(spark, [("a", ""), ("b", "1")], [("a", "N/A"), ("b", "1")])).first().is_correct
+    assert not TS.score_tables(*table_inputs(spark, [("a", "2")], [("a", "1")])).first().is_correct
 
 
 def test_empty_match_scores_zero(spark):
-    r = TM.score_tables(*table_inputs(spark, [("a", "1")], [("b", "1")])).first()
+    r = TS.score_tables(*table_inputs(spark, [("a", "1")], [("b", "1")])).first()
     assert (r.complete_status, r.row_f1, r.gold_rows) == ("SUCCESS", 0.0, 1)
 
 
@@ -192,7 +193,7 @@ def test_model_scores_and_key_mapping(spark):
     args = table_inputs(spark, [("rome", "old"), ("oslo", "cold")], [("roma", "aged"), ("oslo", "warm")], "llm_judge")
     key_map = spark.createDataFrame([(1, "key", "roma", "rome"), (1, "key", "oslo", "nowhere")], "instance_id bigint, column_name string, origin string, transform string")
     scores = spark.createDataFrame([(1, "val", "aged", "old", 1.0)], "instance_id bigint, column_name string, response string, target string, score double")
-    r = TM.score_tables(*args, key_map=key_map, cell_scores=scores).first()
+    r = TS.score_tables(*args, key_map=key_map, cell_scores=scores).first()
     assert (r.row_true_positives, r.item_true_positives) == (1.0, 3.0)
 
 
@@ -281,5 +282,5 @@ def test_table_errors_and_null_scores(spark):
     assert TM.headers_from_rows(cells).first().columns == ["a", "b", "c"]
     gold = spark.createDataFrame([(1, "a,b\n1,2,3\n"), (2, "a,b\n1,2\n")], "instance_id bigint, gold_csv string")
     assert {r.instance_id: r.table_error for r in TM.gold_from_csv(gold).collect()} == {1: "bad_row_width", 2: None}
-    score = TM.cell_score(F.lit("number_near"), F.lit("1"), F.lit("999"), F.lit(None).cast("double"))
+    score = TS.cell_score(F.lit("number_near"), F.lit("1"), F.lit("999"), F.lit(None).cast("double"))
     assert spark.range(1).select(score.alias("s")).first().s == 0.0

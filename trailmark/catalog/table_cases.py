@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from trailmark.catalog.base import case
 from trailmark.catalog.summary_cases import flat
 from trailmark.operators import tablematch as TM
+from trailmark.operators import tablescore as TS
+from trailmark.plans.staging import staged
 
 HEAD = {"orderkey": "Order Key", "line_no": "Line No", "quantity": "quantity", "ship_date": "Ship Date", "flag": "flag", "price": "price"}
 
@@ -32,7 +34,7 @@ def headers(x, side):
 def status(x):
     gold, pred = side_rows(x, "gold"), side_rows(x, "pred")
     st = TM.instance_status(TM.parse_specs(x.spec), headers(x, "pred"), headers(x, "gold"))
-    return TM.staged(st, "instance-status"), gold, pred
+    return staged(st, "instance-status"), gold, pred
 
 
 LINES = r"""(SELECT *, list_filter(list_transform(string_split_regex(trim(block, @WS), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'), lambda l: trim(l, @WS)),
@@ -123,7 +125,7 @@ PAIRED = f"""{NORMED}, paired AS (SELECT g.instance_id, g.k1, g.k2, g.quantity |
 @case("jn9_key_join", f"WITH {PAIRED} SELECT instance_id, count(*) AS pairs, count(DISTINCT k1 || '|' || k2) AS keys FROM paired GROUP BY instance_id")
 def _(x):
     st, gold, pred = status(x)
-    m = TM.matched_rows(*TM.prepare_sides(st, gold, pred))
+    m = TS.matched_rows(*TM.prepare_sides(st, gold, pred))
     per_key = m.groupBy("instance_id", "key").agg(F.sum("weight").alias("w"))
     return per_key.groupBy("instance_id").agg(F.sum("w").alias("pairs"), F.count("*").alias("keys"))
 
@@ -131,7 +133,7 @@ def _(x):
 @case("tm6_pair_scores", f"WITH {PAIRED} SELECT instance_id, k1 || '|' || k2 AS key, target, response, count(*) AS weight, CAST(min(least(s1, s2, s3, s4)) AS DOUBLE) AS row_score, CAST(min(2 + s1 + s2 + s3 + s4) AS DOUBLE) AS item_score FROM paired GROUP BY ALL")
 def _(x):
     st, gold, pred = status(x)
-    s = TM.pair_scores(TM.matched_rows(*TM.prepare_sides(st, gold, pred)), st.filter("error IS NULL"))
+    s = TS.pair_scores(TS.matched_rows(*TM.prepare_sides(st, gold, pred)), st.filter("error IS NULL"))
     tail = lambda c: F.array_join(F.slice(c, 3, 4), "|")
     return s.withColumns({"key": F.array_join("key", "|"), "target": tail("target"), "response": tail("response")})
 
@@ -152,7 +154,7 @@ FINAL = f"""{PAIRED}, hit AS (SELECT instance_id, sum(least(s1, s2, s3, s4)) AS
 )
 def _(x):
     gold, pred = side_rows(x, "gold"), side_rows(x, "pred")
-    out = TM.score_tables(x.spec, headers(x, "gold"), gold, headers(x, "pred"), pred)
+    out = TS.score_tables(x.spec, headers(x, "gold"), gold, headers(x, "pred"), pred)
     return flat(out.drop("n_required", "is_correct"))
 
 
@@ -162,7 +164,7 @@ def _(x):
 )
 def _(x):
     gold, pred = side_rows(x, "gold"), side_rows(x, "pred")
-    out = TM.score_tables(x.spec, headers(x, "gold"), gold, headers(x, "pred"), pred)
+    out = TS.score_tables(x.spec, headers(x, "gold"), gold, headers(x, "pred"), pred)
     return flat(out.groupBy("error").agg(F.count("*").alias("instances"), F.avg("row_precision").alias("row_precision"), F.avg("item_recall").alias("item_recall")))
 
 

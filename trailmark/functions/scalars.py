@@ -156,34 +156,25 @@ def number_or_percent(c: Column | str) -> Column:
 def number_near(response: Column, target: Column, criterion: Column) -> Column:
     """Relative tolerance on the target; two non-numbers must be the same text."""
     pair = F.struct(number_or_percent(response).alias("r"), number_or_percent(target).alias("t"))
+    return let(pair, lambda p: numbers_agree(p["r"], p["t"], response, target, criterion).cast("double"))
 
-    def compare(p: Column) -> Column:
-        r, t = p["r"], p["t"]
-        near = (~F.isnan(r)) & (~F.isnan(t)) & (F.abs(r - t) <= F.abs(t) * criterion)
-        return (
-            F.when(r.isNull() & t.isNull(), response.eqNullSafe(target))
-            .when(r.isNull() | t.isNull(), F.lit(False))
-            .otherwise(near)
-            .cast("double")
-        )
 
-    return let(pair, compare)
+def numbers_agree(r: Column, t: Column, response: Column, target: Column, criterion: Column) -> Column:
+    """As ``number_near`` for numbers that are parsed already."""
+    reach = F.abs(t) * criterion
+    near = (~F.isnan(r)) & (~F.isnan(t)) & (~F.isnan(reach)) & (F.abs(r - t) <= reach)
+    return F.when(r.isNull() & t.isNull(), response.eqNullSafe(target)).when(r.isNull() | t.isNull(), F.lit(False)).otherwise(near)
 
 
 def date_near(response: Column, target: Column) -> Column:
     """Within the day window; two unparseable dates agree."""
     pair = F.struct(parse_date(response).alias("r"), parse_date(target).alias("t"))
+    return let(pair, lambda p: days_agree(F.unix_date(p["r"]), F.unix_date(p["t"])).cast("double"))
 
-    def compare(p: Column) -> Column:
-        r, t = p["r"], p["t"]
-        return (
-            F.when(r.isNull() & t.isNull(), F.lit(True))
-            .when(r.isNull() | t.isNull(), F.lit(False))
-            .otherwise(F.abs(F.datediff(r, t)) <= DATE_WINDOW_DAYS)
-            .cast("double")
-        )
 
-    return let(pair, compare)
+def days_agree(r: Column, t: Column) -> Column:
+    """As ``date_near`` for day numbers that are parsed already."""
+    return F.when(r.isNull() & t.isNull(), F.lit(True)).when(r.isNull() | t.isNull(), F.lit(False)).otherwise(F.abs(r - t) <= DATE_WINDOW_DAYS)
 
 
 def detect_language(c: Column | str) -> Column:

@@ -1,9 +1,7 @@
-"""Scoring predicted tables against gold tables, all instances in one job.
+"""Tables in answers, column rules, and the rows of both sides made comparable, all instances in one job.
 
-Rows travel as arrays aligned with the required columns of their instance. Copies of a row are
-reduced before every shuffle, equal rows keep a multiplicity instead of being paired one by one, and
-only per-instance sums cross the last shuffle, so one large instance or one repeated key does not
-end up in a single task.
+Rows travel as arrays aligned with the required columns of their instance, copies of a row are reduced before every
+shuffle, and the rules of an instance join where they are needed. ``tablescore`` scores the result.
 """
 
 from __future__ import annotations
@@ -13,8 +11,8 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import scalars as S
 from trailmark.functions import tables as X
+from trailmark.operators.cellplan import CellPlan, cell_plan, rules
 from trailmark.plans.keyed import first_by
-from trailmark.plans.staging import staged
 
 # ---- fixed values -------------------------------------------------------------------------
 NATIVE_METRICS = ("exact_match", "number_near", "date_near", "url_match")
@@ -24,8 +22,6 @@ SPEC_SCHEMA = (
     "required array<string>, unique_columns array<string>, "
     "eval_pipeline map<string, struct<preprocess: array<string>, metric: array<string>, criterion: variant>>"
 )
-SCORE_NAMES = ("row_precision", "row_recall", "row_f1", "item_precision", "item_recall", "item_f1")
-F1_FLOOR = 1e-9
 # -------------------------------------------------------------------------------------------
 
 
@@ -215,11 +211,16 @@ def instance_status(
     )
 
 
-def _aligned(rows: DataFrame, ready: DataFrame, names: str) -> DataFrame:
-    """Row cells in required order, with the raw key."""
-    joined = rows.join(ready.select("instance_id", "cols", "key_idx", F.col(names).alias("_names")), "instance_id")
-    vals = F.transform("_names", lambda c: X.cell_text(F.try_element_at(F.col("cells"), c)))
-    return joined.select("instance_id", "row_id", "cols", "key_idx", vals.alias("vals")).withColumn("raw_key", F.to_json(_key()))
+def _aligned(rows: DataFrame, ready: DataFrame, names: str, plan: CellPlan | None = None) -> DataFrame:
+    """Row cells in required order, with the rules of their columns."""
+    return _lined_up(rows, ready, names, plan or cell_plan(ready)).join(ready.select("instance_id", "cols"), "instance_id")
+
+
+def _lined_up(rows: DataFrame, ready: DataFrame, names: str, plan: CellPlan) -> DataFrame:
+    """Row cells (instance_id, row_id, vals) in required order."""
+    joined = rows.join(ready.select("instance_id", "n_required", F.col(names).alias("_names")), "instance_id")
+    cells = [X.cell_text(F.try_element_at("cells", F.get("_names", F.lit(i)))) for i in range(plan.width)]
+    return joined.select("instance_id", "row_id", F.slice(F.array(*cells), 1, F.greatest("n_required", F.lit(0))).alias("vals"))
 
 
 def _key() -> Column:
@@ -227,11 +228,16 @@ def _key() -> Column:
     return F.transform("key_idx", lambda i: F.get("vals", i))
 
 
-def _prepared(aligned: DataFrame) -> DataFrame:
-    """Drop later rows with the same raw key, normalise the cells of the others, and count equal rows."""
-    kept = first_by(aligned.select("instance_id", "raw_key", "row_id", "cols", "key_idx", "vals"), ["instance_id", "raw_key"], ["row_id"])
-    chain = F.zip_with("vals", "cols", lambda v, c: S.preprocess(v, c["preprocess"]))
-    return kept.withColumn("vals", chain).withColumn("key", _key()).groupBy("instance_id", "key", "vals").agg(F.count(F.lit(1)).alias("copies"))
+def _prepared(lined_up: DataFrame, ready: DataFrame, plan: CellPlan) -> DataFrame:
+    """Drop later rows with the same raw key, normalise the cells of the others, and count equal rows.
+
+    Only cells travel; the rules of an instance join again where they are needed.
+    """
+    keys = ready.select("instance_id", "key_idx")
+    raw = lined_up.join(keys, "instance_id").select("instance_id", _key().alias("raw_key"), "row_id", "vals")
+    kept = first_by(raw, ["instance_id", "raw_key"], ["row_id"]).drop("raw_key", "row_id")
+    ruled = kept.join(rules(ready, plan), "instance_id").withColumn("vals", plan.normalised)
+    return ruled.withColumn("key", _key()).groupBy("instance_id", "key", "vals").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def map_vocabulary(aligned: DataFrame, gold: DataFrame, key_map: DataFrame) -> DataFrame:
@@ -264,141 +270,15 @@ def map_vocabulary(aligned: DataFrame, gold: DataFrame, key_map: DataFrame) -> D
     ).drop("_hits")
 
 
-def cell_score(metric: Column, response: Column, target: Column, criterion: Column) -> Column:
-    """Native score of one cell; a model-judged cell scores zero here."""
-    score = (
-        F.when(metric == "exact_match", S.exact_match(response, target))
-        .when(metric == "number_near", S.number_near(response, target, criterion))
-        .when(metric == "date_near", S.date_near(response, target))
-        .when(metric == "url_match", S.url_match(response, target))
-    )
-    return F.coalesce(score, F.lit(0.0))
-
-
-def matched_rows(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Gold and predicted rows with equal normalised keys; many-to-many by multiplicity."""
-    h = F.xxhash64("instance_id", "key").alias("_h")
-    g = gold.select(h, "instance_id", "key", F.col("vals").alias("target"), F.col("copies").alias("_g"))
-    p = pred.select(h, "instance_id", "key", F.col("vals").alias("response"), F.col("copies").alias("_p"))
-    return g.join(p, ["_h", "instance_id", "key"]).withColumn("weight", F.col("_g") * F.col("_p")).drop("_g", "_p", "_h")
-
-
-def pair_scores(pairs: DataFrame, ready: DataFrame, cell_scores: DataFrame | None = None) -> DataFrame:
-    """Row score (minimum over cells) and item score (sum over cells) per matched pair."""
-    scored = pairs.join(ready.select("instance_id", "cols"), "instance_id")
-    per_column = F.transform(
-        "cols",
-        lambda c, i: F.when(c["is_key"], F.array(F.lit(1.0))).otherwise(
-            F.transform(
-                F.filter(c["metric"], lambda m: m != MODEL_METRIC),
-                lambda m: cell_score(m, F.get(F.col("response"), i), F.get(F.col("target"), i), c["criterion"]),
-            )
-        ),
-    )
-    scored = scored.withColumn("_s", F.flatten(per_column)).withColumns(
-        {
-            "row_score": F.coalesce(F.array_min("_s"), F.lit(1.0)),
-            "item_score": F.aggregate("_s", F.lit(0.0), lambda a, s: a + s),
-        }
-    )
-    ids = ["instance_id", "key", "target", "response"]
-    if cell_scores is None:
-        asks_model = F.exists("cols", lambda c: ~c["is_key"] & F.array_contains(c["metric"], MODEL_METRIC))
-        scored = scored.withColumn("row_score", F.when(asks_model, F.lit(0.0)).otherwise(F.col("row_score")))
-        return scored.select(*ids, "weight", "row_score", "item_score")
-    base = scored.select(*ids, "weight", "row_score", "item_score")
-    asked = scored.select(*ids, F.posexplode("cols").alias("i", "c")).filter(
-        ~F.col("c.is_key") & F.array_contains("c.metric", MODEL_METRIC)
-    )
-    asked = asked.select(*ids, F.col("c.name").alias("column_name"), F.get("response", F.col("i")).alias("_r"), F.get("target", F.col("i")).alias("_t"))
-    table = cell_scores.select("instance_id", "column_name", F.col("response").alias("_r"), F.col("target").alias("_t"), "score")
-    judged = asked.join(table, ["instance_id", "column_name", "_r", "_t"], "left").groupBy(*ids).agg(
-        F.min(F.coalesce("score", F.lit(0.0))).alias("_min"), F.sum(F.coalesce("score", F.lit(0.0))).alias("_sum")
-    )
-    return base.join(judged, ids, "left").select(
-        *ids,
-        "weight",
-        F.least("row_score", F.coalesce("_min", F.lit(1.0))).alias("row_score"),
-        (F.col("item_score") + F.coalesce("_sum", F.lit(0.0))).alias("item_score"),
-    )
-
-
 def prepare_sides(
-    status: DataFrame, gold_rows: DataFrame, pred_rows: DataFrame, key_map: DataFrame | None = None
+    status: DataFrame, gold_rows: DataFrame, pred_rows: DataFrame, key_map: DataFrame | None = None, plan: CellPlan | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Deduplicated, normalised gold and predicted rows of the instances that can be scored."""
     ready = status.filter("error IS NULL")
-    gold = _aligned(gold_rows, ready, "required")
-    pred = _aligned(pred_rows, ready, "source")
-    if key_map is not None:
-        pred = map_vocabulary(pred, gold, key_map)
-    return _prepared(gold), _prepared(pred)
-
-
-def score_tables(
-    specs: DataFrame,
-    gold_headers: DataFrame,
-    gold_rows: DataFrame,
-    pred_headers: DataFrame,
-    pred_rows: DataFrame,
-    header_map: DataFrame | None = None,
-    key_map: DataFrame | None = None,
-    cell_scores: DataFrame | None = None,
-) -> DataFrame:
-    """Row and item precision, recall and F1 per instance; failed instances score zero."""
-    # read by both row sides, the scoring join and the result: computed once
-    status = staged(instance_status(parse_specs(specs), pred_headers, gold_headers, header_map), "instance-status")
-    gold, pred = prepare_sides(status, gold_rows, pred_rows, key_map)
-    ready = status.filter("error IS NULL")
-    hits = (
-        pair_scores(matched_rows(gold, pred), ready, cell_scores)
-        .groupBy("instance_id")
-        .agg(
-            F.sum(F.col("row_score") * F.col("weight")).alias("row_tp"),
-            F.sum(F.col("item_score") * F.col("weight")).alias("item_tp"),
-        )
-    )
-    sizes = lambda df, name: df.groupBy("instance_id").agg(F.sum("copies").alias(name))
-    out = (
-        status.select("instance_id", "error", "n_required")
-        .join(hits, "instance_id", "left")
-        .join(sizes(gold, "gold_rows"), "instance_id", "left")
-        .join(sizes(pred, "predicted_rows"), "instance_id", "left")
-    )
-    return _finish(out)
-
-
-def _finish(df: DataFrame) -> DataFrame:
-    zero = lambda c, t: F.coalesce(F.col(c), F.lit(0).cast(t))
-    df = df.select(
-        "instance_id",
-        "error",
-        zero("row_tp", "double").alias("row_true_positives"),
-        zero("item_tp", "double").alias("item_true_positives"),
-        zero("predicted_rows", "bigint").alias("predicted_rows"),
-        zero("gold_rows", "bigint").alias("gold_rows"),
-        "n_required",
-    )
-    row_tp, item_tp = F.col("row_true_positives"), F.col("item_true_positives")
-    df = df.withColumns(
-        {
-            "row_precision": S.ratio(row_tp, F.col("predicted_rows")),
-            "row_recall": S.ratio(row_tp, F.col("gold_rows")),
-            "item_precision": S.ratio(item_tp, F.col("predicted_rows") * F.col("n_required")),
-            "item_recall": S.ratio(item_tp, F.col("gold_rows") * F.col("n_required")),
-        }
-    ).withColumns(
-        {
-            "row_f1": S.harmonic_mean(F.col("row_precision"), F.col("row_recall"), F1_FLOOR),
-            "item_f1": S.harmonic_mean(F.col("item_precision"), F.col("item_recall"), F1_FLOOR),
-        }
-    )
-    perfect = F.lit(True)
-    for name in SCORE_NAMES:
-        perfect = perfect & (F.col(name) == 1.0)
-    return df.withColumns(
-        {
-            "is_correct": F.col("error").isNull() & perfect,
-            "complete_status": F.when(F.col("error").isNull(), F.lit("SUCCESS")).otherwise(F.lit("EXTRACTION_FAILED")),
-        }
-    )
+    plan = plan or cell_plan(ready)
+    if key_map is None:
+        gold, pred = _lined_up(gold_rows, ready, "required", plan), _lined_up(pred_rows, ready, "source", plan)
+    else:
+        gold, pred = _aligned(gold_rows, ready, "required", plan), _aligned(pred_rows, ready, "source", plan)
+        gold, pred = gold.drop("cols"), map_vocabulary(pred, gold, key_map).drop("cols")
+    return _prepared(gold, ready, plan), _prepared(pred, ready, plan)
