@@ -105,3 +105,89 @@ def test_fingerprint(spark, folder):
 
     path = put(f"{folder}/f.txt", "hello")
     assert OUT.fingerprints(spark, path).first().sha256 == hashlib.sha256(b"hello").hexdigest()
+
+
+def test_fingerprints_of_pieces(spark, folder):
+    """Digests of files read in many splits equal those of the whole files, whatever their bytes."""
+    import gzip
+    import hashlib
+    import os
+    import random
+
+    rng = random.Random(2)
+    bom = b"\xef\xbb\xbf"
+    contents = [b"", b"\n", b"\n\n", b"a", b"a\n", b"a\r\nb", bom, bom + b"x\n", bom + b"\n" + bom, bom + b"no end", b"x" * 50_000, rng.randbytes(400_000), b"line\n" * 90_000, "ü€🙂\n".encode() * 9, gzip.compress(b"packed")]
+    for i, c in enumerate(contents):
+        name = f"{folder}/d{i % 3}/f {i}%41." + ("gz" if i == len(contents) - 1 else "bin")
+        os.makedirs(os.path.dirname(name), exist_ok=True)
+        with open(name, "wb") as f:
+            f.write(c)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = {(r.length, r.sha256) for r in OUT.fingerprints(spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found == {(len(c), hashlib.sha256(c).hexdigest()) for c in contents if c}
+
+
+def test_snapshot_scan(spark, folder):
+    """Files of any folder depth; a broken one keeps its name, its text and no fields; look-up by name and by inner id."""
+    import json
+    import os
+
+    from trailmark.operators import memory as M
+
+    files = {
+        "trajectories/question_a b/memory/m-1-22.json": {"memory_id": "x-1", "knowledge_graph": [{"fact": "f"}]},
+        "retry_history/question_a b/attempt_2/memory/snap-m122-z.json": {"memory_id": "m-1-22"},
+        "retry_history/question_a b/attempt_10/memory/other.json": {"memory_id": "deep-id"},
+        "retry_history/question_a b/attempt_2/memory/cut-77.json": None,
+        "trajectories/question_b/memory/list.json": [1, 2],
+    }
+    for name, value in files.items():
+        os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
+        with open(f"{folder}/{name}", "w") as f:
+            f.write(json.dumps(value, indent=2) if value is not None else '{"memory_id": "cut-')
+    found = IN.read_snapshots(spark, folder)
+    rows = {(r.question_id, r.folder, r.stem): (r.memory_id, r.unreadable is not None) for r in found.collect()}
+    assert rows[("a b", "memory", "m-1-22")] == ("x-1", False) and rows[("a b", "attempt_2/memory", "cut-77")] == (None, True)
+    assert rows[("a b", "attempt_10/memory", "other")] == ("deep-id", False)
+    asked = spark.createDataFrame([("a b", w) for w in ("m-1-22", "1-22", "deep-id", "77", "cut", "ut-7", "snap", "m-122", "122", "-m1", "nothing", "x-1", "m-1-22-longer-than-any-name", "")], "question_id string, wanted string")
+    got = {r.wanted: (r.stem, r.match) for r in M.lookup(asked, found).collect()}
+    assert got == {
+        "m-1-22": ("m-1-22", 1), "1-22": ("m-1-22", 1), "deep-id": ("other", 3), "77": ("cut-77", 1), "cut": ("cut-77", 3), "ut-7": ("cut-77", 3), "snap": ("snap-m122-z", 3),
+        "122": ("snap-m122-z", 3), "-m1": ("snap-m122-z", 3), "x-1": ("m-1-22", 3),
+    }
+
+
+def test_lookup_equals_plain_search(spark):
+    """Random names and wanted texts: the parts offered are all that any search inside the names could find."""
+    import random
+
+    from trailmark.operators import memory as M
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("ab1-_.") for _ in range(rng.randint(1, n)))
+    files = [(f"q{i % 3}", rng.choice(["memory", "attempt_2", "attempt_10"]), word(9) + f"~{i}", word(3)) for i in range(60)]
+    asked = sorted({(f"q{i % 3}", word(4)) for i in range(90)})
+    rank = {"memory": 0, "attempt_2": 1, "attempt_10": 2}
+    want = {}
+    for q, w in asked:
+        hits = []
+        for fq, folder, stem, inner in files:
+            compact = w.replace("-", "")
+            kind = 1 if stem.endswith(w) else 2 if compact and stem.endswith(compact) else 3 if w in stem or inner == w else None
+            if fq == q and kind:
+                hits.append((rank[folder], kind, stem))
+        if hits:
+            want[q, w] = min(hits)[1:]
+    f = spark.createDataFrame(files, "question_id string, folder string, stem string, memory_id string")
+    got = {(r.question_id, r.wanted): (r.match, r.stem) for r in M.lookup(spark.createDataFrame(asked, "question_id string, wanted string"), f).collect()}
+    assert got == want
+
+
+def test_strict_lines_name_the_first_bad_line(spark):
+    lines = spark.createDataFrame([("f.jsonl", 1, '{"a": 1}'), ("f.jsonl", 2, " "), ("f.jsonl", 3, "{bad")], "path string, line long, text string")
+    with pytest.raises(Exception, match="Invalid JSON in f.jsonl:3"):
+        IN.strict_records(lines).collect()

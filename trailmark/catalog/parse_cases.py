@@ -90,6 +90,17 @@ def _(x):
     return P.submitted_answers(x.turns)
 
 
+@case(
+    "fn13_final_answers",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq DESC) AS rn FROM fx_turns), l AS (SELECT * FROM r WHERE rn = 1), p AS (SELECT run, role AS prole, tool_name AS ptool FROM r WHERE rn = 2)
+    SELECT l.run, CASE WHEN l.run % 2 = 0 THEN 'submit' ELSE 'text' END AS mode, CASE WHEN l.run % 2 = 1 THEN nullif(trim(content, @WS), '') WHEN role = 'tool' AND ok AND prole = 'assistant' AND ptool = 'submit_tool' THEN nullif(trim(json_extract_string(CASE WHEN json_valid(content) THEN content WHEN json_valid(string_split(content, chr(10))[1]) THEN string_split(content, chr(10))[1] ELSE '{}' END, '$.answer'), @WS), '') END AS answer
+    FROM l JOIN p ON l.run = p.run""",
+)
+def _(x):
+    tools = x.turns.select("run").distinct().withColumn("tools", F.when(F.col("run") % 2 == 0, F.array(F.lit("search_api"), F.lit("submit_tool"))).otherwise(F.array(F.lit("search_api"))))
+    return P.final_answers(x.turns, tools)
+
+
 def reason_sql(c):
     pats = [p.replace("(?is)", "") for p in P.REASON_PATTERNS]
     whens = " ".join(f"WHEN regexp_matches({c}, '(?is){p}') THEN trim(regexp_extract({c}, '(?is){p}', 1), @WS)" for p in pats)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from trailmark.catalog.base import case, r6
 from trailmark.functions import scalars as S
 from trailmark.functions import variants as V
+from trailmark.operators import callables as CA
 
 HAN = S.HAN
 NUM = r"'[-+]?\d*\.\d+%?|[-+]?\d+\.?\d*%?'"
@@ -109,14 +110,15 @@ def _hosts(c):
 
 @case(
     "fn7_url_match",
-    f"""SELECT page_id, array_to_string({_hosts("html || ' ' || url")}, '|') AS hosts, CASE WHEN {_hosts('html')} = {_hosts('url')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
+    f"""SELECT page_id, pos, array_to_string({_hosts("html || ' ' || url")}, '|') AS hosts, CASE WHEN {_hosts('html')} = {_hosts('url')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
     CASE WHEN {_hosts("title")} = {_hosts("snippet")} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS no_urls
-    FROM (SELECT p.page_id, p.html, p.url, s.title, s.snippet FROM pages p JOIN fx_search s ON p.page_id = s.page_id) t""",
+    FROM (SELECT p.page_id, s.pos, p.html, p.url, s.title, s.snippet FROM pages p JOIN fx_search s ON p.page_id = s.page_id) t""",
 )
 def _(x):
-    t = x.table("pages").select("page_id", "html").join(x.search.select("page_id", "url", "title", "snippet"), "page_id")
+    t = x.table("pages").select("page_id", "html").join(x.search.select("page_id", "pos", "url", "title", "snippet"), "page_id")
     return t.select(
         "page_id",
+        "pos",
         F.array_join(S.url_hosts(F.concat_ws(" ", "html", "url")), "|").alias("hosts"),
         S.url_match(F.col("html"), F.col("url")).alias("score"),
         S.url_match(F.col("title"), F.col("snippet")).alias("no_urls"),
@@ -219,6 +221,40 @@ def _(x):
     return x.messages.select("run", "seq", S.token_estimate(F.col("content"), F.col("reasoning")).alias("tokens"))
 
 
+#: Calls of an event log as JSON lists: flat or under ``function``, arguments as text or, where they are JSON, as an object.
+CALL_CHARS = "length(name) + CASE WHEN seq % 3 = 0 AND json_valid(arguments) THEN length(CAST(json(arguments) AS VARCHAR)) ELSE coalesce(length(arguments), 0) END"
+
+
+def turn_calls(x):
+    """One row per turn (run, turn, content, calls)."""
+    whole = F.when(F.col("seq") % 3 == 0, F.try_parse_json("arguments"))
+    flat = F.when(whole.isNotNull(), F.to_json(F.struct("name", whole.alias("arguments")))).otherwise(F.to_json(F.struct("name", "arguments")))
+    call = F.when(F.col("seq") % 2 == 0, F.concat(F.lit('{"id":7,"function":'), flat, F.lit("}"))).otherwise(flat)
+    turns = x.tool_calls.withColumn("call", call).groupBy("run", "turn").agg(F.max("output").alias("content"), F.concat(F.lit("["), F.array_join(F.collect_list("call"), ","), F.lit("]")).alias("calls"))
+    return turns.withColumn("calls", F.parse_json("calls"))
+
+
+@case("fn29_call_tokens", f"SELECT run, turn, CAST(floor((length(max(output)) + sum({CALL_CHARS})) / 4) AS BIGINT) AS tokens FROM fx_tool_calls GROUP BY run, turn")
+def _(x):
+    return turn_calls(x).select("run", "turn", S.token_estimate(F.col("content"), calls=F.col("calls")).alias("tokens"))
+
+
+@case("udf4_call_tokens", f"SELECT run, CAST(floor(sum(chars) / 4) AS BIGINT) AS tokens FROM (SELECT run, turn, length(max(output)) + sum({CALL_CHARS}) AS chars FROM fx_tool_calls GROUP BY run, turn) t GROUP BY run")
+def _(x):
+    return turn_calls(x).groupBy("run").agg(S.token_total(F.col("content"), calls=F.col("calls")).alias("tokens"))
+
+
+@case("udf4_plugged_estimator", "SELECT run, CAST(sum(len(string_split(content, ' ')) + coalesce(len(string_split(reasoning, ' ')), 0)) * 2 AS BIGINT) AS tokens FROM fx_messages GROUP BY run")
+def _(x):
+    import pyarrow.compute as pc
+
+    def words(content, reasoning):
+        count = lambda c: pc.fill_null(pc.add(pc.count_substring(c, " "), 1), 0)
+        return pc.add(count(content), count(reasoning))
+
+    return CA.estimate_tokens(x.messages, ["run"], words, ["content", "reasoning"], lambda total: total * 2)
+
+
 # The oracle knows the fixture's argument shapes; the query parses whatever JSON comes.
 SIGNATURE = """name || '|' || CASE WHEN arguments IS NULL THEN 'null' WHEN NOT json_valid(arguments) THEN lower(trim(regexp_replace(arguments, '\\s+', ' ', 'g'), @WS))
  ELSE coalesce('extra:' || json_extract_string(arguments, '$.extra') || ';', '') || coalesce('query:' || lower(trim(regexp_replace(json_extract_string(arguments, '$.query'), '\\s+', ' ', 'g'), @WS)) || ';', '')

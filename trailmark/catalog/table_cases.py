@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from trailmark.catalog.base import case
 from trailmark.catalog.summary_cases import flat
+from trailmark.functions import udtf
 from trailmark.operators import tablematch as TM
 from trailmark.operators import tablescore as TS
 from trailmark.plans.staging import staged
@@ -205,10 +206,20 @@ def _(x):
     return x.table("documents").select("doc_id", (words(F.col("text")) == words(t)).alias("same"))
 
 
-@case("udf5_table_rows", r"""SELECT doc_id, CAST(count(*) AS BIGINT) AS table_rows FROM (SELECT doc_id, unnest(lines[2:]) AS l, lines FROM """ + LINES + r""") t
+UDF5 = r"""SELECT doc_id, CAST(count(*) AS BIGINT) AS table_rows FROM (SELECT doc_id, unnest(lines[2:]) AS l, lines FROM """ + LINES + r""") t
   WHERE len(string_split(lines[1], '|')) > 0 AND doc_id NOT IN (SELECT doc_id FROM """ + LINES + r""" WHERE len(list_filter(lines[2:], lambda l: len(string_split(l, '|')) > len(string_split(lines[1], '|')))) > 0
    OR len(list_distinct(list_filter(list_transform(string_split(lines[1], '|'), lambda h: replace(lower(trim(h, @WS)), ' ', '')), lambda h: h <> ''))) <> len(list_filter(string_split(lines[1], '|'), lambda h: trim(h, @WS) <> ''))
-   OR len(list_filter(string_split(lines[1], '|'), lambda h: trim(h, @WS) <> '')) = 0) GROUP BY doc_id""")
+   OR len(list_filter(string_split(lines[1], '|'), lambda h: trim(h, @WS) <> '')) = 0) GROUP BY doc_id"""
+
+
+@case("udf5_table_rows", UDF5)
 def _(x):
     t = TM.extract_tables(x.texts.select(F.col("doc_id").alias("instance_id"), F.col("content").alias("response")))
     return TM.table_rows(t).groupBy(F.col("instance_id").alias("doc_id")).agg(F.count("*").alias("table_rows"))
+
+
+@case("udf5_lateral_rows", UDF5)
+def _(x):
+    """The same rows by the table function, as a SQL user writes it."""
+    udtf.register(x.spark)
+    return x.spark.sql("SELECT doc_id, count(*) AS table_rows FROM {texts} t, LATERAL table_rows(t.content) GROUP BY doc_id", texts=x.texts)

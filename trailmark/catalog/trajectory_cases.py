@@ -1,5 +1,7 @@
 """Trajectories, tool calls, memory snapshots and search results."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trailmark.catalog.base import case
@@ -10,6 +12,7 @@ from trailmark.operators import conformance as C
 from trailmark.operators import memory as M
 from trailmark.operators import search as Q
 from trailmark.operators import trajectories as T
+from trailmark.session import checkpoint_folder
 from trailmark.sources import readers as IN
 
 SIG = SIGNATURE.replace("THEN 'null'", "THEN ''").replace("WHEN NOT json_valid", "WHEN trim(arguments, @WS) = '' THEN 'blank' WHEN NOT json_valid")
@@ -259,6 +262,34 @@ def _(x):
     return M.lookup(m.select("question_id", F.col("memory_id").alias("wanted")), m).select("question_id", "wanted", "match", "folder", "stem")
 
 
+PER_FOLDER = """p AS (SELECT question_id, CASE WHEN event_id % 4 = 0 THEN 'memory' ELSE 'attempt_' || CAST(event_id % 4 * 5 AS VARCHAR) || '_x' END AS folder, max(memory_id) AS memory_id, count(*) AS n, max(event_id) AS last
+  FROM (SELECT *, memory_order AS event_id FROM fx_memory) m GROUP BY ALL), f AS (SELECT *, last % 7 = 0 AS broken, CASE folder WHEN 'memory' THEN -1 ELSE CAST(regexp_extract(folder, 'attempt_([0-9]+)', 1) AS INTEGER) END AS r FROM p)"""
+
+
+@case(
+    "src13_snapshot_scan",
+    f"""WITH {PER_FOLDER} SELECT q.question_id, q.memory_id AS wanted, f.folder, CASE WHEN f.folder IS NOT NULL THEN 3 END AS match, (SELECT count(*) FROM f b WHERE b.broken AND b.question_id = q.question_id) AS unreadable, f.n AS facts
+    FROM f q LEFT JOIN f ON f.question_id = q.question_id AND f.memory_id = q.memory_id AND NOT f.broken""",
+)
+def _(x):
+    """Snapshots written as one indented JSON file per attempt folder, some cut off; scanned and looked up by their inner id."""
+    folder = F.when(F.col("memory_order") % 4 == 0, F.lit("memory")).otherwise(F.concat(F.lit("attempt_"), (F.col("memory_order") % 4 * 5).cast("string"), F.lit("_x")))
+    per = x.memory.groupBy("question_id", folder.alias("folder")).agg(F.max("memory_id").alias("memory_id"), F.count("*").alias("n"), F.max("memory_order").alias("last"))
+    facts = F.array_repeat(F.struct(F.lit("seen").alias("fact")), F.col("n").cast("int"))
+    text = F.to_json(F.struct("memory_id", facts.alias("knowledge_graph"), F.lit(None).cast("string").alias("task_progress")), {"pretty": "true"})
+    cut = F.when(F.col("last") % 7 == 0, F.substring(text, 1, 20)).otherwise(text)
+    path = f"{checkpoint_folder(x.spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    written = per.select(F.concat(F.lit("question_"), "question_id").alias("q"), F.col("folder").alias("f"), cut.alias("value"))
+    written.repartition("q", "f").write.partitionBy("q", "f").text(path)
+    found = IN.read_snapshots(x.spark, path, files="*.txt", question="question_([^/]+)/", folder="f=([^/]+)/").select(
+        "question_id", "folder", "stem", "memory_id", "unreadable", F.size(F.col("knowledge_graph").try_cast("array<variant>")).cast("bigint").alias("facts")
+    )
+    asked = per.select("question_id", F.col("memory_id").alias("wanted"))
+    hits = M.lookup(asked, found).join(found.select("question_id", "folder", "stem", "facts"), ["question_id", "folder", "stem"])
+    bad = found.groupBy("question_id").agg(F.count("unreadable").alias("unreadable"))
+    return asked.join(bad, "question_id").join(hits, ["question_id", "wanted"], "left").select("question_id", "wanted", "folder", "match", "unreadable", "facts")
+
+
 @case(
     "src16_next_attempt",
     """SELECT question_id, max(a) + 1 AS next_attempt FROM (SELECT question_id, try_cast(regexp_extract(folder, 'attempt_([0-9]+)', 1) AS BIGINT) AS a FROM fx_memory UNION ALL SELECT question_id, retry_attempt * 4 FROM fx_memory WHERE in_index) t WHERE a IS NOT NULL GROUP BY question_id""",
@@ -299,28 +330,31 @@ TOK = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
 ECHO = f"(length(trim(coalesce(snippet, ''), @WS)) < 30 AND len({TOK.format('query')}) > 0 AND len({TOK.format('title')}) > 0 AND len(list_intersect({TOK.format('query')}, {TOK.format('title')})) >= 0.9 * len({TOK.format('query')}))"
 
 
-@case("flt3_query_echo", f"SELECT page_id, {ECHO} AS echo FROM fx_search")
+@case("flt3_query_echo", f"SELECT page_id, pos, {ECHO} AS echo FROM fx_search")
 def _(x):
-    return x.search.select("page_id", Q.query_echo(F.col("snippet"), F.col("title"), F.col("query")).alias("echo"))
+    return x.search.select("page_id", "pos", Q.query_echo(F.col("snippet"), F.col("title"), F.col("query")).alias("echo"))
 
 
-@case("set4_token_overlap", f"SELECT page_id, CAST(len(list_intersect({TOK.format('title')}, {TOK.format('snippet')})) AS INTEGER) AS shared FROM fx_search")
+@case("set4_token_overlap", f"SELECT page_id, pos, CAST(len(list_intersect({TOK.format('title')}, {TOK.format('snippet')})) AS INTEGER) AS shared FROM fx_search")
 def _(x):
-    return x.search.select("page_id", F.size(F.array_intersect(S.token_set("title"), S.token_set("snippet"))).alias("shared"))
+    return x.search.select("page_id", "pos", F.size(F.array_intersect(S.token_set("title"), S.token_set("snippet"))).alias("shared"))
 
 
-@case("srt4_first_results", "SELECT query_id, page_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY page_id) AS rn FROM fx_search) t WHERE rn <= 10")
+@case("srt4_first_results", "SELECT query_id, page_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY page_id, pos) AS rn FROM fx_search) t WHERE rn <= 10")
 def _(x):
-    return Q.first_results(x.search, 10, ["query_id"], ["page_id"]).select("query_id", "page_id")
+    return Q.first_results(x.search, 10, ["query_id"], ["page_id", "pos"]).select("query_id", "page_id", "pos")
 
 
 @case(
     "prj16_search_shaping",
-    f"""SELECT page_id AS request_id, CASE WHEN gone THEN 'NO_RESULT' ELSE 'SUCCESS' END AS status, CASE WHEN NOT gone THEN url END AS url, CASE WHEN NOT gone THEN md5(snippet) END AS description FROM (SELECT *, {BLOCK} OR {ECHO} AS gone FROM fx_search) t""",
+    f"""WITH s AS (SELECT *, {BLOCK} OR {ECHO} AS gone FROM fx_search), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM s WHERE NOT gone)
+    SELECT r.page_id AS request_id, CAST(k.rank AS INTEGER) AS rank, CASE WHEN k.rank IS NULL THEN 'NO_RESULT' ELSE 'SUCCESS' END AS status, k.url, md5(k.snippet) AS description
+    FROM (SELECT DISTINCT page_id FROM fx_search) r LEFT JOIN k ON r.page_id = k.page_id AND k.rank <= 5""",
 )
 def _(x):
     item = F.struct("title", "url", "snippet")
-    wrapped = F.when(F.col("page_id") % 2 == 0, F.to_json(F.struct(F.array(item).alias("results")))).otherwise(F.to_json(F.array(item)))
-    raw = x.search.select(F.col("page_id").alias("request_id"), wrapped.alias("response"))
-    out = Q.shaped(Q.result_items(raw), x.search.select(F.col("page_id").alias("request_id"), "query"), domains(x), 5)
-    return out.select("request_id", "status", "url", F.md5("description").alias("description"))
+    pages = x.search.groupBy("page_id").agg(F.min("query").alias("query"), F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))), lambda e: e["item"]).alias("items"))
+    wrapped = F.when(F.col("page_id") % 2 == 0, F.to_json(F.struct(F.col("items").alias("results")))).otherwise(F.to_json("items"))
+    raw = pages.select(F.col("page_id").alias("request_id"), wrapped.alias("response"))
+    out = Q.shaped(Q.result_items(raw), pages.select(F.col("page_id").alias("request_id"), "query"), domains(x), 5)
+    return out.select("request_id", "rank", "status", "url", F.md5("description").alias("description"))

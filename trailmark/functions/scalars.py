@@ -221,14 +221,33 @@ def char_count(*parts: Column) -> Column:
     return total
 
 
-def token_estimate(*parts: Column) -> Column:
-    """Characters over all text parts of a row divided by four, floored once."""
-    return F.floor(char_count(*parts) / 4).cast("bigint")
+def call_chars(calls: Column) -> Column:
+    """Characters of the names and arguments of a VARIANT list of tool calls, flat or under ``function``.
 
+    Arguments that are no text count as compact JSON. Null and anything but a list have none.
+    """
+    text = lambda c, path: F.coalesce(F.length(F.try_variant_get(c, path, "string")), F.lit(0))
 
-def token_total(*parts: Column) -> Column:
+    def one(call: Column) -> Column:
+        inner = F.coalesce(F.try_variant_get(call, "$.function", "variant"), call)
+        return text(inner, "$.name") + text(inner, "$.arguments")
+
+    listed = F.coalesce(calls.try_cast("array<variant>"), F.array().cast("array<variant>"))
+    return F.aggregate(listed, F.lit(0), lambda total, call: total + F.coalesce(one(call), F.lit(0)))
+
+
+def token_estimate(*parts: Column, calls: Column | None = None) -> Column:
+    """Characters over all text parts of a row, and of its tool calls, divided by four, floored once."""
+    return F.floor(_chars(parts, calls) / 4).cast("bigint")
+
+
+def token_total(*parts: Column, calls: Column | None = None) -> Column:
     """Aggregate: characters over all rows of a group divided by four, floored once."""
-    return F.floor(F.sum(char_count(*parts)) / 4).cast("bigint")
+    return F.floor(F.sum(_chars(parts, calls)) / 4).cast("bigint")
+
+
+def _chars(parts: tuple[Column, ...], calls: Column | None) -> Column:
+    return char_count(*parts) if calls is None else char_count(*parts) + call_chars(calls)
 
 
 def loop_notice(cycle: Column, language: Column) -> Column:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -61,3 +63,19 @@ def ask_until_parseable(
 
     schema = _with_fields(requests, ("reply", T.StringType()), ("attempts", T.IntegerType()), ("call_error", T.StringType()))
     return requests.mapInPandas(run, schema)
+
+
+def estimate_tokens(messages: DataFrame, by: list[str], count: Callable[..., pa.Array], columns: list[str], finish: Callable[[Column], Column] = lambda total: total) -> DataFrame:
+    """Tokens per group by a caller's estimator: ``count`` maps Arrow columns to a number per message, ``finish`` their sum.
+
+    The counts are summed before they are shuffled, so a group of any size sends one number per task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counted = count(*[batch.column(c) for c in columns])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in by], counted.cast(pa.int64())], names=[*by, "tokens"])
+
+    keys = messages.select(*by).schema.fields
+    counted = messages.select(*dict.fromkeys([*by, *columns])).mapInArrow(run, T.StructType([*keys, T.StructField("tokens", T.LongType())]))
+    return counted.groupBy(*by).agg(finish(F.sum("tokens")).cast("bigint").alias("tokens"))

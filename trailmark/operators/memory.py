@@ -157,32 +157,57 @@ def _folder_rank(folder: Column) -> Column:
     return F.when(folder == "memory", F.array().cast("array<struct<n:bigint,t:string>>")).otherwise(natural_key(folder))
 
 
+#: Runs of letters and digits, and of anything else: a name found inside another starts and ends within such runs.
+_RUN = "[A-Za-z0-9]"
+
+
+def _classes(text: Column) -> Column:
+    """The text with every letter or digit as ``a`` and everything else as ``-``."""
+    return F.regexp_replace(F.regexp_replace(text, _RUN, "a"), "[^a]", "-")
+
+
+def _shape(text: Column) -> Column:
+    """How a wanted text begins: its length, the class of its first run, that run's length, and whether it is the only one."""
+    kinds = _classes(text)
+    first = F.length(F.regexp_extract(kinds, "^(a+|-+)", 1))
+    return F.struct(F.length(text).alias("n"), F.substring(kinds, 1, 1).alias("kind"), first.alias("head"), (first == F.length(text)).alias("only"))
+
+
+def _places(stem: Column, shapes: Column) -> Column:
+    """Parts of a name that could be wanted, as (text, end): where a run ends as the shape's first run does.
+
+    A wanted text of several runs can only start so many characters before the end of a run as its first run is long; one of a
+    single run must lie within a run. A part at the end of the name is always offered.
+    """
+    size, kinds = F.length(stem), F.col("_kinds")
+    at = lambda i: F.substr(kinds, i, F.lit(1))
+    part = lambda i, n: F.struct(F.substr(stem, i, n).alias("text"), (i + n - 1 == size).alias("end"))
+
+    def offered(s: Column) -> Column:
+        inside = F.filter(F.sequence(F.lit(1), size - s["n"] + 1), lambda i: (at(i) == s["kind"]) & (F.length(F.replace(F.substr(kinds, i, s["n"]), s["kind"], F.lit(""))) == 0))
+        ends = F.filter(F.sequence(s["head"], size), lambda e: (at(e) == s["kind"]) & (at(e + 1) != s["kind"]))
+        starts = F.when(s["only"], inside).otherwise(F.filter(F.transform(ends, lambda e: e - s["head"] + 1), lambda i: i + s["n"] - 1 <= size))
+        return F.transform(F.array_union(starts, F.array(size - s["n"] + 1)), lambda i: part(i, s["n"]))
+
+    return F.flatten(F.transform(F.filter(shapes, lambda s: (s["n"] > 0) & (s["n"] <= size)), offered))
+
+
 def lookup(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Best snapshot for each requested (question_id, wanted): one row per request that matches.
 
     File names decide first (same end, then the id without dashes at the end, then anywhere in the name),
     the inner id last; earlier folders win over later ones. Matching is by equality: each file offers the
-    substrings of its name that have a requested length, reduced to the best file per text before the
+    parts of its name that have the shape of a requested id (`_places`), reduced to the best file per text before the
     join, so a question with many snapshots is never paired with all its requests.
     """
     plain = requests.select("question_id", "wanted", F.col("wanted").alias("text"), F.lit(True).alias("plain"))
     compact = requests.select("question_id", "wanted", F.replace("wanted", F.lit("-"), F.lit("")).alias("text"), F.lit(False).alias("plain"))
     asked = plain.unionByName(compact)
-    # the distinct lengths asked for by a question: one or two as a rule, names being short a few hundred at most
-    lengths = asked.groupBy("question_id").agg(F.collect_set(F.length("text")).alias("_lens"))
-    files = snapshots.withColumn("_rank", _folder_rank(F.col("folder"))).join(lengths, "question_id")
-    size = F.length("stem")
-    pieces = F.flatten(
-        F.transform(
-            F.filter("_lens", lambda n: (n > 0) & (n <= size)),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), size - n + 1),
-                lambda i: F.struct(F.substr(F.col("stem"), i, n).alias("text"), (i + n - 1 == size).alias("end")),
-            ),
-        )
-    )
+    # the distinct shapes asked for by a question: a few as a rule, names being short a few thousand at most
+    shapes = asked.groupBy("question_id").agg(F.collect_set(_shape(F.col("text"))).alias("_shapes"))
+    files = snapshots.withColumn("_rank", _folder_rank(F.col("folder"))).withColumn("_kinds", _classes(F.col("stem"))).join(shapes, "question_id")
     cols = ["folder", "stem", "memory_id"]
-    offered = files.select("question_id", "_rank", *cols, F.explode(F.array_distinct(pieces)).alias("p")).select(
+    offered = files.select("question_id", "_rank", *cols, F.explode(_places(F.col("stem"), F.col("_shapes"))).alias("p")).select(
         "question_id", F.col("p.text").alias("text"), F.col("p.end").alias("end"), "_rank", *cols
     )
     by_name = asked.join(first_by(offered, ["question_id", "text", "end"], ["_rank", "stem"]), ["question_id", "text"])

@@ -307,6 +307,18 @@ def submitted_answers(messages: DataFrame, submit_tool: str = "submit_tool") ->
     return last.select("run", F.when(ended, answer).alias("answer"))
 
 
+def final_answers(messages: DataFrame, tool_sets: DataFrame, submit_tool: str = "submit_tool") -> DataFrame:
+    """Answer of each run by its tools (run, tools): what was submitted where the submit tool is among them, else the last text.
+
+    ``messages`` as for `submitted_answers`. A run without messages, or without an answer, has null.
+    """
+    submits = F.coalesce(F.array_contains("tools", submit_tool), F.lit(False))
+    of = lambda mode: messages.join(tool_sets.filter(mode).select("run"), "run", "left_semi")
+    last = latest_by(of(~submits), ["run"], ["seq"]).select("run", "content", F.lit(None).cast("string").alias("reasoning"), F.lit("").alias("benchmark"))
+    read = submitted_answers(of(submits), submit_tool).unionByName(parse_answers(last, name="answer").select("run", "answer"))
+    return tool_sets.select("run", F.when(submits, F.lit("submit")).otherwise(F.lit("text")).alias("mode")).join(read, "run", "left")
+
+
 def parse_report(parsed: DataFrame) -> DataFrame:
     """Outputs per benchmark, state, parse status and failing rule."""
     return parsed.groupBy("benchmark", "state", "parse_status", "rule").agg(F.count(F.lit(1)).alias("outputs"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import scalars as S
 from trailmark.functions import variants as V
-from trailmark.plans.blocks import lagged, row_numbers, running_sums
+from trailmark.plans.blocks import lagged, null_safe_join, row_numbers, running_sums
 from trailmark.plans.keyed import latest_by
 
 # ---- fixed values -------------------------------------------------------------------------
@@ -60,10 +60,21 @@ def loop_calls(calls: DataFrame, max_cycle: int = MAX_CYCLE) -> DataFrame:
     return prev.select("run", "seq", "segment", repeat_cycle(F.col("_sig"), earlier, max_cycle).alias("cycle"))
 
 
+def _counted_states(log: DataFrame) -> DataFrame:
+    """State log rows with their transition number, the errors of the run so far and those before the row."""
+    error = (F.col("state") == "ERROR").cast("bigint")
+    sums = {"transition": F.col("state").isin(*STATES).cast("bigint"), "_errors": error}
+    return running_sums(log, ["run"], "seq", sums).withColumn("_before", F.col("_errors") - F.coalesce(error, F.lit(0)))
+
+
 def state_attempts(log: DataFrame) -> DataFrame:
-    """Transition number and attempt number of each state log row (run, seq, state)."""
-    moved = running_sums(log, ["run"], "seq", {"transition": F.col("state").isin(*STATES).cast("bigint")})
-    return running_sums(moved, ["run", "transition"], "seq", {"attempt": (F.col("state") == "ERROR").cast("bigint")})
+    """Transition number and attempt number of each state log row (run, seq, state).
+
+    The attempt is the run's errors so far less those before the transition began, so one running pass gives both.
+    """
+    counted = _counted_states(log)
+    start = counted.groupBy("run", "transition").agg(F.min("_before").alias("_start"))
+    return null_safe_join(counted, start, ["run", "transition"]).withColumn("attempt", F.col("_errors") - F.col("_start")).drop("_errors", "_before", "_start")
 
 
 def run_rollup(log: DataFrame, max_verify: int = 3) -> DataFrame:
@@ -71,10 +82,10 @@ def run_rollup(log: DataFrame, max_verify: int = 3) -> DataFrame:
 
     Input: run, seq, state, turns, is_seal. A row's turns belong to the attempt it starts.
     """
-    per_step = state_attempts(log).groupBy("run", "transition").agg(
+    per_step = _counted_states(log).groupBy("run", "transition").agg(
         F.max(F.when(F.col("state") != "ERROR", F.col("state"))).alias("state"),
-        F.max_by("turns", "attempt").alias("kept_turns"),
-        F.max("attempt").alias("errors"),
+        F.max_by("turns", "_errors").alias("kept_turns"),
+        (F.max("_errors") - F.min("_before")).alias("errors"),
         F.sum(F.col("is_seal").cast("bigint")).alias("seals"),
         F.max(F.struct("seq", F.col("state").alias("s"))).alias("_last"),
     )

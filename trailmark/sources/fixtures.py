@@ -173,10 +173,11 @@ SELECT event_id, '{"prompt_tokens":' || CAST(@K AS STRING) || ',"total_tokens":'
      WHEN 2 THEN ',"completion_tokens_details":{},"output_tokens_details":{"reasoning_tokens":' || CAST(@K AS STRING) || '}'
      WHEN 3 THEN ',"output_tokens_details":null,"reasoning_tokens_details":{"reasoning_tokens":' || CAST(@K AS STRING) || '}' ELSE '' END || '}' AS usage,
   CASE event_type WHEN 'error' THEN 'length' WHEN 'view' THEN '' ELSE 'stop' END AS finish_reason FROM events""",
+    # every paragraph and every link text of a page is one search result
     "fx_search": """
-SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CASE WHEN page_id % 9 = 0 THEN '!!' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS query,
-  url, CASE WHEN page_id % 3 = 0 THEN regexp_extract(html, '<a [^>]*>([^<]*)</a>', 1) ELSE regexp_extract(html, '<p>([^<]*)<', 1) END AS snippet,
-  'site' || CAST(page_id % 5 AS STRING) AS query_id FROM pages""",
+SELECT page_id, pos, title, CASE WHEN page_id % 9 = 0 THEN '!!' ELSE title END AS query, url, @AT(snippets, pos) AS snippet, query_id
+FROM (SELECT *, @EACHN(snippets) AS pos FROM (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, 'site' || CAST(page_id % 5 AS STRING) AS query_id,
+  @BOTH(regexp_extract_all(html, '<p>([^<]*)<', 1), regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1)) AS snippets FROM pages) a WHERE @LEN(snippets) > 0) b""",
     "fx_paths": """
 SELECT event_id, 'rollout_' || CAST(event_id % 3 AS STRING) || '/question_q_' || CAST(user_id AS STRING) || '/' || CASE WHEN event_id % 10 = 0 THEN 'segment_' || CAST(@K % 4 AS STRING) ||'.jsonl'
   ELSE CASE event_type WHEN 'signup' THEN 'rubric' WHEN 'purchase' THEN 'verify' ELSE 'answer' END || '_t' || CAST(@K % 9 AS STRING) || '_attempt_' || CAST(@K % 12 AS STRING) || '_' || CAST(@K % 4 AS STRING) || '.jsonl' END AS path,
@@ -186,11 +187,13 @@ SELECT event_id, 'rollout_' || CAST(event_id % 3 AS STRING) || '/question_q_' ||
 
 def duck_text(sql: str) -> str:
     sql = re.sub(r"@EACH\(([^)]*)\)", r"unnest([\1])", sql)
+    sql = re.sub(r"@AT\((\w+), (\w+)\)", r"\1[\2]", re.sub(r"@EACHN\((\w+)\)", r"unnest(range(1, len(\1) + 1))", sql)).replace("@BOTH(", "list_concat(").replace("@LEN(", "len(")
     return sql.replace("@K", "CAST(json_extract_string(props, '$.k') AS INTEGER)").replace("@NL", "chr(10)")
 
 
 def spark_text(sql: str) -> str:
     sql = re.sub(r"@EACH\(([^)]*)\)", r"explode(array(\1))", sql)
+    sql = re.sub(r"@AT\((\w+), (\w+)\)", r"element_at(\1, CAST(\2 AS INT))", re.sub(r"@EACHN\((\w+)\)", r"explode(sequence(1L, CAST(size(\1) AS BIGINT)))", sql)).replace("@BOTH(", "concat(").replace("@LEN(", "size(")
     return sql.replace("@K", "CAST(get_json_object(props, '$.k') AS INT)").replace("@NL", "chr(10)")
 
 

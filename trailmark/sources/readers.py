@@ -282,3 +282,25 @@ def find_review_files(spark: SparkSession, files: Sequence[str] = (), work_dir:
         direct = listed(work_dir) or listed(f"{work_dir}/000_review/review.jsonl") + listed(f"{work_dir}/review.jsonl")
         out += direct or sorted(listed(f"{work_dir}/rollout_*/000_review/review.jsonl") + listed(f"{work_dir}/rollout_*/review.jsonl"))
     return list(dict.fromkeys(out))
+
+
+SNAPSHOT_SCHEMA = "memory_id string, timestamp string, knowledge_graph variant, navigation_state variant, next_step_plan string, task_progress string, structured_summary string, unreadable string"
+
+
+def read_snapshots(spark: SparkSession, path: str, files: str = "*.json", question: str = r"question_([^/]+)/", folder: str = r"question_[^/]+/(?:(.+)/)?[^/]+$") -> DataFrame:
+    """Memory snapshots, one JSON document per file: question_id, folder, stem and the fields of ``SNAPSHOT_SCHEMA``.
+
+    A file that is no JSON object keeps its row, with its text in ``unreadable`` and no fields, since its name still
+    counts. ``question`` and ``folder`` say what the path means; the folders are walked to any depth.
+    """
+    reader = spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", files)
+    rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "unreadable").json(path)
+    place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return rows.withColumn("_place", place).select(
+        F.regexp_extract("_place", question, 1).alias("question_id"),
+        F.regexp_extract("_place", folder, 1).alias("folder"),
+        F.regexp_extract("_place", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"),
+        *[F.col(c) for c in rows.columns if c != "unreadable"],
+        # the condition always holds; the reader refuses to give the text of bad files alone
+        F.when(F.length(F.coalesce("memory_id", F.lit(""))) >= 0, F.col("unreadable")).alias("unreadable"),
+    )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,10 +90,59 @@ def write_report(summary: DataFrame, path: str) -> None:
     report_json(summary, "value").write.mode("overwrite").text(path)
 
 
+#: Endings of files that the line reader would unpack; such a file is hashed in one piece and must be smaller than 2 GiB.
+PACKED = ("gz", "bz2", "deflate", "lz4", "snappy", "zst")
+BOM = b"\xef\xbb\xbf"
+
+
 def fingerprints(spark: SparkSession, *paths: str) -> DataFrame:
-    """Length and SHA-256 of every file, hashed where it is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """Length and SHA-256 of every file (path, length, sha256), read in pieces.
+
+    Splits of a file are read by different tasks as raw lines; the lines of a file then stream in order through one task,
+    which keeps a running digest only, so memory follows the longest line and not the file. The reader drops line feeds and
+    a leading byte order mark; what is missing from the known length tells whether the last line had one and the first the other.
+    Spark's readers don't list empty files, so they have no row.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).withColumn("_at", F.col("_metadata.file_path"))
+    packed = F.col("path").rlike(rf"\.({'|'.join(PACKED)})$")
+    whole = listing.filter(packed).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    plain = listing.filter(~packed).select("path", "length", "_at")
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("line"),
+    ).filter(~packed)
+    kept = lines.groupBy("path").agg((F.min("length") - F.sum(F.length("line") + 1)).alias("missing"))
+    heads = kept.select("path", F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("seq"), "missing", F.lit(None).cast("binary").alias("line"))
+    rows = heads.unionByName(lines.select("path", "at", "seq", F.lit(None).cast("bigint").alias("missing"), "line"))
+    digests = rows.repartition("path").sortWithinPartitions("path", "at", "seq").select("path", "missing", "line").mapInArrow(_running_digests, "path string, sha256 string")
+    lone = hashlib.sha256(BOM).hexdigest()  # a file without any line holds a byte order mark only
+    return plain.join(digests.withColumnRenamed("path", "_at"), "_at", "left").select("path", "length", F.coalesce("sha256", F.lit(lone)).alias("sha256")).unionByName(whole)
+
+
+def _running_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 per path from (path, missing, line) in order, the row with ``missing`` first."""
+    done: list[tuple[str, str]] = []
+    path = digest = None
+    between = end = b""
+
+    def close() -> None:
+        if path is not None:
+            digest.update(end)
+            done.append((path, digest.hexdigest()))
+
+    for batch in batches:
+        for name, missing, line in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            if name != path:
+                close()
+                path, digest, between = name, hashlib.sha256(), b""
+            if line is None:
+                digest.update(BOM if missing in (2, 3) else b"")
+                end = b"\n" if missing in (0, 3) else b""
+            else:
+                digest.update(between + line)
+                between = b"\n"
+    close()
+    yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in done], pa.string()), "sha256": pa.array([d for _, d in done], pa.string())})
 
 
 def manifest(files: DataFrame, rows: DataFrame) -> DataFrame:
