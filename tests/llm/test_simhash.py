@@ -68,10 +68,6 @@ def test_awkward_documents(awkward, empty):
         want.append((key, f"{v:016x}", min(ids, default=None)))
     assert sorted(map(str, want)) == sorted(str((r.doc_id, r.fingerprint, r.component_id)) for r in rows)
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_one(awkward)
-    assert kept.columns == awkward.columns
-    assert kept.filter("doc_id = 4").count() == 0 and kept.filter("doc_id = 3").count() == 2
-    assert kept.filter("doc_id is null").count() == 2
 
 
 def test_components_of_a_chain_and_a_star(spark):

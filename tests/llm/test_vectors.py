@@ -98,3 +98,23 @@ def test_awkward_vectors(spark):
         assert search(df.limit(0)).count() == 0
         few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (50, [0.0, 1.0])], "vec_id long, embedding array<double>")
         assert [(r.query_id, r.vec_id) for r in search(few, every=100).orderBy("rank").collect()] == [(0, 1), (0, 50)]
+
+
+def test_large_and_small_components(spark):
+    """Cosines of vectors whose squares leave the range of doubles; inner products beyond the 62nd bit; none is dropped."""
+    base = [[1.0, 2.0], [2.0, 1.0], [1.0, 2.1], [-1.0, 0.5], [3.0, 3.0], [0.1, 2.0]]
+    want = [(r.vec_id, r.score) for r in multiindex.search(spark.createDataFrame(list(enumerate(base)), "vec_id long, embedding array<double>"), every=50).orderBy("rank").collect()]
+    for by in (1e200, 1e-200, 1e307):
+        rows = [(i, [x * by for x in v]) for i, v in enumerate(base)]
+        got = [(r.vec_id, r.score) for r in multiindex.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50).orderBy("rank").collect()]
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want])
+    for big in (2.0e6, float(2**19)):
+        rows = [(i, [big, float(i)] + [big if i % 2 else -big] * (62 if big < 1e6 else 0)) for i in range(8)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        whole = [[int(x * 1024) for x in v] for _, v in rows]
+        products = sorted(((-sum(a * b for a, b in zip(whole[0], v)), i) for i, v in enumerate(whole) if i), key=lambda p: p)
+        if -products[0][0] < 1 << 63:
+            assert [(r.vec_id, r.score) for r in innerproduct.search(table, every=100).orderBy("rank").collect()] == [(i, -p) for p, i in products]
+        else:
+            with pytest.raises(Exception, match="64 bits"):
+                innerproduct.search(table, every=100).collect()

@@ -24,8 +24,6 @@ from trailmark.llm.vectors import BLOCK, against, matrix, ranked, usable
 
 #: Coordinates after which the bound is looked at, as shares of all.
 STOPS = (0.25, 0.5, 0.75)
-#: Largest whole number that a component may have; vectors beyond take no part.
-LARGEST = 2**30
 
 
 def axes(rows: DataFrame, size: int) -> np.ndarray:
@@ -59,14 +57,17 @@ def candidates(query: np.ndarray, vectors: np.ndarray, bar: float, stops: list[i
 def search(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", *, every: int = 100, k: int = 10, scale: int = 1024) -> DataFrame:
     """The k largest inner products of each row whose id is divisible by ``every``: query_id, rank, vec_id, score (whole numbers).
 
-    See `usable` for vectors that take no part; so do vectors with a component beyond ``LARGEST`` after scaling. Zero
-    vectors do take part, with score 0. Rows with the query's own id are no candidates; other repeated ids are candidates row
+    See `usable` for vectors that take no part. Scores that could pass 64 bits are computed with whole numbers of any size; one
+    that does is an error, as are components that don't fit 64 bits after scaling. Zero vectors do take part, with score 0. Rows with the query's own id are no candidates; other repeated ids are candidates row
     by row, and a repeated query id counts once. Other columns are not read. An empty table gives an empty table.
     """
     rows, size = usable(df, id_col, vector)
     whole = F.transform("vector", lambda x: F.floor(x * scale).cast("bigint"))
-    small = F.forall("vector", lambda x: F.abs(x * scale) <= LARGEST)
-    rows = rows.filter(small).select("id", whole.alias("vector"))
+    most = rows.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] or 0.0
+    if most * scale >= 2.0**63:
+        raise OverflowError("a scaled component doesn't fit 64 bits")
+    wide = size * (most * scale + 1) ** 2 >= 2.0**62
+    rows = rows.select("id", whole.alias("vector"))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     rows = staged(rows.withColumn("length", length), "whole")
     count = rows.count()
@@ -85,18 +86,23 @@ def search(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", *,
         out: tuple[list, list, list] = ([], [], [])
         order = np.argsort(-block["length"].to_numpy(), kind="stable")
         ids, vectors = ids[order], vectors[order]
+        exact = vectors.astype(object) if wide else vectors
         lengths = block["length"].to_numpy()[order]
         turned = vectors @ turn
         for own, query, size_, bar in zip(asked["id"].to_pylist(), matrix(asked["vector"], size) if asked.num_rows else (), asked["length"].to_pylist(), asked["bar"].to_pylist()):
             if bar is None or np.isnan(bar):  # the first block sets the bar by its longest vectors
-                head = vectors[: 4 * k + 64] @ query
+                head = exact[: 4 * k + 64] @ (query.astype(object) if wide else query)
                 others = head[ids[: len(head)] != own]
-                bar = float(np.sort(others)[-k]) if len(others) >= k else -np.inf
+                bar = float(sorted(others)[-k]) if len(others) >= k else -np.inf
             slack = 1e-9 * size_ * (lengths[0] if len(lengths) else 0.0) + 1e-6
             prefix = len(lengths) if bar <= slack else int(np.searchsorted(-lengths * size_, -(bar - slack), side="right"))
             near = candidates(query @ turn, turned[:prefix], bar - slack, stops)
             near = near[ids[near] != own]
-            scores = vectors[near] @ query
+            scores = exact[near] @ (query.astype(object) if wide else query)
+            if wide:
+                if max(map(abs, scores), default=0) >= 1 << 63:
+                    raise OverflowError("an inner product doesn't fit 64 bits")
+                scores = scores.astype(np.int64)
             for i in np.lexsort((ids[near], -scores))[:k]:
                 for column, value in zip(out, (own, int(ids[near[i]]), int(scores[i]))):
                     column.append(value)

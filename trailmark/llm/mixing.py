@@ -17,6 +17,7 @@ the same centres whatever the order of the rows.
 
 from __future__ import annotations
 
+import logging
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from typing import NamedTuple
@@ -28,15 +29,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import send_if_small, staged
+from trailmark.llm.common import send_if_small, staged, unstage
+
+_log = logging.getLogger(__name__)
 
 DIMENSIONS = 64
-#: Named categories of a margin, the rest being one category; None: every category is named.
-MOST_CATEGORIES: int | None = None
 #: Cells up to which the raking runs on the driver.
 DRIVER_CELLS = 100_000
-OTHER = "(other)"
 NONE = "(none)"
+#: A written row number that `sample` gives its documents.
+ROW = "_mixing_row"
 _HASHED = 200_000  # words whose hash a worker keeps
 
 
@@ -59,13 +61,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(size)
         flat = pa.array(np.concatenate(totals) if totals else np.empty(0, np.int32))
         vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * DIMENSIONS + 1, DIMENSIONS, dtype=np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("id", "source", "lang")], pa.array(sizes, pa.int64()), vectors], ["id", "source", "lang", "tokens", "vector"])
+        yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("row", "id", "source", "lang")], pa.array(sizes, pa.int64()), vectors], ["row", "id", "source", "lang", "tokens", "vector"])
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """id, source, lang (nulls named), tokens and word vector of every whole document."""
-    named = docs.select(F.col(id_col).cast("bigint").alias("id"), *[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(n) for c, n in ((source, "source"), (lang, "lang"))], F.col(text).cast("string").alias("text"))
-    return named.mapInArrow(_counts, "id bigint, source string, lang string, tokens bigint, vector array<int>")
+    """row (as given, else numbered), id, source, lang (nulls named), tokens and word vector of every whole document."""
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    named = docs.select(row.alias("row"), F.col(id_col).cast("bigint").alias("id"), *[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(n) for c, n in ((source, "source"), (lang, "lang"))], F.col(text).cast("string").alias("text"))
+    return named.mapInArrow(_counts, "row bigint, id bigint, source string, lang string, tokens bigint, vector array<int>")
 
 
 class Topics(NamedTuple):
@@ -155,6 +158,12 @@ def rake(cells: list[tuple[str, ...]], tokens: np.ndarray, targets: list[Mapping
             weight = moved
         if off < close:
             break
+    else:
+        _log.warning("raking: weights still moved by %.2g after %d rounds", off, rounds)
+    for m, (place, wanted) in enumerate(sides):
+        short = np.abs(np.bincount(place, weights=weight * tokens, minlength=len(wanted)) - wanted).max(initial=0.0) / max(total, 1e-12)
+        if short > 1e-3:
+            _log.warning("raking: margin %d misses its target by up to %.2g of all kept tokens, as weights end at 1", m, short)
     return weight
 
 
@@ -171,11 +180,15 @@ def rake_table(cells: DataFrame, margins: list[str], targets: list[DataFrame], t
             wanted = F.coalesce("wanted", F.lit(0.0)) * F.lit(float(total))
             factor = have.join(target, m, "left").select(m, F.when(F.col("have") > 0, wanted / F.col("have")).otherwise(1.0).alias("factor"))
             before = step.withColumn("old", F.col("probability")).join(factor, m).withColumn("probability", F.least(F.lit(1.0), F.col("probability") * F.col("factor")))
-            step = staged(before.drop("factor"), "raked")
+            after = staged(before.drop("factor"), "raked")
+            unstage(step)
+            step = after
             off = max(off, step.agg(F.max(F.abs(F.col("probability") - F.col("old")))).first()[0] or 0.0)
         now = step
         if off < close:
             break
+    else:
+        _log.warning("raking: weights still moved by %.2g after %d rounds", off, rounds)
     return now.drop("old")
 
 
@@ -186,21 +199,17 @@ def sampling_plan(docs: DataFrame, *, keep: float = 0.7, power: float = 0.7, tar
     that is not given gets its natural shares tempered by ``power``. The expected kept tokens are ``keep`` of
     all, less what the bound of 1 makes impossible. A null source or language is the category "(none)", a
     null text has no tokens and the topic of an empty one. Documents without tokens count as one token, so
-    they are sampled like others. Repeated rows and rows with the same id are decided alike, null ids
-    by their other columns' hash. An empty table gives an empty table.
+    they are sampled like others. A row is drawn by a hash of its id, one whose id is repeated or
+    missing by its row number, so such rows are sampled like others too. An empty table gives an empty table.
     """
     rows = staged(measured(docs, id_col, text, source, lang), "measured")
     model = learn_topics(rows, topics)
-    topical = staged(rows.select("id", "source", "lang", "tokens", model.of(F.col("vector")).cast("string").alias("topic")), "topical")
+    topical = staged(rows.select("row", "id", "source", "lang", "tokens", model.of(F.col("vector")).cast("string").alias("topic")), "topical")
     weight = F.greatest("tokens", F.lit(1))
     margins = ("source", "lang", "topic")
     coded, keys = topical.withColumn("size", weight), [f"c_{m}" for m in margins]
     for m in margins:
-        named = F.col(m)
-        if MOST_CATEGORIES is not None:
-            largest = topical.groupBy(m).agg(F.sum(weight).alias("t")).orderBy(F.desc("t"), m).limit(MOST_CATEGORIES)
-            named = F.when(named.isin([r[m] for r in largest.collect()]), named).otherwise(OTHER)
-        coded = coded.withColumn(f"c_{m}", named)
+        coded = coded.withColumn(f"c_{m}", F.col(m))
     found = staged(coded.groupBy(*keys).agg(F.sum("size").alias("t")), "cells")
     row = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     if row["n"] <= DRIVER_CELLS:
@@ -225,15 +234,18 @@ def sampling_plan(docs: DataFrame, *, keep: float = 0.7, power: float = 0.7, tar
                 raised = staged(found.groupBy(k).agg(F.pow(F.sum("t").cast("double"), F.lit(power)).alias("wanted")), "targets")
                 wanted.append(raised.withColumn("wanted", F.col("wanted") / F.lit(raised.agg(F.sum("wanted")).first()[0])))
         plan = send_if_small(rake_table(found, keys, wanted, keep * row["t"], float(row["t"])).drop("t"))
-    drawn = F.shiftrightunsigned(F.when(F.col("id").isNull(), F.xxhash64(F.lit(seed), "source", "lang", "tokens")).otherwise(F.xxhash64(F.lit(seed), "id")), 11) / F.lit(float(1 << 53))
-    joined = coded.join(plan, keys)
-    return joined.select(F.col("id").alias(id_col), "source", "lang", F.col("topic").cast("int").alias("topic"), "tokens", "probability", (drawn < F.col("probability")).alias("kept"))
+    again = staged(topical.filter("id is not null").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit(True).alias("again")), "repeated")
+    alone = F.when(F.col("id").isNull() | F.col("again").isNotNull(), F.xxhash64(F.lit(seed), F.lit(1), "row")).otherwise(F.xxhash64(F.lit(seed), "id"))
+    drawn = F.shiftrightunsigned(alone, 11) / F.lit(float(1 << 53))
+    joined = coded.join(plan, keys).join(send_if_small(again), "id", "left")
+    return joined.select(*(["row"] if ROW in docs.columns else []), F.col("id").alias(id_col), "source", "lang", F.col("topic").cast("int").alias("topic"), "tokens", "probability", (drawn < F.col("probability")).alias("kept"))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The documents kept by the plan, with their own columns; rows with a null id stay, as no decision can be joined to them."""
-    gone = sampling_plan(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("gone")).agg(F.max("kept").alias("kept")).filter(~F.col("kept"))
-    return docs.select(F.struct("*").alias("doc")).join(gone, F.col(f"doc.`{id_col}`") == F.col("gone"), "left_anti").select("doc.*")
+    """The rows kept by the plan, with their own columns; each row is decided for itself, whatever its id."""
+    numbered = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    kept = sampling_plan(numbered, id_col=id_col, **options).filter("kept").select(F.col("row").alias(ROW))
+    return numbered.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 __all__ = ["learn_topics", "measured", "rake", "sample", "sampling_plan", "tempered"]

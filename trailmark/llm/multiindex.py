@@ -103,7 +103,11 @@ def search(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", *,
     candidates are all returned. Other columns are not read. An empty table gives an empty table.
     """
     rows, size = usable(df, id_col, vector)
-    rows = staged(rows.filter(F.exists("vector", lambda x: x != 0)), "vectors")
+    # divided by a power of two near its largest component a vector keeps its digits, and no square overflows or vanishes
+    top = F.array_max(F.transform("vector", F.abs))
+    scaled = F.transform("vector", lambda x: x / F.col("by"))
+    rows = rows.withColumn("by", F.pow(F.lit(2.0), F.floor(F.log2(top)))).filter(top > 0).select("id", scaled.alias("vector"))
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     count = rows.count()
     blocks = max(1, -(-count // BLOCK))
     some = rows.orderBy(F.xxhash64("id"), "id", "vector").limit(sample).collect()
@@ -135,6 +139,6 @@ def search(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", *,
                         column.append(value)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    indexed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    indexed = rows.select("id", "vector", "row").withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
     queries = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("vector"))
     return ranked(against(queries, indexed, blocks, found, schema), k)

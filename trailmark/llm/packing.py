@@ -229,14 +229,15 @@ def ranked(pieces: DataFrame, sizes: DataFrame) -> DataFrame:
     """Add ``rank``, the place of a piece among those of its length, from 0.
 
     A length with many pieces is dealt to as many shares as its count asks for; the pieces are range-sorted
-    by length and share, ranked within the share, and moved up by the sizes of the shares before.
+    by length and share, ranked within the share, and moved up by the sizes of the shares before. The share comes from the
+    written row number ``_row``, so equal rows are dealt apart.
     ``sizes`` has a row for each length, no more than the capacity.
     """
     shares = sizes.select("length", F.ceil(F.col("n") / RANKED_TOGETHER).alias("shares"))
-    dealt = pieces.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("shares")))
+    dealt = pieces.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("_row"), F.col("shares")))
     before = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     ahead = dealt.groupBy("length", "share").agg(F.count("*").alias("n")).select("length", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("length", "share").orderBy("id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "share").orderBy("id", "piece", "ids_crc32", "_row")
     sorted_ = dealt.repartitionByRange("length", "share").withColumn("at", F.row_number().over(within))
     return sorted_.join(ahead, ["length", "share"]).withColumn("rank", F.col("ahead") + F.col("at") - 1).drop("shares", "share", "at", "ahead")
 
@@ -247,7 +248,8 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     Needs the columns id, piece, ids_crc32 (only to order equal lengths; nulls and repeated rows are
     fine, each row gets its own place) and length; a null length is an error. An empty table gives an empty table.
     """
-    pieces = staged(pieces, "pieces")
+    columns, schema = pieces.columns, pieces.schema
+    pieces = staged(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")  # deals equal rows apart
     sizes = staged(pieces.groupBy("length").agg(F.count("*").alias("n")), "lengths")
     runs = best_fit_runs({r["length"]: r["n"] for r in sizes.collect()}, capacity)
     order = sorted(runs, key=lambda r: (r.length, r.rank))
@@ -264,8 +266,8 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             kept = [c for c in batch.schema.names if c != "rank"]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(base[at, 0] + rank), pa.array(base[at, 1])], [*kept, "sequence_id", "offset"])
 
-    placed = ranked(pieces, sizes).select(*pieces.columns, "rank")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    placed = ranked(pieces, sizes).select(*columns, "rank")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return placed.mapInArrow(match, f"{fields}, sequence_id bigint, offset bigint")
 
 

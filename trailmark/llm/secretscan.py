@@ -59,7 +59,7 @@ def _bucket(n: int) -> int:
 def shape(token: str) -> str:
     """Kinds of characters in order, runs as one: A upper, a lower, 0 digit, - other; at most six."""
     out = ""
-    for c in token[:200]:
+    for c in token:
         kind = "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else "-"
         if out[-1:] != kind:
             out += kind

@@ -169,14 +169,4 @@ def keep_one_row(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **
     return numbered.join(first, "rid", "left_semi").select("doc.*")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The documents without near duplicates: of each component the one with the smallest id stays.
-
-    Documents with a null id stay. If an id is repeated, all its rows stay or go together; `keep_one_row` decides by row.
-    """
-    found = near_duplicates(docs, id_col, text, **options).filter(F.col("component_id") < F.col(id_col))
-    gone = found.select(F.col(id_col).alias("gone")).distinct()
-    return docs.select(F.struct("*").alias("doc")).join(gone, F.col(f"doc.`{id_col}`") == F.col("gone"), "left_anti").select("doc.*")
-
-
-__all__ = ["fingerprint", "keep_one", "keep_one_row", "near_duplicates", "near_pairs", "with_fingerprint"]
+__all__ = ["fingerprint", "keep_one_row", "near_duplicates", "near_pairs", "with_fingerprint"]
