@@ -372,7 +372,7 @@ def _(x):
 # ---- review rows and re-judging ----
 @case(
     "prj8_review_records",
-    """SELECT r.line, CASE WHEN coalesce(r.answer, '') = '' THEN 'Answer extraction failed.' END AS error, CASE WHEN coalesce(r.answer, '') = '' THEN 'EXTRACTION_FAILED' WHEN l.doc_id IS NOT NULL THEN 'SUCCESS' END AS judge_complete_status,
+    """SELECT r.line, CASE WHEN coalesce(r.answer, '') = '' THEN 'no answer found' END AS error, CASE WHEN coalesce(r.answer, '') = '' THEN 'EXTRACTION_FAILED' WHEN l.doc_id IS NOT NULL THEN 'SUCCESS' END AS judge_complete_status,
     CASE WHEN coalesce(r.answer, '') = '' THEN false WHEN l.doc_id IS NOT NULL THEN l.quality = 1 END AS is_correct, CASE WHEN coalesce(r.answer, '') = '' THEN 0.0::DOUBLE WHEN l.doc_id IS NOT NULL THEN l.quality::DOUBLE END AS score
     FROM fx_reviews r LEFT JOIN labels l ON r.line = l.doc_id""",
 )
@@ -406,7 +406,7 @@ def _(x):
     f"""SELECT doc_id, err AS official_judge_error, err IS NULL AND ok AND quality = 1 AS official_is_correct, CASE WHEN err IS NULL AND ok AND quality = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS official_score,
     CASE WHEN err IS NOT NULL THEN 'ERROR' WHEN ok THEN 'SUCCESS' ELSE 'EXTRACTION_FAILED' END AS official_judge_complete_status, CASE WHEN err IS NULL AND ok THEN 'A' || doc_id END AS official_judge_extracted_final_answer,
     CASE WHEN err IS NULL THEN (toxic = 1) <> (ok AND quality = 1) END AS official_disagrees_with_existing
-    FROM (SELECT *, NOT {JUNK} AND style = 2 AS ok, CASE WHEN text = '' THEN 'Missing question field.' WHEN doc_id % 10 = 3 THEN 'Missing ground_truth field.' WHEN doc_id % 10 = 4 THEN 'boom' END AS err FROM fx_verdicts) t""",
+    FROM (SELECT *, NOT {JUNK} AND style = 2 AS ok, CASE WHEN text = '' THEN 'no question' WHEN doc_id % 10 = 3 THEN 'no ground truth' WHEN doc_id % 10 = 4 THEN 'boom' END AS err FROM fx_verdicts) t""",
 )
 def _(x):
     rows = x.verdicts.withColumns(

@@ -320,7 +320,7 @@ def review_records(rollouts: DataFrame, verdicts: DataFrame) -> DataFrame:
     judged = F.col("is_correct").isNotNull()
     return joined.withColumns(
         {
-            "error": F.when(no_answer, F.lit("Answer extraction failed.")),
+            "error": F.when(no_answer, F.lit("no answer found")),
             "judge_complete_status": F.when(no_answer, F.lit("EXTRACTION_FAILED")).when(judged, F.col("status")),
             "is_correct": F.when(no_answer, F.lit(False)).when(judged, F.col("is_correct")),
             "score": F.when(no_answer, F.lit(0.0)).when(judged, F.col("score")),
@@ -349,8 +349,8 @@ def official_results(rows: DataFrame) -> DataFrame:
     """
     verdict = labelled_verdict(F.col("reply"))
     error = (
-        F.when(F.coalesce("question", F.lit("")) == "", F.lit("Missing question field."))
-        .when(F.col("truth_size") == 0, F.lit("Missing ground_truth field."))
+        F.when(F.coalesce("question", F.lit("")) == "", F.lit("no question"))
+        .when(F.col("truth_size") == 0, F.lit("no ground truth"))
         .otherwise(F.col("call_error"))
     )
     df = rows.withColumns({"_v": verdict, "official_judge_error": error})
