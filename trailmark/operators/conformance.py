@@ -9,37 +9,37 @@ from trailmark.functions import variants as V
 
 # ---- fixed values: tool, parent object, field, allowed JSON types, required, allowed texts, type of array items --
 RULES = (
-    ("search_api", "$", "query", "string", True, None, None),
-    ("search_api", "$", "return_n", "integer", False, None, None),
-    ("link_summary_tool", "$", "question", "string", True, None, None),
-    ("link_summary_tool", "$", "url", "string|array", True, None, "string"),
-    ("read_memory_tool", "$", "memory_id", "string", True, None, None),
-    ("read_memory_tool", "$", "include_conversation", "boolean", False, None, None),
-    ("read_memory_tool", "$", "max_messages", "integer", False, None, None),
-    ("read_memory_tool", "$", "max_chars", "integer", False, None, None),
-    ("read_memory_tool", "$", "include_structured", "boolean", False, None, None),
-    ("read_memory_tool", "$", "structured_max_chars", "integer", False, None, None),
-    ("seal_memory_tool", "$", "knowledge_graph", "array", False, None, None),
-    ("seal_memory_tool", "$", "navigation_state", "object", False, None, None),
-    ("seal_memory_tool", "$", "meta_learnings", "array", False, None, "string"),
-    ("seal_memory_tool", "$", "next_step_plan", "string", True, None, None),
-    ("seal_memory_tool", "$", "task_progress", "string", True, None, None),
-    ("seal_memory_tool", "$", "stage", "string", False, None, None),
-    ("seal_memory_tool", "$", "tags", "array", False, None, "string"),
-    ("seal_memory_tool", "$", "comment", "string", False, None, None),
-    ("seal_memory_tool", "$", "structured_summary", "string", False, None, None),
-    ("seal_memory_tool", "$.knowledge_graph[]", "fact", "string", True, None, None),
-    ("seal_memory_tool", "$.knowledge_graph[]", "source_url", "string", False, None, None),
-    ("seal_memory_tool", "$.knowledge_graph[]", "status", "string", True, "verified|conflicting|partial", None),
-    ("seal_memory_tool", "$.navigation_state", "visited_summary", "string", True, None, None),
-    ("seal_memory_tool", "$.navigation_state", "frontier_queue", "array", True, None, None),
-    ("seal_memory_tool", "$.navigation_state", "dead_ends", "array", True, None, "string"),
-    ("seal_memory_tool", "$.navigation_state.frontier_queue[]", "target", "string", False, None, None),
-    ("seal_memory_tool", "$.navigation_state.frontier_queue[]", "reason", "string", False, None, None),
+    ("search_api", "$", "query", ("string",), True, None, None),
+    ("search_api", "$", "return_n", ("integer",), False, None, None),
+    ("link_summary_tool", "$", "question", ("string",), True, None, None),
+    ("link_summary_tool", "$", "url", ("string", "array"), True, None, "string"),
+    ("read_memory_tool", "$", "memory_id", ("string",), True, None, None),
+    ("read_memory_tool", "$", "include_conversation", ("boolean",), False, None, None),
+    ("read_memory_tool", "$", "max_messages", ("integer",), False, None, None),
+    ("read_memory_tool", "$", "max_chars", ("integer",), False, None, None),
+    ("read_memory_tool", "$", "include_structured", ("boolean",), False, None, None),
+    ("read_memory_tool", "$", "structured_max_chars", ("integer",), False, None, None),
+    ("seal_memory_tool", "$", "knowledge_graph", ("array",), False, None, None),
+    ("seal_memory_tool", "$", "navigation_state", ("object",), False, None, None),
+    ("seal_memory_tool", "$", "meta_learnings", ("array",), False, None, "string"),
+    ("seal_memory_tool", "$", "next_step_plan", ("string",), True, None, None),
+    ("seal_memory_tool", "$", "task_progress", ("string",), True, None, None),
+    ("seal_memory_tool", "$", "stage", ("string",), False, None, None),
+    ("seal_memory_tool", "$", "tags", ("array",), False, None, "string"),
+    ("seal_memory_tool", "$", "comment", ("string",), False, None, None),
+    ("seal_memory_tool", "$", "structured_summary", ("string",), False, None, None),
+    ("seal_memory_tool", "$.knowledge_graph[]", "fact", ("string",), True, None, None),
+    ("seal_memory_tool", "$.knowledge_graph[]", "source_url", ("string",), False, None, None),
+    ("seal_memory_tool", "$.knowledge_graph[]", "status", ("string",), True, ("verified", "conflicting", "partial"), None),
+    ("seal_memory_tool", "$.navigation_state", "visited_summary", ("string",), True, None, None),
+    ("seal_memory_tool", "$.navigation_state", "frontier_queue", ("array",), True, None, None),
+    ("seal_memory_tool", "$.navigation_state", "dead_ends", ("array",), True, None, "string"),
+    ("seal_memory_tool", "$.navigation_state.frontier_queue[]", "target", ("string",), False, None, None),
+    ("seal_memory_tool", "$.navigation_state.frontier_queue[]", "reason", ("string",), False, None, None),
 )
 # -------------------------------------------------------------------------------------------
 
-RULE_SCHEMA = "name string, parent string, field string, types string, required boolean, allowed string, items string"
+RULE_SCHEMA = "name string, parent string, field string, types array<string>, required boolean, allowed array<string>, items string"
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
@@ -99,12 +99,12 @@ def violations(calls: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame
         return (
             F.when(V.kind(value).isNull() & r["required"], F.struct(F.col("path"), F.lit("required").alias("rule"), r["field"].alias("detail")))
             .when(
-                V.kind(value).isNotNull() & ~F.array_contains(F.split(r["types"], r"\|"), json_type(value)),
-                F.struct(path.alias("path"), F.lit("type").alias("rule"), r["types"].alias("detail")),
+                V.kind(value).isNotNull() & ~F.array_contains(r["types"], json_type(value)),
+                F.struct(path.alias("path"), F.lit("type").alias("rule"), F.array_join(r["types"], "|").alias("detail")),
             )
             .when(
-                V.kind(value).isNotNull() & r["allowed"].isNotNull() & ~F.array_contains(F.split(r["allowed"], r"\|"), value.try_cast("string")),
-                F.struct(path.alias("path"), F.lit("enum").alias("rule"), r["allowed"].alias("detail")),
+                V.kind(value).isNotNull() & r["allowed"].isNotNull() & ~F.array_contains(r["allowed"], value.try_cast("string")),
+                F.struct(path.alias("path"), F.lit("enum").alias("rule"), F.array_join(r["allowed"], "|").alias("detail")),
             )
         )
 
@@ -118,9 +118,9 @@ def violations(calls: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame
         each = F.transform(
             wrong, lambda e: F.struct(F.concat(path, F.lit("["), e["i"].cast("string"), F.lit("]")).alias("path"), F.lit("type").alias("rule"), r["items"].alias("detail"))
         )
-        whole = F.array(F.struct(path.alias("path"), F.lit("oneOf").alias("rule"), r["types"].alias("detail")))
+        whole = F.array(F.struct(path.alias("path"), F.lit("oneOf").alias("rule"), F.array_join(r["types"], "|").alias("detail")))
         none = F.array().cast("array<struct<path:string,rule:string,detail:string>>")
-        return F.when(r["items"].isNull() | (F.coalesce(F.size(wrong), F.lit(0)) <= 0), none).when(F.contains(r["types"], F.lit("|")), whole).otherwise(each)
+        return F.when(r["items"].isNull() | (F.coalesce(F.size(wrong), F.lit(0)) <= 0), none).when(F.size(r["types"]) > 1, whole).otherwise(each)
 
     # only the root object forbids fields without a rule
     known = F.transform("rules", lambda r: r["field"])
