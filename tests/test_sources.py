@@ -161,6 +161,36 @@ def test_snapshot_scan(spark, folder):
     }
 
 
+def test_packed_snapshots_read_like_files(spark, folder):
+    """Documents packed as JSON lines give the rows their files give: whole, cut off, empty, no object, and with line breaks inside."""
+    texts = [json.dumps({"memory_id": "m-1", "knowledge_graph": [{"fact": "a\nb"}], "task_progress": None}, indent=2), '{\n  "memory_id" : "m', "[1, 2]", "3", "", "no json", '{"memory_id": "é\\u00fc"}']
+    rows = [(f"question_q {i}/attempt_{i}+x/memory/s.{i}.json", t) for i, t in enumerate(texts)]
+    for name, value in rows:
+        put(f"{folder}/files/{name}", value)
+    IN.write_packed(spark.createDataFrame(rows, "path string, text string").repartition(2), f"{folder}/packed")
+    assert len([n for n in os.listdir(f"{folder}/packed") if n.startswith("part-")]) == 2
+    seen = lambda df: sorted(str(r) for r in df.select("question_id", "folder", "stem", "memory_id", F.to_json("knowledge_graph"), "task_progress", "unreadable").collect())
+    got = seen(IN.read_packed_snapshots(spark, f"{folder}/packed"))
+    (empty,) = [r for r in got if "s.4" in r]  # a file without bytes gives Spark's reader no row at all
+    assert "unreadable=''" in empty and [r for r in got if r != empty] == seen(IN.read_snapshots(spark, f"{folder}/files"))
+
+
+def test_scan_queries_write_few_files(spark, folder, monkeypatch):
+    """The files that the scans write must not grow with the number of documents: 300 questions once made 1,200 of them."""
+    import __spark_entry__ as entry
+    from trailmark.catalog import benchmark_cases, trajectory_cases
+    from trailmark.plans import staging
+
+    events = spark.range(1200).selectExpr("id AS event_id", "id % 300 AS user_id", "'view' AS event_type", "1.5D AS value", """'{"k": 4}' AS props""")
+    events.write.parquet(f"{folder}/data/events.parquet")
+    spark.range(300).selectExpr("id AS doc_id", "concat('x,y\n1,2\n', id) AS text").write.parquet(f"{folder}/data/documents.parquet")
+    for module in (benchmark_cases, trajectory_cases, staging):
+        monkeypatch.setattr(module, "checkpoint_folder", lambda spark: f"{folder}/scratch")
+    assert entry.queries()["src13_snapshot_scan"](spark, f"{folder}/data").count() == 300
+    assert {r["rows"] for r in entry.queries()["src6_gold_tables"](spark, f"{folder}/data").collect()} == {3}
+    assert sum(len(files) for _, _, files in os.walk(f"{folder}/scratch")) < 200
+
+
 def test_lookup_equals_plain_search(spark):
     """Random names and wanted texts: the parts offered are all that any search inside the names could find."""
     import random

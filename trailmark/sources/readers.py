@@ -139,6 +139,26 @@ def read_gold_folder(spark: SparkSession, path: str) -> DataFrame:
     return gold_summary(raw)
 
 
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """Many small documents kept as JSON lines ``{"path", "text"}``: the form for collections whose files would be too many.
+
+    A folder with one file per document costs the driver a listing entry and a task an open for each; packed, both grow
+    with the bytes only. A line that is no such record fails the job.
+    """
+    return spark.read.schema("path string, text string").option("mode", "FAILFAST").json(path)
+
+
+def write_packed(documents: DataFrame, path: str) -> None:
+    """Write (path, text) rows in the form ``read_packed`` reads."""
+    documents.select("path", "text").write.option("ignoreNullFields", False).json(path)
+
+
+def read_packed_gold(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_gold_folder`` for packed CSV files; the id is the file's name."""
+    raw = read_packed(spark, path).select(F.regexp_extract("path", r"([^/]*)\.csv$", 1).alias("instance_id"), F.col("text").alias("value"))
+    return gold_summary(raw)
+
+
 def gold_summary(raw: DataFrame) -> DataFrame:
     """Replace the CSV text ``value`` by gold_csv, normalised columns and the number of data rows."""
     keys = [c for c in raw.columns if c != "value"]
@@ -296,6 +316,19 @@ def read_snapshots(spark: SparkSession, path: str, files: str = "*.json", questi
     reader = spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", files)
     rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "unreadable").json(path)
     place = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return _placed_snapshots(rows, place, question, folder)
+
+
+def read_packed_snapshots(spark: SparkSession, path: str, question: str = r"question_([^/]+)/", folder: str = r"question_[^/]+/(?:(.+)/)?[^/]+$") -> DataFrame:
+    """As ``read_snapshots`` for snapshot files packed as JSON lines (``read_packed``); an empty one keeps its row here too."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "unreadable"}
+    parsed = read_packed(spark, path).withColumn("_s", F.from_json("text", SNAPSHOT_SCHEMA, options))
+    rows = parsed.select("_s.*", F.col("path").alias("_path"), F.when(F.col("_s").isNull(), F.col("text")).alias("_bare"))
+    rows = rows.withColumn("unreadable", F.coalesce("unreadable", "_bare"))
+    return _placed_snapshots(rows.drop("_bare"), F.col("_path"), question, folder).drop("_path")
+
+
+def _placed_snapshots(rows: DataFrame, place: Column, question: str, folder: str) -> DataFrame:
     return rows.withColumn("_place", place).select(
         F.regexp_extract("_place", question, 1).alias("question_id"),
         F.regexp_extract("_place", folder, 1).alias("folder"),
