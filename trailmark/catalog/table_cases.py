@@ -97,7 +97,8 @@ def _(x):
     from trailmark.plans.keyed import first_by
 
     kept = first_by(x.rows.select("side", "instance_id", "orderkey", "line_no", "row_id"), ["side", "instance_id", "orderkey", "line_no"], ["row_id"])
-    return kept.groupBy("side", "instance_id").agg(F.count("*").alias("rows"), F.sum("row_id").cast("double").alias("id_sum"))
+    # ids are large: their sum leaves 64 bits behind at a few million rows
+    return kept.groupBy("side", "instance_id").agg(F.count("*").alias("rows"), F.sum(F.col("row_id").cast("decimal(19,0)")).cast("double").alias("id_sum"))
 
 
 @case("win3_first_row_per_key", f"SELECT side, instance_id, orderkey, line_no, quantity, price FROM {FIRST} WHERE rn = 1")
