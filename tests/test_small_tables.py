@@ -40,3 +40,7 @@ TWICE = [line(5, flag="A", quantity=3.0), line(5, flag="N", quantity=9.0, part=1
 
 def test_exact_match_of_ids_that_occur_twice(spark, folder):
     assert len(same_as_sql(spark, folder, "fn6_exact_match", lineitem=spark.createDataFrame(TWICE, LINEITEM))) == 3
+
+
+def test_number_near_of_ids_that_occur_twice(spark, folder):
+    assert len(same_as_sql(spark, folder, "fn8_number_near", lineitem=spark.createDataFrame(TWICE, LINEITEM))) == 3
