@@ -44,3 +44,17 @@ def test_exact_match_of_ids_that_occur_twice(spark, folder):
 
 def test_number_near_of_ids_that_occur_twice(spark, folder):
     assert len(same_as_sql(spark, folder, "fn8_number_near", lineitem=spark.createDataFrame(TWICE, LINEITEM))) == 3
+
+
+EVENTS = "event_id bigint, user_id bigint, event_type string, value double, props string"
+
+
+def blank_and_absent_arguments(spark):
+    """Calls of one run whose arguments are a number field's worth, null (no fields) and blank, in an order that looks like a cycle."""
+    a, null, blank = [i for i in range(8, 2000, 4) if i % 73 and all(i % m for m in (79, 83, 89, 101, 103, 107, 109))], 107 * 4, 109 * 4
+    marks = [i for i in a if i < null][-1:] + [null] + [i for i in a if null < i < blank][-1:] + [blank] + [i for i in a if i > blank][:1]
+    return spark.createDataFrame([(i, 1, "view", 1.0, '{"k": 1}') for i in marks], EVENTS)
+
+
+def test_loop_detection_tells_blank_arguments_from_none(spark, folder):
+    assert {r[0] for r in same_as_sql(spark, folder, "win4_loop_detection", events=blank_and_absent_arguments(spark))} == {None}

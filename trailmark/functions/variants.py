@@ -124,7 +124,7 @@ def _folded_json(text: Column) -> Column:
 def call_signature(name: Column, raw_arguments: Column) -> Column:
     """Tool name, NUL, and the arguments with sorted keys and folded text values, nested ones too.
 
-    Undecodable arguments are compared as folded text.
+    Undecodable arguments are compared as folded text; an object stands in braces, so that one without fields is no blank text.
     """
     fields = F.from_json(raw_arguments, "map<string,variant>")
     rendered = F.array_join(
@@ -142,4 +142,4 @@ def call_signature(name: Column, raw_arguments: Column) -> Column:
         "\x1f",
     )
     good = F.coalesce(F.schema_of_variant(F.try_parse_json(raw_arguments)).startswith("OBJECT"), F.lit(False))
-    return F.concat(name, F.lit("\x00"), F.when(good, rendered).otherwise(_folded(raw_arguments)))
+    return F.concat(name, F.lit("\x00"), F.when(good, F.concat(F.lit("{"), rendered, F.lit("}"))).otherwise(_folded(raw_arguments)))
