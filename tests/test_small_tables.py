@@ -58,3 +58,7 @@ def blank_and_absent_arguments(spark):
 
 def test_loop_detection_tells_blank_arguments_from_none(spark, folder):
     assert {r[0] for r in same_as_sql(spark, folder, "win4_loop_detection", events=blank_and_absent_arguments(spark))} == {None}
+
+
+def test_loop_guard_tells_blank_arguments_from_none(spark, folder):
+    assert {r[0] for r in same_as_sql(spark, folder, "str5_loop_guard", events=blank_and_absent_arguments(spark))} == {None}
