@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.catalog.table_cases import headers, side_rows
+from trailmark.catalog.table_cases import headers, side_rows, status
 from trailmark.operators import cellplan
 from trailmark.operators import tablematch as TM
 from trailmark.operators import tablescore as TS
@@ -90,3 +90,11 @@ def test_one_key_with_all_rows(spark):
     assert r.gold_rows == r.predicted_rows == n
     assert r.item_true_positives == n * n + numbers + days
     assert r.row_true_positives >= n
+
+
+def test_joins_on_keys_normalise_cells_once(spark):
+    """A join on the keys must not bring a null check below the normalisation: it ran the rules of all cells again for each key column."""
+    x = Inputs(spark, "/root/testdata/sf0.001")
+    st, gold, pred = status(x)
+    plan = TS.matched_rows(*TM.prepare_sides(st, gold, pred))._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(transform(" not in plan

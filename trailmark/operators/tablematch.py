@@ -224,8 +224,12 @@ def _lined_up(rows: DataFrame, ready: DataFrame, names: str, plan: CellPlan) ->
 
 
 def _key() -> Column:
-    """Values of the key columns, in required order."""
-    return F.transform("key_idx", lambda i: F.get("vals", i))
+    """Values of the key columns, in required order.
+
+    Never null, and by its type: a join on a key that may be null puts a filter below the normalisation, which would then
+    run again for each key column.
+    """
+    return F.coalesce(F.transform("key_idx", lambda i: F.get("vals", i)), F.array().cast("array<string>"))
 
 
 def _prepared(lined_up: DataFrame, ready: DataFrame, plan: CellPlan) -> DataFrame:
