@@ -98,3 +98,13 @@ def test_joins_on_keys_normalise_cells_once(spark):
     st, gold, pred = status(x)
     plan = TS.matched_rows(*TM.prepare_sides(st, gold, pred))._jdf.queryExecution().optimizedPlan().toString()
     assert "isnotnull(transform(" not in plan
+
+
+def test_vocabulary_mapping_lines_cells_up_once_a_scan(spark):
+    """Rows are exploded into the key cells that may be mapped, not into all cells with their rules, and without a filter on them."""
+    x = Inputs(spark, "/root/testdata/sf0.001")
+    st, gold, pred = status(x)
+    ready = st.filter("error IS NULL")
+    key_map = x.rows.select("instance_id", F.lit("orderkey").alias("column_name"), F.col("orderkey").alias("origin"), F.concat("orderkey", F.lit("*")).alias("transform")).distinct()
+    plan = TM.map_vocabulary(TM._aligned(pred, ready, "source"), TM._aligned(gold, ready, "required"), key_map)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with(" not in plan and "isnotnull(transform(" not in plan

@@ -212,8 +212,14 @@ def instance_status(
 
 
 def _aligned(rows: DataFrame, ready: DataFrame, names: str, plan: CellPlan | None = None) -> DataFrame:
-    """Row cells in required order, with the rules of their columns."""
-    return _lined_up(rows, ready, names, plan or cell_plan(ready)).join(ready.select("instance_id", "cols"), "instance_id")
+    """Row cells in required order, with the rules of their columns and the columns whose values may be mapped."""
+    return _lined_up(rows, ready, names, plan or cell_plan(ready)).join(ready.select("instance_id", "cols", _mapped().alias("mapped")), "instance_id")
+
+
+def _mapped() -> Column:
+    """Place and name of the key columns whose metric allows mapping; found once per instance, not per row."""
+    allowed = lambda c: c["is_key"] & F.exists(c["metric"], lambda m: m.isin(*MAPPED_METRICS))
+    return F.filter(F.transform("cols", lambda c, i: F.when(allowed(c), F.struct(i.alias("ordinal"), c["name"].alias("column_name")))), lambda m: m.isNotNull())
 
 
 def _lined_up(rows: DataFrame, ready: DataFrame, names: str, plan: CellPlan) -> DataFrame:
@@ -250,13 +256,9 @@ def map_vocabulary(aligned: DataFrame, gold: DataFrame, key_map: DataFrame) -> D
     A pair counts only if its origin occurs among predicted and its target among gold values of the
     column, and the column's metric allows mapping.
     """
-    keyed = lambda df: df.select(
-        "instance_id",
-        "row_id",
-        F.posexplode(F.zip_with("vals", "cols", lambda v, c: F.struct(v.alias("value"), c.alias("c")))).alias("ordinal", "e"),
-    ).filter(
-        F.col("e.c.is_key") & F.exists(F.col("e.c.metric"), lambda m: m.isin(*MAPPED_METRICS))
-    ).select("instance_id", "row_id", "ordinal", F.col("e.c.name").alias("column_name"), F.col("e.value").alias("value"))
+    cell = lambda m: F.struct(m["ordinal"].alias("ordinal"), m["column_name"].alias("column_name"), F.get("vals", m["ordinal"]).alias("value"))
+    # outer explode: the inner one would add a filter that lines the cells up again
+    keyed = lambda df: df.select("instance_id", "row_id", F.explode_outer(F.transform("mapped", cell)).alias("e")).filter("e IS NOT NULL").select("instance_id", "row_id", "e.*")
     seen = keyed(aligned)
     targets = keyed(gold).select("instance_id", "column_name", F.col("value").alias("transform")).distinct()
     usable = (
@@ -284,5 +286,5 @@ def prepare_sides(
         gold, pred = _lined_up(gold_rows, ready, "required", plan), _lined_up(pred_rows, ready, "source", plan)
     else:
         gold, pred = _aligned(gold_rows, ready, "required", plan), _aligned(pred_rows, ready, "source", plan)
-        gold, pred = gold.drop("cols"), map_vocabulary(pred, gold, key_map).drop("cols")
+        gold, pred = gold.drop("cols", "mapped"), map_vocabulary(pred, gold, key_map).drop("cols", "mapped")
     return _prepared(gold, ready, plan), _prepared(pred, ready, plan)
