@@ -78,3 +78,17 @@ def test_sparse_order_and_nulls(spark):
             values.append(v)
             assert got[k, s] == sum(values)
     assert got["hot", None] == 5 and behind[None, None] == [None] * 3
+
+
+def test_picks_carry_the_order_columns_once(spark):
+    """The order column is part of the picked row: a second copy of it was shuffled; columns without an order fall back."""
+    df = spark.createDataFrame([(k, i, f"v{i}", {"m": i}) for i, k in enumerate([1, None, 1, 2, None, 2, 2])], "k int, i int, v string, m map<string,int>")
+    flat = df.drop("m")
+    for hashed in (True, False):
+        first, last = first_by(flat, ["k"], ["i"], hashed), latest_by(flat, ["k"], ["i"], hashed)
+        assert {tuple(r) for r in first.collect()} == {(1, 0, "v0"), (None, 1, "v1"), (2, 3, "v3")}
+        assert {tuple(r) for r in last.collect()} == {(1, 2, "v2"), (None, 4, "v4"), (2, 6, "v6")}
+        plan = first._jdf.queryExecution().optimizedPlan().toString()
+        assert "min_by" not in plan and ("xxhash64" in plan) == hashed
+    assert {(r.k, r.m["m"]) for r in latest_by(df, ["k"], ["i"]).collect()} == {(1, 2), (None, 4), (2, 6)}
+    assert {(r.k, r.i) for r in first_by(flat, ["k"], [-F.col("i")]).collect()} == {(1, 2), (None, 4), (2, 6)}

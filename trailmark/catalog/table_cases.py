@@ -106,7 +106,7 @@ def _(x):
     from trailmark.plans.keyed import first_by
 
     cols = ["side", "instance_id", "orderkey", "line_no", "row_id", "quantity", "price"]
-    return first_by(x.rows.select(*cols), ["side", "instance_id", "orderkey", "line_no"], ["row_id"]).drop("row_id")
+    return first_by(x.rows.select(*cols), ["side", "instance_id", "orderkey", "line_no"], ["row_id"], hashed=False).drop("row_id")
 
 
 @case("tm5_prepared_rows", f"WITH {NORMED} SELECT side, instance_id, k1 || '|' || k2 AS key, k1 || '|' || k2 || '|' || quantity || '|' || ship_date || '|' || flag || '|' || price AS vals, count(*) AS copies FROM normed GROUP BY ALL")
