@@ -72,3 +72,14 @@ def test_hot_length_is_ranked_in_shares(spark, monkeypatch):
     assert len({(r.sequence_id, r.offset) for r in rows}) == 500 == len({r.id for r in rows})
     total = sum(r.length for r in rows)
     assert len({r.sequence_id for r in rows}) <= -(-total // 16) + 1
+
+
+def test_words_meet_python_once(monkeypatch):
+    encoder = packing.WordEncoder(PATH)
+    seen, cached = [], encoder._cached
+    monkeypatch.setattr(encoder, "_cached", lambda words: seen.append(words) or cached(words))
+    texts = ["", " \n\t ", "", "Lead, lead; (lead) 12, 12", "a,b , ,; x\x0b\x1cy", "<|endoftext|> Foo <|x FOO,", "ünïcödé, 文字列の例 \x85 नमस्ते 🙂 \x00\x01 q\x01r", "w" * 500 + "!", "lead " * 3000]
+    plain = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == plain
+    assert all(len(words) < 40 and words.count(b"lead") == 1 for words in seen)

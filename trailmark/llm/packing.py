@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,28 +96,6 @@ class WordEncoder:
             shown = shown.replace(byte, letter)
         return np.array(lean.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Words with their ids. Marks after a word's last letter are tokens of their own, so such a word is put together from two."""
-        known = self.known
-        single, double = [], []
-        for word in words:
-            low = word if b"<|" in word else word.lower()
-            stem = low.rstrip(TAIL)
-            if stem is low or not stem[-1:].isalpha():
-                single.append((word, low))
-            else:
-                double.append((word, stem, low[len(stem) :]))
-        own = {low for _, low in single}
-        own.update(x for _, *pair in double for x in pair)
-        fresh = own.difference(known)
-        ids = self.encoded(list(fresh))
-        for x in own.difference(fresh):
-            ids[x] = known[x]
-        for word, low in single:
-            yield word, ids[low]
-        for word, stem, tail in double:
-            yield word, ids[stem] + ids[tail]
-
     def encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
         alone = [w for w in words if self.MARK in w or len(self.mark) != 1]
         out = {w: self._ids(w).tobytes() for w in alone}
@@ -132,20 +111,66 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        """The ids of each text as little-endian unsigned 32-bit numbers.
+
+        Arrow splits and numbers the words, so that Python sees each different one once; ids are gathered by these numbers.
+        """
         raw = [x.encode("utf-8", "surrogatepass") for x in texts]
         # A-Z become small here, so that fewer words differ; not where a special token's string could come about
-        split = [(x if b"<|" in x else x.lower()).split() for x in raw]
+        lower = pa.array([x if b"<|" in x else x.lower() for x in raw], pa.large_binary()).view(pa.large_string())
+        split = pc.ascii_split_whitespace(lower)
+        numbered = split.flatten().dictionary_encode()
+        place, ends = numbered.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        ids, size = self._of_words(numbered.dictionary)
+        start = np.cumsum(size) - size
+        for lo, hi in zip(ends[:-1], ends[1:]):
+            yield _gathered(ids, start, size, place[lo:hi]).tobytes()
+
+    def _of_words(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, one word after the other, and their numbers of ids.
+
+        Marks after a word's last letter are tokens of their own, so such a word is put together from two parts.
+        """
+        low = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
+        stem = pc.ascii_rtrim(low, characters=TAIL.decode())
+        short, whole = (pc.binary_length(x).to_numpy() for x in (stem, low))
+        text = np.frombuffer(stem.buffers()[2] or b"", np.uint8)
+        last = np.zeros(len(short), np.uint8)
+        last[short > 0] = text[np.cumsum(short)[short > 0] - 1] | 32
+        parted = (short < whole) & (last >= ord("a")) & (last <= ord("z"))
+        coded = pc.if_else(pa.array(parted), stem, low).dictionary_encode()
+        parts = _listed(coded.dictionary)
+        tails = {b"": 0}
+        second = np.zeros(len(short), np.int64)
+        ended = _listed(low.filter(pa.array(parted)))
+        second[parted] = [tails.setdefault(word[n:], len(tails)) for word, n in zip(ended, short[parted].tolist())]
+        ids = self._cached([*parts, *tails])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        pairs = np.stack([coded.indices.to_numpy(), len(parts) + second], 1)
+        return _gathered(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size, size, pairs.ravel()), size[pairs].sum(1)
+
+    def _cached(self, words: list[bytes]) -> list[bytes]:
+        """The ids of small words; those that the cache doesn't have are encoded together."""
         if len(self.known) > WORD_CACHE:
             self.known, self.older = {}, self.known
-        known, older, local = self.known, self.older, {}
-        fresh = set().union(*split).difference(known)
-        for word in fresh.intersection(older):
-            known[word] = older[word]
-        for word, ids in self.learn(list(fresh.difference(older))):
+        known, older, local = self.known, self.older, {b"": b""}
+        fresh = [w for w in dict.fromkeys(words) if w and w not in known]
+        known.update((w, older[w]) for w in fresh if w in older)
+        for word, ids in self.encoded([w for w in fresh if w not in older]).items():
             (known if len(word) <= LONGEST_CACHED else local)[word] = ids
-        for words in split:
-            yield b"".join([known[w] if w in known else local[w] for w in words]) if local else b"".join(map(known.__getitem__, words))
+        return [known[w] if w in known else local[w] for w in words]
+
+
+def _listed(words: pa.LargeStringArray) -> list[bytes]:
+    """As ``to_pylist`` of the bytes, without a scalar for each."""
+    return words.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def _gathered(ids: np.ndarray, start: np.ndarray, size: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The ids of a row of words by their numbers."""
+    n = size[words]
+    upto = np.cumsum(n)
+    return ids[np.repeat(start[words] + n - upto, n) + np.arange(upto[-1] if len(n) else 0)]
 
 
 _encoders: dict[str, WordEncoder] = {}
