@@ -221,3 +221,17 @@ def test_strict_lines_name_the_first_bad_line(spark):
     lines = spark.createDataFrame([("f.jsonl", 1, '{"a": 1}'), ("f.jsonl", 2, " "), ("f.jsonl", 3, "{bad")], "path string, line long, text string")
     with pytest.raises(Exception, match="Invalid JSON in f.jsonl:3"):
         IN.strict_records(lines).collect()
+
+
+def test_lookup_is_the_same_with_few_and_many_folder_names(spark, monkeypatch):
+    """Ranks by name where names are few, per row otherwise; the runs of a name stand once, whatever the number of shapes."""
+    from trailmark.operators import memory as M
+
+    files = [("q", f, s, i) for f in (None, "attempt_10_x/memory", "attempt_9_x/memory", "memory") for s, i in (("m-1-22", "a"), ("snap-m122", "b"), ("", "c"), (None, "m-1-2"), ("é-m-1-22.json", "d"), ("m-1-222", "e"))]
+    snaps = spark.createDataFrame(files, "question_id string, folder string, stem string, memory_id string")
+    asked = spark.createDataFrame([("q", w) for w in ("m-1-22", "m122", "m-1-2", "22", "-", "é", "none", "")], "question_id string, wanted string")
+    few = sorted(map(str, M.lookup(asked, snaps).collect()))
+    monkeypatch.setattr(M, "FEW_NAMES", 0)
+    assert sorted(map(str, M.lookup(asked, snaps).collect())) == few and len(few) == 6
+    runs = spark.createDataFrame([("m-12é",)], "t string").select(F.explode(M._runs(M._classes(F.col("t"))))).select("col.*").collect()
+    assert [tuple(r) for r in runs] == [("a", 1, 1), ("-", 2, 2), ("a", 3, 4), ("-", 5, 5)]

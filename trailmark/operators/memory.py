@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.functions import scalars as S
 from trailmark.functions import variants as V
 from trailmark.plans.keyed import first_by
+from trailmark.plans.staging import staged
 
 # ---- fixed values -------------------------------------------------------------------------
 STATUSES = ("verified", "conflicting", "partial")
@@ -157,13 +160,16 @@ def _folder_rank(folder: Column) -> Column:
     return F.when(folder == "memory", F.array().cast("array<struct<n:bigint,t:string>>")).otherwise(natural_key(folder))
 
 
+#: Folder names up to which their ranks are sent to all executors.
+FEW_NAMES = 100_000
+
 #: Runs of letters and digits, and of anything else: a name found inside another starts and ends within such runs.
-_RUN = "[A-Za-z0-9]"
+_RUN = string.ascii_letters + string.digits
 
 
 def _classes(text: Column) -> Column:
     """The text with every letter or digit as ``a`` and everything else as ``-``."""
-    return F.regexp_replace(F.regexp_replace(text, _RUN, "a"), "[^a]", "-")
+    return F.regexp_replace(F.translate(text, _RUN, "a" * len(_RUN)), "[^a]", "-")
 
 
 def _shape(text: Column) -> Column:
@@ -173,25 +179,47 @@ def _shape(text: Column) -> Column:
     return F.struct(F.length(text).alias("n"), F.substring(kinds, 1, 1).alias("kind"), first.alias("head"), (first == F.length(text)).alias("only"))
 
 
-def _places(stem: Column, shapes: Column) -> Column:
+def _runs(kinds: Column) -> Column:
+    """The runs of a text's classes as (kind, start, end), found once per name and not for each shape."""
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+
+    def add(seen: Column, run: Column) -> Column:
+        end = seen["end"] + F.length(run)
+        own = F.struct(F.substring(run, 1, 1).alias("kind"), (seen["end"] + 1).alias("start"), end.alias("end"))
+        return F.struct(end.alias("end"), F.concat(seen["runs"], F.array(own)).alias("runs"))
+
+    return F.aggregate(F.regexp_extract_all(kinds, F.lit("a+|-+"), F.lit(0)), F.struct(F.lit(0).alias("end"), none.alias("runs")), add, lambda seen: seen["runs"])
+
+
+def _places(stem: Column, runs: Column, shapes: Column) -> Column:
     """Parts of a name that could be wanted, as (text, end): where a run ends as the shape's first run does.
 
     A wanted text of several runs can only start so many characters before the end of a run as its first run is long; one of a
     single run must lie within a run. A part at the end of the name is always offered.
     """
-    size, kinds = F.length(stem), F.col("_kinds")
-    at = lambda i: F.substr(kinds, i, F.lit(1))
+    size = F.length(stem)
     part = lambda i, n: F.struct(F.substr(stem, i, n).alias("text"), (i + n - 1 == size).alias("end"))
 
     def offered(s: Column) -> Column:
-        inside = F.filter(F.sequence(F.lit(1), size - s["n"] + 1), lambda i: (at(i) == s["kind"]) & (F.length(F.replace(F.substr(kinds, i, s["n"]), s["kind"], F.lit(""))) == 0))
-        ends = F.filter(F.sequence(s["head"], size), lambda e: (at(e) == s["kind"]) & (at(e + 1) != s["kind"]))
-        starts = F.when(s["only"], inside).otherwise(F.filter(F.transform(ends, lambda e: e - s["head"] + 1), lambda i: i + s["n"] - 1 <= size))
-        return F.transform(F.array_union(starts, F.array(size - s["n"] + 1)), lambda i: part(i, s["n"]))
+        own = lambda fits: F.filter(runs, lambda r: (r["kind"] == s["kind"]) & fits(r))
+        inside = F.flatten(F.transform(own(lambda r: r["end"] - r["start"] + 1 >= s["n"]), lambda r: F.sequence(r["start"], r["end"] - s["n"] + 1)))
+        first = lambda r: r["end"] - s["head"] + 1
+        ended = F.transform(own(lambda r: (first(r) >= 1) & (first(r) + s["n"] - 1 <= size)), first)
+        return F.transform(F.array_union(F.when(s["only"], inside).otherwise(ended), F.array(size - s["n"] + 1)), lambda i: part(i, s["n"]))
 
     return F.flatten(F.transform(F.filter(shapes, lambda s: (s["n"] > 0) & (s["n"] <= size)), offered))
 
 
+def _ranked(snapshots: DataFrame) -> DataFrame:
+    """Add ``_rank``, found once per folder name where these have been counted to be few, and per row otherwise."""
+    rank = _folder_rank(F.col("folder"))
+    names = staged(snapshots.select("folder").distinct(), "folders")
+    if names.count() > FEW_NAMES:
+        return snapshots.withColumn("_rank", rank)
+    ranks = names.select(F.col("folder").alias("_folder"), rank.alias("_rank"))
+    return snapshots.join(F.broadcast(ranks), F.col("folder") == F.col("_folder"), "left").drop("_folder")
+
+
 def lookup(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Best snapshot for each requested (question_id, wanted): one row per request that matches.
 
@@ -205,15 +233,16 @@ def lookup(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
     asked = plain.unionByName(compact)
     # the distinct shapes asked for by a question: a few as a rule, names being short a few thousand at most
     shapes = asked.groupBy("question_id").agg(F.collect_set(_shape(F.col("text"))).alias("_shapes"))
-    files = snapshots.withColumn("_rank", _folder_rank(F.col("folder"))).withColumn("_kinds", _classes(F.col("stem"))).join(shapes, "question_id")
+    ranked = _ranked(snapshots)
+    files = ranked.withColumn("_runs", _runs(_classes(F.col("stem")))).join(shapes, "question_id")
     cols = ["folder", "stem", "memory_id"]
-    offered = files.select("question_id", "_rank", *cols, F.explode(_places(F.col("stem"), F.col("_shapes"))).alias("p")).select(
+    offered = files.select("question_id", "_rank", *cols, F.explode(_places(F.col("stem"), F.col("_runs"), F.col("_shapes"))).alias("p")).select(
         "question_id", F.col("p.text").alias("text"), F.col("p.end").alias("end"), "_rank", *cols
     )
     by_name = asked.join(first_by(offered, ["question_id", "text", "end"], ["_rank", "stem"]), ["question_id", "text"])
     how = F.when(F.col("plain") & F.col("end"), 1).when(~F.col("plain") & F.col("end"), 2).when(F.col("plain"), 3)
     named = by_name.withColumn("match", how).filter("match IS NOT NULL").select("question_id", "wanted", "_rank", "match", *cols)
-    inner = files.select("question_id", F.col("memory_id").alias("wanted"), "_rank", F.lit(3).alias("match"), *cols)
+    inner = ranked.select("question_id", F.col("memory_id").alias("wanted"), "_rank", F.lit(3).alias("match"), *cols)
     by_id = first_by(inner, ["question_id", "wanted"], ["_rank", "stem"]).join(requests.select("question_id", "wanted"), ["question_id", "wanted"], "left_semi")
     return first_by(named.unionByName(by_id), ["question_id", "wanted"], ["_rank", "match", "stem"]).drop("_rank")
 
