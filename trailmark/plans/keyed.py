@@ -23,7 +23,9 @@ def _comparable(kind: T.DataType) -> bool:
     """Whether values of a type can be ordered."""
     if isinstance(kind, T.StructType):
         return all(_comparable(f.dataType) for f in kind)
-    return _comparable(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.AtomicType)
+    if isinstance(kind, T.ArrayType):
+        return _comparable(kind.elementType)
+    return isinstance(kind, T.AtomicType) and not isinstance(kind, (T.VariantType, T.SpatialType))  # atomic, but without an order
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], pick, pick_by, hashed: bool) -> DataFrame:
