@@ -1,6 +1,8 @@
 """Scoring by counts gives what scoring by pairs gives, and ends where pairs would not."""
 
+import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from trailmark.catalog.table_cases import headers, side_rows, status
 from trailmark.operators import cellplan
 from trailmark.operators import tablematch as TM
 from trailmark.operators import tablescore as TS
+from trailmark.plans import staging
+from trailmark.plans.staging import staged, staged_together
 from trailmark.sources.fixtures import Inputs
 
 SPEC = (
@@ -108,3 +112,34 @@ def test_vocabulary_mapping_lines_cells_up_once_a_scan(spark):
     key_map = x.rows.select("instance_id", F.lit("orderkey").alias("column_name"), F.col("orderkey").alias("origin"), F.concat("orderkey", F.lit("*")).alias("transform")).distinct()
     plan = TM.map_vocabulary(TM._aligned(pred, ready, "source"), TM._aligned(gold, ready, "required"), key_map)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with(" not in plan and "isnotnull(transform(" not in plan
+
+
+def test_cells_of_a_row_travel_once(spark):
+    """Equal rows were counted by their key beside the cells that hold it, and the cells of the raw key travelled twice."""
+    x = Inputs(spark, "/root/testdata/sf0.001")
+    st, gold, pred = status(x)
+    plan = TM.prepare_sides(st, gold, pred)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[instance_id#\d+L, vals#\d+\]", plan) and not re.search(r"Aggregate \[[^]]*\bkey#", plan)
+    assert not re.search(r"min\(struct\(row_id[^)]*vals", plan)
+
+
+def test_first_rows_of_keys_at_any_place(spark):
+    """The raw key decides which row stays, wherever its columns are; the cells come back in their places."""
+    spec = '{"required": ["a", "b", "c"], "unique_columns": ["c", "a"], "eval_pipeline": {"a": {"preprocess": [], "metric": ["exact_match"]}, "b": {"preprocess": ["extract_number"], "metric": ["number_near"], "criterion": 0.1}, "c": {"preprocess": ["norm_str"], "metric": ["exact_match"]}}}'
+    rows = [(1, 5, {"a": "x", "b": "no 7", "c": "K"}), (1, 2, {"a": "x", "b": "no 8", "c": "K"}), (1, 3, {"a": "x", "b": "8", "c": "k "}), (1, 4, {"a": "y", "b": "1", "c": "K"}), (1, 6, {"a": "x", "c": "K"})]
+    gold = spark.createDataFrame(rows, "instance_id long, row_id long, cells map<string,string>")
+    names = TM.headers_from_rows(gold)
+    st = TM.instance_status(TM.parse_specs(spark.createDataFrame([(1, spec)], "instance_id long, evaluation string")), names, names)
+    got = sorted((tuple(r.key), tuple(r.vals), r.copies) for r in TM.prepare_sides(st, gold, gold)[0].collect())
+    assert got == [(("x", "k"), ("x", "8", "k"), 2), (("y", "k"), ("y", "1", "k"), 1)]
+
+
+def test_shuffle_files_go_with_a_written_table(spark):
+    """They stayed beside the written table until the driver happened to collect garbage."""
+    files = lambda: {f for _, _, names in os.walk(spark.sparkContext.getConf().get("spark.local.dir")) for f in names if f.startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(staging.CLEANUP_KEY)
+    counts = [spark.range(1000).groupBy((F.col("id") % n).alias("k")).count() for n in (300, 7, 9)]
+    tables = [staged(counts[0], "counts"), *staged_together(*[(c, "counts") for c in counts[1:]])]
+    assert not files() - before
+    assert [t.count() for t in tables] == [300, 7, 9]
+    assert spark.conf.get(staging.CLEANUP_KEY) == setting

@@ -241,13 +241,23 @@ def _key() -> Column:
 def _prepared(lined_up: DataFrame, ready: DataFrame, plan: CellPlan) -> DataFrame:
     """Drop later rows with the same raw key, normalise the cells of the others, and count equal rows.
 
-    Only cells travel; the rules of an instance join again where they are needed.
+    Only cells travel, each once, those of the key apart from the others; the rules of an instance join again where they are
+    needed. Rows are sorted by their first key cell, so neighbours in a shuffled block have much in common.
     """
     keys = ready.select("instance_id", "key_idx")
-    raw = lined_up.join(keys, "instance_id").select("instance_id", _key().alias("raw_key"), "row_id", "vals")
-    kept = first_by(raw, ["instance_id", "raw_key"], ["row_id"]).drop("raw_key", "row_id")
-    ruled = kept.join(rules(ready, plan), "instance_id").withColumn("vals", plan.normalised)
-    return ruled.withColumn("key", _key()).groupBy("instance_id", "key", "vals").agg(F.count(F.lit(1)).alias("copies"))
+    is_key = lambda i: F.array_contains("key_idx", F.lit(i))
+    rest = F.slice(F.array(*[F.when(~is_key(i), F.get("vals", F.lit(i))) for i in range(plan.width)]), 1, F.size("vals"))
+    raw = lined_up.join(keys, "instance_id").select("instance_id", _key().alias("raw_key"), "row_id", rest.alias("rest"))
+    kept = first_by(raw.withColumn("lead", F.get("raw_key", F.lit(0))), ["lead", "instance_id", "raw_key"], ["row_id"], hashed=False)
+    own = lambda i: F.get("raw_key", (F.array_position("key_idx", F.lit(i)) - 1).cast("int"))
+    whole = plan.per_position(lambda i: F.when(is_key(i), own(i)).otherwise(F.get("rest", F.lit(i))))
+    ruled = kept.join(rules(ready, plan), "instance_id").withColumn("vals", whole).withColumn("vals", plan.normalised)
+    return with_key(ruled.groupBy("instance_id", "vals").agg(F.count(F.lit(1)).alias("copies")), ready)
+
+
+def with_key(rows: DataFrame, ready: DataFrame) -> DataFrame:
+    """Normalised rows with their key, which their cells hold already."""
+    return rows.join(ready.select("instance_id", "key_idx"), "instance_id").select("instance_id", _key().alias("key"), "vals", "copies")
 
 
 def map_vocabulary(aligned: DataFrame, gold: DataFrame, key_map: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from trailmark.functions import scalars as S
 from trailmark.operators import tablematch as TM
 from trailmark.operators.cellplan import CellPlan, cell_plan, has, pair_columns, rules, typed
 from trailmark.plans.blocks import running_sums
-from trailmark.plans.staging import staged, staged_together
+from trailmark.plans.staging import staged
 
 # ---- fixed values -------------------------------------------------------------------------
 SCORE_NAMES = ("row_precision", "row_recall", "row_f1", "item_precision", "item_recall", "item_f1")
@@ -33,9 +33,32 @@ def cell_score(metric: Column, response: Column, target: Column, criterion: Colu
     return F.coalesce(score, F.lit(0.0))
 
 
-def with_types(side: DataFrame, ready: DataFrame, plan: CellPlan) -> DataFrame:
-    """Add the numbers and days of the cells that are compared as such."""
-    return side.join(rules(ready, plan).select("instance_id", "mask", "n_required"), "instance_id").withColumns(plan.typed_vals).drop("mask", "n_required")
+def with_types(side: DataFrame, ready: DataFrame, plan: CellPlan, slim: bool = False) -> DataFrame:
+    """Add the numbers and days of the cells that are compared as such; ``slim`` leaves out the texts that no native comparison reads."""
+    ruled = side.join(rules(ready, plan).select("instance_id", "mask", "n_required"), "instance_id").withColumns(plan.typed_vals)
+    if slim:
+        ruled = ruled.withColumn("vals", plan.per_position(lambda i: _read_text(plan, i)))
+    return ruled.drop("mask", "n_required")
+
+
+def _read_text(plan: CellPlan, i: int) -> Column:
+    """The text of a typed cell where a native comparison reads it, else null."""
+    read = F.lit(False)
+    for m in (m for at, m in plan.spots if at == i and m != "date_near"):
+        read = read | (has("mask", i, m) & (F.get("numbers", F.lit(i)).isNull() if m == "number_near" else F.lit(True)))
+    return F.when(read, F.get("vals", F.lit(i)))
+
+
+def staged_side(side: DataFrame, ready: DataFrame, plan: CellPlan) -> tuple[DataFrame, DataFrame]:
+    """Prepared rows (instance_id, key, vals, copies) read back from a written table, and their number per instance.
+
+    What is written has a column per cell, as cells of one column pack well; keys, numbers and days are found again where they are needed.
+    """
+    cells = [F.get("vals", F.lit(i)).alias(f"c{i}") for i in range(plan.width)]
+    kept = staged(side.select("instance_id", "copies", *cells), "side")
+    widths = ready.select("instance_id", "n_required")
+    whole = kept.join(widths, "instance_id").select("instance_id", "copies", plan.per_position(lambda i: F.col(f"c{i}")).alias("vals"))
+    return TM.with_key(whole, ready), kept.groupBy("instance_id").agg(F.sum("copies").alias("rows"))
 
 
 def matched_rows(gold: DataFrame, pred: DataFrame, on: tuple[str, ...] = ("instance_id", "key")) -> DataFrame:
@@ -46,7 +69,7 @@ def matched_rows(gold: DataFrame, pred: DataFrame, on: tuple[str, ...] = ("insta
     names = {"vals": ("target", "response"), "copies": ("_g", "_p"), "numbers": ("g_numbers", "p_numbers"), "days": ("g_days", "p_days")}
 
     def side(df: DataFrame, which: int) -> DataFrame:
-        return df.select(F.xxhash64(*on).alias("_h"), *on, *[F.col(c).alias(n[which]) for c, n in names.items() if c in df.columns])
+        return df.select(F.hash(*on).alias("_h"), *on, *[F.col(c).alias(n[which]) for c, n in names.items() if c in df.columns])
 
     pairs = side(gold, 0).join(side(pred, 1), ["_h", *on])
     return pairs.withColumn("weight", F.col("_g") * F.col("_p")).drop("_g", "_p", "_h")
@@ -92,13 +115,15 @@ def crowded_keys(gold: DataFrame, pred: DataFrame) -> DataFrame | None:
 
     Keys that merely share a hash with one are scored the same way, which changes no result.
     """
-    many = lambda df: df.groupBy(F.xxhash64("instance_id", "key").alias("_h")).agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("_h")
-    full = staged(many(gold).join(many(pred), "_h"), "crowded")
+    many = lambda df: df.groupBy(F.hash("instance_id", "key").alias("_h")).agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("_h")
+    full = staged(many(gold), "crowded")
+    if not full.isEmpty():  # else the other side need not be counted
+        full = staged(many(within(pred, full, "left_semi")), "crowded")
     return None if full.isEmpty() else full
 
 
 def within(side: DataFrame, full: DataFrame, how: str) -> DataFrame:
-    return side.join(full, F.xxhash64("instance_id", "key") == F.col("_h"), how)
+    return side.join(full, F.hash("instance_id", "key") == F.col("_h"), how)
 
 
 def _spots(side: DataFrame, ready: DataFrame, plan: CellPlan) -> DataFrame:
@@ -262,22 +287,23 @@ def score_tables(
     status = staged(TM.instance_status(TM.parse_specs(specs), pred_headers, gold_headers, header_map), "instance-status")
     ready = status.filter("error IS NULL")
     plan = cell_plan(ready)
-    gold, pred = staged_together(*[(with_types(side, ready, plan), "side") for side in TM.prepare_sides(status, gold_rows, pred_rows, key_map, plan)])
+    # one side after the other: what the first has shuffled is gone before the second begins
+    (gold, gold_sizes), (pred, pred_sizes) = [staged_side(side, ready, plan) for side in TM.prepare_sides(status, gold_rows, pred_rows, key_map, plan)]
     full = crowded_keys(gold, pred)
     if full is not None:
-        counted = counted_scores(within(gold, full, "left_semi"), within(pred, full, "left_semi"), ready, plan, cell_scores)
+        counted = counted_scores(*(with_types(within(side, full, "left_semi"), ready, plan) for side in (gold, pred)), ready, plan, cell_scores)
         few = within(gold, full, "left_anti"), within(pred, full, "left_anti")
     else:
         counted, few = None, (gold, pred)
-    pairs = pair_scores(matched_rows(*few), ready, cell_scores, plan)
+    # a model is asked for texts, and its answers are found by them
+    pairs = pair_scores(matched_rows(*(with_types(side, ready, plan, slim=cell_scores is None) for side in few)), ready, cell_scores, plan)
     each = pairs.select("instance_id", (F.col("row_score") * F.col("weight")).alias("row_tp"), (F.col("item_score") * F.col("weight")).alias("item_tp"))
     hits = (each if counted is None else each.unionByName(counted)).groupBy("instance_id").agg(F.sum("row_tp").alias("row_tp"), F.sum("item_tp").alias("item_tp"))
-    sizes = lambda df, name: df.groupBy("instance_id").agg(F.sum("copies").alias(name))
     out = (
         status.select("instance_id", "error", "n_required")
         .join(hits, "instance_id", "left")
-        .join(sizes(gold, "gold_rows"), "instance_id", "left")
-        .join(sizes(pred, "predicted_rows"), "instance_id", "left")
+        .join(gold_sizes.withColumnRenamed("rows", "gold_rows"), "instance_id", "left")
+        .join(pred_sizes.withColumnRenamed("rows", "predicted_rows"), "instance_id", "left")
     )
     return _finish(out)
 
